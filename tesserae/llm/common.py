@@ -104,8 +104,10 @@ class Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
             size = max(n + 1, 2 * len(self.up), 4096)
-            self.up = np.cumprod(np.concatenate(([1], np.full(size - 1, self.base, dtype=_U64))).astype(_U64), dtype=_U64)
-            self.down = np.cumprod(np.concatenate(([1], np.full(size - 1, self.inverse, dtype=_U64))).astype(_U64), dtype=_U64)
+            for name, base in (("up", self.base), ("down", self.inverse)):
+                factors = np.full(size, base, dtype=_U64)
+                factors[0] = 1
+                setattr(self, name, np.cumprod(factors, dtype=_U64))
         return self.up[: n + 1], self.down[: n + 1]
 
 

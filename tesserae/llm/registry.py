@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.byte_bpe import op2_byte_bpe
 from tesserae.llm.mixing import OP7_SQL, op7_mixing
+from tesserae.llm.substring_dedup import op1_substring_dedup
 from tesserae.llm.token_files import op10_token_files
 from tesserae.llm.word_tokens import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_counts": op3_token_counts,
         "op7_mixing": op7_mixing,
