@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.byte_bpe import op2_byte_bpe
+from tesserae.llm.embeddings import op4_embedding_dedup
+from tesserae.llm.minhash import op9_minhash
 from tesserae.llm.mixing import OP7_SQL, op7_mixing
 from tesserae.llm.substring_dedup import op1_substring_dedup
 from tesserae.llm.token_files import op10_token_files
@@ -18,7 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_counts": op3_token_counts,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op7_mixing": op7_mixing,
+        "op9_minhash": op9_minhash,
         "op10_token_files": op10_token_files,
     }
 
