@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.byte_bpe import op2_byte_bpe
 from tesserae.llm.embeddings import op4_embedding_dedup
+from tesserae.llm.html_text import op5_html_text
 from tesserae.llm.minhash import op9_minhash
 from tesserae.llm.mixing import OP7_SQL, op7_mixing
 from tesserae.llm.substring_dedup import op1_substring_dedup
 from tesserae.llm.token_files import op10_token_files
+from tesserae.llm.toxicity import op6_toxicity
 from tesserae.llm.word_tokens import op3_token_counts
 
 
@@ -21,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_counts": op3_token_counts,
         "op4_embedding_dedup": op4_embedding_dedup,
+        "op5_html_text": op5_html_text,
+        "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
         "op9_minhash": op9_minhash,
         "op10_token_files": op10_token_files,
