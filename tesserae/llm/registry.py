@@ -11,6 +11,7 @@ from tesserae.llm.embeddings import op4_embedding_dedup
 from tesserae.llm.html_text import op5_html_text
 from tesserae.llm.minhash import op9_minhash
 from tesserae.llm.mixing import OP7_SQL, op7_mixing
+from tesserae.llm.quality import op8_quality
 from tesserae.llm.substring_dedup import op1_substring_dedup
 from tesserae.llm.token_files import op10_token_files
 from tesserae.llm.toxicity import op6_toxicity
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_text": op5_html_text,
         "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
+        "op8_quality": op8_quality,
         "op9_minhash": op9_minhash,
         "op10_token_files": op10_token_files,
     }
