@@ -6,7 +6,7 @@ of the prefix before it. The entries for a prefix never depend on what follows,
 and an edit invalidates entries from the edit on and nothing before it.
 
 The text is first cut by the vocabulary's pattern, and each match is encoded separately. Python runs inside tasks over
-Arrow batches; no row leaves its partition, so there is no shuffle at all. Per worker, encodings of frequent chunks are
+Arrow batches; no row leaves its partition, so there is no shuffle at all. Per worker, encodings of frequent matches are
 kept in a cache of bounded size.
 
 Defined results: a null text is an empty text; an empty text has no tokens; texts of any length are encoded whole;
@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries in a worker's caches of encoded chunks and pieces.
-CACHE = 600_000
-#: White space to Python's re but not to the vocabulary's pattern.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: A chunk is one or more whole matches of the pattern: words with the space before them, or runs of white space.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Entries in a worker's cache of encoded pieces.
+CACHE = 1_000_000
+#: The vocabulary's pattern within Latin-1, with the alternatives that begin alike first.
+_L, _N = common.LATIN_LETTERS, common.LATIN_NUMBERS
+_LATIN = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,7 +72,7 @@ class ByteBPE:
             self.spelled[rank] = token
         self.longest = max(map(len, ranks), default=0)
         self._follows: dict[tuple[int, int], bool] = {}
-        self._pieces, self._chunks = common.Recent(cache), common.Recent(cache)
+        self._pieces = common.Recent(cache)
         self._parents()
 
     def _parents(self) -> None:
@@ -158,24 +157,15 @@ class ByteBPE:
         self.extend(data, last, 1)
         return self.walk_back(last)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            ids = np.array(self.encode_piece(piece.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
-            self._pieces.add({piece: ids})
-        return ids
-
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        split = _pattern().findall
-        if _ODD_SPACE.search(text):
-            return b"".join(map(self._piece, split(text)))
-        chunks = _CHUNK.findall(text)
-        found = self._chunks.all(chunks)
+        pieces = (_LATIN if common.is_latin(text) else _pattern()).findall(text)
+        found = self._pieces.all(pieces)
         if None in found:
-            new = {c: b"".join(map(self._piece, split(c))) for c in dict.fromkeys(c for c, ids in zip(chunks, found, strict=True) if ids is None)}
-            self._chunks.add(new)
-            found = [new[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+            missed = dict.fromkeys(p for p, ids in zip(pieces, found, strict=True) if ids is None)
+            new = {p: np.array(self.encode_piece(p.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes() for p in missed}
+            self._pieces.add(new)
+            found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
         return b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:

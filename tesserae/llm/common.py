@@ -161,12 +161,27 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
         yield v.as_py() or b""
 
 
+#: Letters and numbers of Latin-1, as members of a character class.
+LATIN_LETTERS, LATIN_NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where every library sees the same letters, numbers and white space; but
+    for U+001C to U+001F, which are white space to Python only."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
 class Recent:
-    """A dictionary of bounded size in two halves: when the newer is full it becomes the older, and the older goes."""
+    """A dictionary of bounded size in two halves: when the newer is full it becomes the older, and the older goes.
+    Entries of `base` stay."""
 
-    def __init__(self, limit: int, longest: int = 64):
-        self.limit, self.longest = max(1, limit // 2), longest
-        self.new: dict[str, bytes] = {}
+    def __init__(self, limit: int, base: dict[str, bytes] | None = None, longest: int = 64):
+        self.limit, self.longest, self.base = max(1, limit // 2), longest, base or {}
+        self.new: dict[str, bytes] = dict(self.base)
         self.old: dict[str, bytes] = {}
 
     def get(self, key: str) -> bytes | None:
@@ -183,8 +198,8 @@ class Recent:
         return found
 
     def add(self, items: dict[str, bytes]) -> None:
-        if len(self.new) + len(items) > self.limit:
-            self.old, self.new = self.new, {}
+        if len(self.new) + len(items) > self.limit + len(self.base):
+            self.old, self.new = self.new, dict(self.base)
         self.new.update((k, v) for k, v in items.items() if len(k) <= self.longest)
 
 
