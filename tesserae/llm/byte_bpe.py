@@ -70,8 +70,9 @@ class ByteBPE:
         self.spelled: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.spelled[rank] = token
-        self.longest = max(map(len, ranks), default=0)
-        self._follows: dict[tuple[int, int], bool] = {}
+        #: Lengths of the tokens that end in some two bytes or three, longest first.
+        self.lengths: dict[bytes, tuple[int, ...]] = {}
+        self._follows: dict[int, bool] = {}
         self._pieces = common.Recent(cache)
         self._parents()
 
@@ -92,7 +93,17 @@ class ByteBPE:
                 self.whole[parts[0], parts[1]] = rank
             else:
                 self.parents[rank] = None
-        self.reachable = {r for r, p in self.parents.items() if p is not None or len(self.spelled[r]) == 1}
+        ending: dict[bytes, set[int]] = {}
+        for rank, pair in self.parents.items():
+            token = self.spelled[rank]
+            if pair is not None or len(token) == 1:  # a token that merges do not reach is never the last of a prefix
+                ending.setdefault(token[-3:], set()).add(len(token))
+        for tail, sizes in list(ending.items()):
+            if len(tail) == 3:
+                sizes |= ending.get(tail[1:], set())
+            if len(tail) > 1:
+                sizes |= ending.get(tail[-1:], set())
+        self.lengths = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in ending.items()}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' bytes is just these two tokens.
@@ -101,9 +112,11 @@ class ByteBPE:
         that met at the boundary while the tokens were formed; one of those pairs merging earlier than what was formed
         next to it would have crossed the boundary.
         """
-        known = self._follows.get((left, right))
+        known = self._follows.get(left << 32 | right)
         if known is None:
-            known = self._follows[left, right] = self._compatible(left, right)
+            if len(self._follows) >= 1_000_000:
+                self._follows.clear()
+            known = self._follows[left << 32 | right] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -125,17 +138,19 @@ class ByteBPE:
 
     def extend(self, data: bytes, last: list[int], first: int) -> None:
         """Append to `last` the last tokens of the prefixes of lengths first..len(data)."""
-        ranks, spelled, longest, may_follow, reachable = self.ranks, self.spelled, self.longest, self.may_follow, self.reachable
+        ranks, lengths, follows, may_follow = self.ranks.get, self.lengths.get, self._follows.get, self.may_follow
         for end in range(first, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is None or token not in reachable:
+            sizes = lengths(data[end - 3 if end > 2 else 0 : end]) or lengths(data[end - 2 if end > 1 else 0 : end]) or (1,)
+            for size in sizes:
+                start = end - size
+                if start < 0 or (token := ranks(data[start:end])) is None:
                     continue
                 if start == 0:
                     last.append(token)
                     break
                 before = last[start]
-                if may_follow(before, token):
+                known = follows(before << 32 | token)
+                if may_follow(before, token) if known is None else known:
                     last.append(token)
                     break
             else:
