@@ -93,10 +93,12 @@ class ByteBPE:
                 self.whole[parts[0], parts[1]] = rank
             else:
                 self.parents[rank] = None
+        self.steps: dict[bytes, int] = {}
         ending: dict[bytes, set[int]] = {}
         for rank, pair in self.parents.items():
             token = self.spelled[rank]
             if pair is not None or len(token) == 1:  # a token that merges do not reach is never the last of a prefix
+                self.steps[token] = rank
                 ending.setdefault(token[-3:], set()).add(len(token))
         for tail, sizes in list(ending.items()):
             if len(tail) == 3:
@@ -138,7 +140,7 @@ class ByteBPE:
 
     def extend(self, data: bytes, last: list[int], first: int) -> None:
         """Append to `last` the last tokens of the prefixes of lengths first..len(data)."""
-        ranks, lengths, follows, may_follow = self.ranks.get, self.lengths.get, self._follows.get, self.may_follow
+        ranks, lengths, follows, may_follow = self.steps.get, self.lengths.get, self._follows.get, self.may_follow
         for end in range(first, len(data) + 1):
             sizes = lengths(data[end - 3 if end > 2 else 0 : end]) or lengths(data[end - 2 if end > 1 else 0 : end]) or (1,)
             for size in sizes:
