@@ -6,8 +6,10 @@ that reached it first. Two documents agree in a register with their probability
 that come later than the latest register cannot matter, so most shingles stop after an arrival or two.
 
 Bands of registers put documents into buckets. In a bucket, pairs are never emitted as such: members are verified against
-one leader, the linked are joined into components, and only members still apart are taken further - to other leaders,
-and in the end to every member of another component they share a bucket with, so no verified link is missed. A link
+one leader, the linked are joined into components, and only members still apart are taken further - to other leaders, and
+in the end to every member of another component they share a bucket with, so no link is left out because of a leader. In
+that last step a task holds one or two blocks of a bucket with their texts, verifies the pairs whose registers agree often
+enough, and returns links that join components. A link
 is a Jaccard similarity of shingle sets of 0.8 or more, counted on the texts. Exact copies count as one text throughout.
 Leaders with many members are salted.
 
@@ -32,8 +34,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8, 1 - (1 - 0.8**6)**20 = 0.998 of pairs share a bucket.
 BANDS, ROWS = 20, 6
-#: Rounds of leaders before members apart are compared with all of their bucket.
-ROUNDS = 3
+#: Bands whose buckets get leaders, one turn after the other, before members still apart are compared with all of their
+#: bucket. Early turns take few bands: most copies then join a component at the cost of one comparison.
+TURNS = ((0,), (1,), (2, 3), (4, 5, 6, 7), tuple(range(8, BANDS)), tuple(range(BANDS)))
+#: Members of a bucket in one block, and registers of 120 that must agree for two members still apart to be verified: a
+#: pair at similarity 0.8 has fewer with probability 2e-5.
+BLOCK, AGREE = 4096, 78
 #: Members that one task compares with a leader.
 SALT = 512
 
@@ -71,8 +77,8 @@ def prob_min_hash(elements: np.ndarray, weights: np.ndarray, registers: int) ->
     return owner
 
 
-def bands(data: bytes) -> np.ndarray | None:
-    """The hash of each band of registers; None for a text without words."""
+def bands(data: bytes) -> tuple[np.ndarray, bytes] | None:
+    """The hash of each band of registers, and a byte of each register; None for a text without words."""
     elements, counts = shingles(data)
     if not len(elements):
         return None
@@ -80,14 +86,75 @@ def bands(data: bytes) -> np.ndarray | None:
     out = np.zeros(BANDS, dtype=np.uint64)
     for column in owner.T:
         out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out
+    return out, (owner.ravel() & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [bands(data) for data in common.text_bytes(batch)]
-        lists = pa.array([None if b is None else common.signed(b) for b in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "node", "bands"])
+        lists = pa.array([None if b is None else common.signed(b[0]) for b in found], pa.list_(pa.int64()))
+        sketches = pa.array([None if b is None else b[1] for b in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketches], ["doc_id", "node", "bands", "sketch"])
+
+
+def _block_links(first: int, second: int, nodes: list, components: list, blocks: list, sketches: list, bands_of: list, texts: list, band: int) -> Iterator[tuple[int, int]]:
+    """Links between members of different components, of pairs that share no earlier band."""
+    block = np.array(blocks)
+    registers = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(nodes), -1)
+    earlier = np.array(bands_of, dtype=np.int64)[:, :band]
+    left, right = (np.arange(len(nodes)),) * 2 if first == second else (np.flatnonzero(block == first), np.flatnonzero(block == second))
+    sets = [shingles(t)[0] for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    _, every = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    ids = [every[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    _, part = np.unique(np.array(components, dtype=np.int64), return_inverse=True)
+    root = np.arange(part.max() + 1)
+    mark = np.zeros(int(every.max()) + 1, dtype=bool)
+    others = registers[right].T.copy()
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        agree = np.zeros((len(rows), len(right)), dtype=np.uint8)
+        for mine, theirs in zip(registers[rows].T, others, strict=True):
+            agree += mine[:, None] == theirs[None, :]
+        for x, row in zip(rows.tolist(), agree, strict=True):
+            near = right[row >= AGREE]
+            near = near[(root[part[near]] != root[part[x]]) & ((near > x) if first == second else True)]
+            near = near[5 * np.minimum(sizes[near], sizes[x]) >= 4 * np.maximum(sizes[near], sizes[x])]
+            near = near[~(earlier[near] == earlier[x]).any(axis=1)]
+            if not len(near):
+                continue
+            mark[ids[x]] = True
+            starts = np.concatenate(([0], np.cumsum(sizes[near])[:-1]))
+            both = np.add.reduceat(mark[np.concatenate([ids[y] for y in near.tolist()])].astype(np.int64), starts)
+            mark[ids[x]] = False
+            for y in near[both >= SIMILARITY * (sizes[x] + sizes[near] - both)].tolist():
+                a, b = root[part[x]], root[part[y]]
+                if a != b:
+                    root[root == max(a, b)] = min(a, b)
+                    yield nodes[x], nodes[y]
+
+
+def _apart_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of buckets, one after the other, to links that join components."""
+    group: list | None = None
+    held: tuple[list, ...] = ([], [], [], [], [], [])
+
+    def links() -> pa.RecordBatch:
+        found = list(_block_links(group[2], group[3], *held, group[0]))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        texts = list(common.text_bytes(batch))
+        for text, *key, node, component, block, sketch, own in zip(texts, *(c.to_pylist() for c in batch.columns[:-1]), strict=True):
+            if key != group:
+                if group is not None:
+                    yield links()
+                group, held = key, ([], [], [], [], [], [])
+            for column, value in zip(held, (node, component, block, sketch, own, text), strict=True):
+                column.append(value)
+    if group is not None:
+        yield links()
 
 
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +189,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, class) of all texts with words that are linked to others, and (doc_id, node, bands) of all rows; a node is
     a text's hash, a class the smallest node in it."""
     spark = docs.sparkSession
-    rows = common.stored(docs.select("doc_id", F.xxhash64("text").alias("node"), "text").mapInArrow(_band_rows, "doc_id bigint, node bigint, bands array<bigint>"), "bands")
-    nodes = rows.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
+    rows = common.stored(docs.select("doc_id", F.xxhash64("text").alias("node"), "text").mapInArrow(_band_rows, "doc_id bigint, node bigint, bands array<bigint>, sketch binary"), "bands")
+    nodes = rows.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     full = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
     buckets = common.stored(buckets.join(full, ["band", "value"]), "buckets")
@@ -136,32 +203,35 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common.release(spark)
 
     links, tested, component = None, None, None
-    for turn in range(ROUNDS + 1):
+    for turn, used in enumerate((*TURNS, ())):
         labelled = buckets if component is None else buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if component is None:
             labelled = labelled.withColumn("component", F.col("node"))
-        if turn < ROUNDS:
+        if used:
+            labelled = labelled.where(F.col("band").isin(*used))
             # A leader of each bucket: the member with the least hash, another one every turn.
             order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("component"))
             leader = labelled.groupBy("band", "value").agg(F.min(order).alias("l"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
             pairs = labelled.join(leader.select("band", "value", F.col("l.node").alias("a"), F.col("l.component").alias("ca")), ["band", "value"])
             pairs = pairs.where("component <> ca").select("a", F.col("node").alias("b"))
         else:
-            # Members of the smaller components of a bucket, with all members of other components there.
-            sizes = labelled.groupBy("band", "value", "component").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-            here = labelled.join(largest.select("band", "value", F.col("m.component").alias("main")), ["band", "value"])
-            apart = here.where("component <> main").select("band", "value", F.col("node").alias("a"), F.col("component").alias("ca"))
-            pairs = apart.join(here, ["band", "value"]).where("component <> ca and (component = main or a < node)").select("a", F.col("node").alias("b"))
+            sizes = labelled.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+            blocks = sizes.select("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+            here = labelled.join(blocks, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
+            sketched = here.join(nodes, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            sketched = sketched.select("band", "value", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "component", "block", "sketch", "bands", "text")
+            sketched = sketched.repartition("band", "value", "first", "second").sortWithinPartitions("band", "value", "first", "second")
+            found = common.stored(sketched.mapInArrow(_apart_rows, "a bigint, b bigint"), "links")
+            links = found if links is None else links.unionByName(found)
+            component = common.connected_components(links)
+            break
         pairs = pairs.distinct()
         if tested is not None:
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = common.stored(pairs, "pairs")
         if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
+            continue
         found = common.stored(verified(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
