@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-ACROSS = Window.partitionBy("date_utc")
+
+def across():
+    return Window.partitionBy("date_utc")
 
 
 def cross_rank(x: Column, descending: bool = True) -> Column:
     order = x.desc_nulls_last() if descending else x.asc_nulls_last()
-    return F.when(x.isNotNull(), F.row_number().over(ACROSS.orderBy(order, F.col("market"))).cast("double"))
+    return F.when(x.isNotNull(), F.row_number().over(across().orderBy(order, F.col("market"))).cast("double"))
 
 
 def cross_count(x: Column) -> Column:
-    return F.count(x).over(ACROSS)
+    return F.count(x).over(across())
 
 
 def cross_percentile(x: Column, descending: bool = True) -> Column:
@@ -26,7 +28,7 @@ def cross_percentile(x: Column, descending: bool = True) -> Column:
 def average_percentile(x: Column) -> Column:
     """Average rank over count, ascending."""
     ties = F.count(x).over(Window.partitionBy("date_utc", x))
-    return F.when(x.isNotNull(), (F.rank().over(ACROSS.orderBy(x.asc_nulls_last())) + (ties - 1) / 2) / cross_count(x))
+    return F.when(x.isNotNull(), (F.rank().over(across().orderBy(x.asc_nulls_last())) + (ties - 1) / 2) / cross_count(x))
 
 
 def bucket(rank: Column, n: Column, quantiles: int) -> Column:

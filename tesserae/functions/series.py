@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-ALONG = Window.partitionBy("market").orderBy("date_utc")
+
+def along():
+    return Window.partitionBy("market").orderBy("date_utc")
 
 
 def trailing(n: int):
-    return ALONG.rowsBetween(1 - n, 0)
+    return along().rowsBetween(1 - n, 0)
 
 
 def full(x: Column, n: int, value: Column) -> Column:
@@ -17,7 +19,7 @@ def full(x: Column, n: int, value: Column) -> Column:
 
 
 def lag(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(ALONG)
+    return F.lag(x, n).over(along())
 
 
 def log(x: Column) -> Column:
@@ -33,7 +35,7 @@ def simple_return(x: Column, n: int) -> Column:
 
 
 def forward_return(x: Column, n: int) -> Column:
-    return F.try_divide(F.lead(x, n).over(ALONG), x) - 1
+    return F.try_divide(F.lead(x, n).over(along()), x) - 1
 
 
 def delta(x: Column, n: int = 1) -> Column:
@@ -83,7 +85,7 @@ def vwgm(price: Column, volume: Column, n: int) -> Column:
 
 def age(x: Column) -> Column:
     """Bars with a value so far."""
-    return F.when(x.isNotNull(), F.count(x).over(ALONG.rowsBetween(Window.unboundedPreceding, 0)))
+    return F.when(x.isNotNull(), F.count(x).over(along().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def true_range(high: Column, low: Column, close: Column) -> Column:

@@ -15,7 +15,7 @@ def holding_state(df: DataFrame, entry: str, leave: str, name: str = "state") ->
     known = F.col(entry).isNotNull() & F.col(leave).isNotNull()
     on, off = known & (F.col(entry) != 0), known & (F.col(leave) != 0)
     anchor = F.when(on & ~off, 1).when(off & ~on, 0)
-    so_far = series.ALONG.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = series.along().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_anchor", anchor).withColumn("_toggle", F.when(on & off, 1).otherwise(0))
     df = df.withColumn("_group", F.count("_anchor").over(so_far))
     inside = Window.partitionBy("market", "_group").orderBy("date_utc").rowsBetween(Window.unboundedPreceding, 0)
@@ -34,21 +34,21 @@ def universe(df: DataFrame, feature: str, *, lag: int = 1, quantiles: int | None
         rows = rows.withColumn("bucket", cross_section.bucket(F.col("rank"), F.col("cross_section_size"), quantiles)).where(F.col("bucket").isin(*buckets))
     if top:
         rows = rows.where(F.col("rank") <= top)
-    return rows.withColumn("selected_rank", F.row_number().over(cross_section.ACROSS.orderBy("rank")))
+    return rows.withColumn("selected_rank", F.row_number().over(cross_section.across().orderBy("rank")))
 
 
 def weights(selected: DataFrame, weighting: str = "equal", gross: float = 1.0) -> DataFrame:
     """Adds target_weight by bar: equal, rank (n, n-1, ... by selected_rank) or feature_value (positive values)."""
-    n = F.count("*").over(cross_section.ACROSS)
+    n = F.count("*").over(cross_section.across())
     raw = {"equal": F.lit(1.0), "rank": (n - F.col("selected_rank") + 1).cast("double"), "feature_value": F.greatest(F.col("feature_value"), F.lit(0.0))}[weighting]
     rows = selected.withColumn("_raw", raw)
     if weighting == "feature_value":
         # Scores are shares of the gross exposure spread over the selection.
         return rows.withColumn("target_weight", F.col("_raw") * gross / n).drop("_raw")
-    return rows.withColumn("target_weight", F.col("_raw") * gross / F.sum("_raw").over(cross_section.ACROSS)).drop("_raw")
+    return rows.withColumn("target_weight", F.col("_raw") * gross / F.sum("_raw").over(cross_section.across())).drop("_raw")
 
 
 def drawdowns(curve: DataFrame, value: str) -> DataFrame:
     """Adds peak and drawdown (0 at a peak, negative below) along each market's curve."""
-    peak = F.max(value).over(series.ALONG.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max(value).over(series.along().rowsBetween(Window.unboundedPreceding, 0))
     return curve.withColumn("peak", peak).withColumn("drawdown", F.try_divide(F.col(value), F.col("peak")) - 1)

@@ -76,7 +76,7 @@ def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.avg("trade_price").over(ts.ALONG.rowsBetween(-(1 << 30), 0))
+    level = F.avg("trade_price").over(ts.along().rowsBetween(-(1 << 30), 0))
     df = portfolio.drawdowns(panels.event_hours(spark, sf_dir).withColumn("level", level), "level")
     return df.groupBy("market").agg(F.round(-100 * F.min("drawdown"), 6).alias("max_drawdown_pct"), F.count("*").alias("bars"))
 
