@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
 #: Bands whose buckets get leaders, one turn after the other, before members still apart are compared with all of their
 #: bucket. Early turns take few bands: most copies then join a component at the cost of one comparison.
-TURNS = ((0,), (1,), (2, 3), (4, 5, 6, 7), tuple(range(8, BANDS)), tuple(range(BANDS)))
+TURNS = ((0, 1), tuple(range(2, BANDS)))
 #: Members of a bucket in one block, and registers of 120 that must agree for two members still apart to be verified: a
 #: pair at similarity 0.8 has fewer with probability 2e-5.
 BLOCK, AGREE = 4096, 78
