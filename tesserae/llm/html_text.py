@@ -168,7 +168,7 @@ def main_text(html: str) -> str:
     if not weight:
         return ""
     chosen = {c for c, w in weight.items() if 5 * w >= max(weight.values()) or framed}
-    return "\n".join(text for text, _, linked, container, _ in lines if container in chosen)
+    return "\n\n".join(text for text, _, linked, container, _ in lines if container in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:
