@@ -106,3 +106,52 @@ def logical(operator: str, *flags: Column) -> Column:
     for f in flags[1:]:
         known, on = known & f.isNotNull(), (on & (f != 0) if operator == "and" else on | (f != 0))
     return F.when(known, (~on if operator == "not" else on).cast("double"))
+
+
+def volatility(x: Column, n: int) -> Column:
+    """Population deviation of n one-bar log returns; compute them as a column first (windows do not nest)."""
+    return rolling_std(x, n)
+
+
+def win_rate(x: Column, returns: Column, n: int, threshold: float = 0.0) -> Column:
+    """Share of bars with a return above the threshold; a bar without a return counts as one below."""
+    won = F.coalesce((returns > threshold).cast("double"), F.lit(0.0))
+    return full(x, n, F.avg(won).over(trailing(n)))
+
+
+def consistency(returns: Column, n: int, least: float = 1e-12) -> Column:
+    """Median return over the size of the mean return."""
+    mean = F.abs(F.avg(returns).over(trailing(n)))
+    return full(returns, n, F.when(mean > least, F.percentile(returns, F.lit(0.5)).over(trailing(n)) / mean))
+
+
+def trend_quality(log_price: Column, number: Column, n: int) -> Column:
+    """Slope of the log price along bars times R squared; null where the price stands still."""
+    over = trailing(n)
+    return full(log_price, n, F.when(F.var_pop(log_price).over(over) > 0, F.regr_slope(log_price, number).over(over) * F.regr_r2(log_price, number).over(over)))
+
+
+def weighted_return(returns: Column, weight: Column, n: int) -> Column:
+    both = F.when(returns.isNotNull() & weight.isNotNull(), F.lit(1))
+    return full(both, n, F.try_divide(F.sum(returns * weight).over(trailing(n)), F.sum(weight).over(trailing(n))))
+
+
+def beta(returns: Column, reference: Column, n: int) -> Column:
+    both = F.when(returns.isNotNull() & reference.isNotNull(), F.lit(1))
+    return full(both, n, F.try_divide(F.covar_samp(returns, reference).over(trailing(n)), F.var_samp(reference).over(trailing(n))))
+
+
+def persistent(flag: Column, n: int) -> Column:
+    """1.0 where the flag was on for n bars running."""
+    return full(flag, n, (F.sum(flag).over(trailing(n)) >= n).cast("double"))
+
+
+def period_start(unit: str) -> Column:
+    """day, week (from Monday) or month of the bar."""
+    return F.date_trunc(unit, F.col("date_utc")).cast("timestamp_ntz")
+
+
+def calendar_reduce(x: Column, unit: str, how: str) -> Column:
+    """mean, sum or last of a period, on each of its bars."""
+    over = Window.partitionBy("market", period_start(unit))
+    return {"mean": F.avg(x), "sum": F.sum(x), "last": F.max_by(x, F.when(x.isNotNull(), F.col("date_utc")))}[how].over(over)

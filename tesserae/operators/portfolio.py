@@ -37,18 +37,99 @@ def universe(df: DataFrame, feature: str, *, lag: int = 1, quantiles: int | None
     return rows.withColumn("selected_rank", F.row_number().over(cross_section.across().orderBy("rank")))
 
 
-def weights(selected: DataFrame, weighting: str = "equal", gross: float = 1.0) -> DataFrame:
-    """Adds target_weight by bar: equal, rank (n, n-1, ... by selected_rank) or feature_value (positive values)."""
-    n = F.count("*").over(cross_section.across())
-    raw = {"equal": F.lit(1.0), "rank": (n - F.col("selected_rank") + 1).cast("double"), "feature_value": F.greatest(F.col("feature_value"), F.lit(0.0))}[weighting]
-    rows = selected.withColumn("_raw", raw)
-    if weighting == "feature_value":
-        # Scores are shares of the gross exposure spread over the selection.
-        return rows.withColumn("target_weight", F.col("_raw") * gross / n).drop("_raw")
-    return rows.withColumn("target_weight", F.col("_raw") * gross / F.sum("_raw").over(cross_section.across())).drop("_raw")
+def weights(selected: DataFrame, weighting: str = "equal", gross: float = 1.0, *, power: float = 1.0, fixed: float = 0.1, scale: float = 1.0, most: int | None = None) -> DataFrame:
+    """Adds target_weight by bar: equal, fixed, rank (1 / selected_rank ** power, normalised) or feature_value (scores
+    within 0 and 1 over the number of positive ones, so that weak scores leave cash)."""
+    if most:
+        selected = selected.where(F.col("selected_rank") <= most)
+    over = cross_section.across()
+    if weighting == "fixed":
+        return selected.withColumn("target_weight", F.lit(float(fixed)))
+    if weighting == "equal":
+        return selected.withColumn("target_weight", F.lit(gross) / F.count("*").over(over))
+    if weighting == "rank":
+        raw = F.pow(F.col("selected_rank"), F.lit(-power))
+        return selected.withColumn("target_weight", raw * gross / F.sum(raw).over(over))
+    score = F.least(F.greatest(F.col("feature_value") / scale, F.lit(0.0)), F.lit(1.0))
+    positive = F.count(F.when(score > 0, 1)).over(over)
+    return selected.withColumn("target_weight", F.when(positive > 0, score * gross / positive).otherwise(F.lit(0.0)))
+
+
+def rebalance_bars(df: DataFrame, unit: str) -> DataFrame:
+    """date_utc of the first bar of every day, week or month that has bars."""
+    return df.groupBy(series.period_start(unit).alias("_period")).agg(F.min("date_utc").alias("date_utc")).select("date_utc")
+
+
+def scheduled(df: DataFrame, selected: str, unit: str, gross: float = 1.0) -> DataFrame:
+    """target_weight at all bars: equal shares and 0 on the schedule, null (hold) between."""
+    on = F.coalesce(F.col(selected), F.lit(0)) != 0
+    share = gross / F.nullif(F.count(F.when(on, 1)).over(cross_section.across()), F.lit(0))
+    rows = df.join(rebalance_bars(df, unit).withColumn("_on", F.lit(True)), "date_utc", "left")
+    return rows.withColumn("target_weight", F.when(F.col("_on"), F.when(on, share).otherwise(0.0))).drop("_on")
+
+
+def changes_only(rows: DataFrame, weight: str = "target_weight") -> DataFrame:
+    """The bars at which some market's weight differs from its last one."""
+    before = F.lag(weight).over(series.along())
+    rows = rows.withColumn("_new", (~F.col(weight).eqNullSafe(before)).cast("int"))
+    return rows.withColumn("_new", F.max("_new").over(cross_section.across())).where("_new = 1").drop("_new")
+
+
+def capped(rows: DataFrame, cap: str, weight: str = "target_weight", redistribute: bool = False) -> DataFrame:
+    """Weights held to a cap column (null: none). What is cut off stays cash, or goes to the others in proportion, again
+    within their caps: markets fill in the order of cap over weight until the level that uses everything up."""
+    if not redistribute:
+        return rows.withColumn(weight, F.least(weight, F.coalesce(cap, F.col(weight))))
+    w, limit = F.col(weight), F.coalesce(F.col(cap), F.lit(float("inf")))
+    over = cross_section.across()
+    order = over.orderBy(F.col("_at"), "market")
+    rows = rows.withColumn("_at", F.when(w > 0, limit / w).otherwise(float("inf"))).withColumn("_cap", limit)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    used, free = F.coalesce(F.sum("_cap").over(before), F.lit(0.0)), F.sum(w).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("_level", F.try_divide(F.sum(w).over(over) - used, free))
+    # The first market whose cap is not reached at its level sets the level of all.
+    level = F.min(F.when(F.col("_at") >= F.col("_level"), F.struct("_at", "market", "_level")))
+    rows = rows.withColumn("_level", level.over(over)["_level"])
+    return rows.withColumn(weight, F.when(w > 0, F.least(F.col("_cap"), F.coalesce(w * F.col("_level"), F.col("_cap")))).otherwise(0.0)).drop("_at", "_cap", "_level")
+
+
+def breadth(df: DataFrame, driver: str, signal: str, top: int, name: str = "breadth") -> DataFrame:
+    """Share of the top markets by driver whose signal is on, on each row of the bar; null where no market has both."""
+    both = F.col(driver).isNotNull() & F.col(signal).isNotNull()
+    rows = df.withColumn("_place", cross_section.cross_rank(F.when(both, F.col(driver))))
+    on = F.when(F.col("_place") <= top, (F.col(signal) != 0).cast("double"))
+    return rows.withColumn(name, F.avg(on).over(cross_section.across())).drop("_place")
+
+
+def orders(weights: DataFrame, holdings: DataFrame, equity: Column, least: float) -> DataFrame:
+    """market, delta, side: what to trade to reach target weights from the values held; less than `least` is held."""
+    rows = weights.select("market", "target_weight").join(holdings.select("market", "value"), "market", "full")
+    rows = rows.withColumn("delta", F.coalesce("target_weight", F.lit(0.0)) * equity - F.coalesce("value", F.lit(0.0)))
+    return rows.withColumn("side", F.when(F.abs("delta") < least, "hold").when(F.col("delta") > 0, "buy").otherwise("sell"))
 
 
 def drawdowns(curve: DataFrame, value: str) -> DataFrame:
     """Adds peak and drawdown (0 at a peak, negative below) along each market's curve."""
     peak = F.max(value).over(series.along().rowsBetween(Window.unboundedPreceding, 0))
     return curve.withColumn("peak", peak).withColumn("drawdown", F.try_divide(F.col(value), F.col("peak")) - 1)
+
+
+def allocate(sleeves: list[tuple[DataFrame, float]], normalise: bool = False) -> DataFrame:
+    """(date_utc, market, target_weight) of sleeves, each (date_utc, market, target_weight) with its share of the capital.
+
+    A sleeve holds its last weights at the bars it does not name; at a bar that it names, markets left out have 0.
+    """
+    rows = bars = None
+    for number, (frame, capital) in enumerate(sleeves):
+        own = frame.groupBy("date_utc", "market").agg((F.sum("target_weight") * max(capital, 0.0)).alias("w"))
+        if normalise:
+            own = own.withColumn("w", F.coalesce(F.try_divide(F.col("w") * max(capital, 0.0), F.sum("w").over(cross_section.across())), F.lit(0.0)))
+        own = own.withColumn("sleeve", F.lit(number))
+        rows = own if rows is None else rows.unionByName(own)
+    days = rows.select("date_utc", "sleeve").distinct()
+    # Every bar for every sleeve, marked where the sleeve names it; its last named bar is then an equality key.
+    bars = days.groupBy("date_utc").agg(F.collect_set("sleeve").alias("named"))
+    bars = bars.select("date_utc", "named", F.explode(F.sequence(F.lit(0), F.lit(len(sleeves) - 1))).alias("sleeve"))
+    since = F.max(F.when(F.array_contains("named", F.col("sleeve")), F.col("date_utc"))).over(Window.partitionBy("sleeve").orderBy("date_utc"))
+    bars = bars.select("sleeve", F.col("date_utc").alias("bar"), since.alias("date_utc"))
+    return bars.join(rows, ["sleeve", "date_utc"]).groupBy(F.col("bar").alias("date_utc"), "market").agg(F.sum("w").alias("target_weight"))

@@ -112,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "selection": f"""WITH {BRANDS}, m AS (SELECT *, CASE WHEN count(*) OVER {M.format(3)} = 4 THEN avg(turnover) OVER {M.format(3)} END AS mean FROM panel),
  l AS (SELECT *, lag(mean) {_W} AS feature_value FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY date_utc ORDER BY feature_value DESC, market) AS rank, count(*) OVER (PARTITION BY date_utc) AS n FROM l WHERE feature_value IS NOT NULL),
  b AS (SELECT *, 1 + (rank - 1) * 4 // n AS bucket FROM r), s AS (SELECT *, row_number() OVER (PARTITION BY date_utc ORDER BY rank) AS selected_rank, count(*) OVER (PARTITION BY date_utc) AS k FROM b WHERE bucket IN (1, 2))
- SELECT market, date_utc, rank, selected_rank, bucket, round((k - selected_rank + 1)::DOUBLE / (k * (k + 1) / 2), 6) AS target_weight FROM s""",
+ SELECT market, date_utc, rank, selected_rank, bucket, round((1.0 / selected_rank) / sum(1.0 / selected_rank) OVER (PARTITION BY date_utc), 6) AS target_weight FROM s""",
         "crossing": f"""WITH RECURSIVE {EVENTS}, f AS (SELECT market, date_utc, trade_price, CASE WHEN count(*) OVER {M.format(2)} = 3 THEN avg(trade_price) OVER {M.format(2)} END AS short,
  CASE WHEN count(*) OVER {ten} = 10 THEN avg(trade_price) OVER {ten} END AS long, row_number() {_W} AS rn FROM panel),
  e AS (SELECT *, (short > long)::INT::DOUBLE AS entry, (trade_price < short)::INT::DOUBLE AS exit FROM f),

@@ -1,9 +1,9 @@
 import duckdb
 import pytest
 
-from tesserae import queries
+from tesserae import portfolio_queries, queries
 from tesserae.functions import series
-from tesserae.operators import portfolio
+from tesserae.operators import portfolio, recursive
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,10 +21,14 @@ def rows(frame):
     return sorted(map(tuple, frame.values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+QUERIES = queries.queries() | portfolio_queries.queries()
+SQL = queries.oracle_sql() | portfolio_queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, oracle, name):
-    got = queries.queries()[name](spark, SF).toPandas()
-    expected = oracle.execute(queries.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    expected = oracle.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     for c in got.columns:
         if c not in ("market", "date_utc"):
@@ -47,3 +51,48 @@ def test_logical_is_null_strict(spark):
     df = spark.createDataFrame([(0, None), (1, None), (1, 1), (1, 0)], "a int, b int")
     got = df.select(series.logical("and", F.col("a"), F.col("b")).alias("x"), series.logical("or", F.col("a"), F.col("b")).alias("y")).collect()
     assert [tuple(r) for r in got] == [(None, None), (None, None), (1.0, 1.0), (0.0, 1.0)]
+
+
+def bars(spark, values, names):
+    return spark.createDataFrame([("m", i, *map(float, v)) for i, v in enumerate(values)], "market string, date_utc int, " + ", ".join(f"{n} double" for n in names))
+
+
+def test_smoothing_and_simulation(spark):
+    got = [r["ewma"] for r in recursive.ewma(bars(spark, [[1], [2], [3], [6]], ["x"]), "x", 3).orderBy("date_utc").collect()]
+    assert got == [None, None, 2, 4]
+    got = [r["equity"] for r in recursive.simulate(bars(spark, [[100, 1], [110, 0]], ["p", "w"]), "p", "w", fee=0.001).orderBy("date_utc").collect()]
+    assert [round(v, 6) for v in got] == [999.000999, 1097.802198]
+
+
+def test_directional_index_of_a_steady_rise(spark):
+    df = bars(spark, [[i + 1, i, i + 0.5] for i in range(12)], ["high_price", "low_price", "trade_price"])
+    assert [r["adx"] for r in recursive.adx(df, 3).orderBy("date_utc").collect()][4:] == [100.0] * 8
+
+
+def across(spark, weights, caps):
+    return spark.createDataFrame([(m, 0, float(w), c) for m, w, c in zip("ABC", weights, caps, strict=True)], "market string, date_utc int, target_weight double, cap double")
+
+
+def test_caps(spark):
+    df = across(spark, (0.5, 0.3, 0.2), (0.3, None, None))
+    for redistribute, expected in ((False, [0.3, 0.3, 0.2]), (True, [0.3, 0.42, 0.28])):
+        got = portfolio.capped(df, "cap", redistribute=redistribute).orderBy("market").collect()
+        assert [round(r["target_weight"], 9) for r in got] == expected
+    full = portfolio.capped(across(spark, (0.5, 0.3, 0.2), (0.1, 0.1, 0.1)), "cap", redistribute=True).collect()
+    assert [round(r["target_weight"], 9) for r in full] == [0.1, 0.1, 0.1]
+
+
+def test_feature_value_weights_leave_cash(spark):
+    df = spark.createDataFrame([("A", 0, 0.5, 1), ("B", 0, 1.0, 2), ("C", 0, 0.0, 3)], "market string, date_utc int, feature_value double, selected_rank int")
+    assert [r["target_weight"] for r in portfolio.weights(df, "feature_value").orderBy("market").collect()] == [0.25, 0.5, 0.0]
+
+
+def test_allocation_holds_a_sleeve_between_its_bars(spark):
+    make = lambda rows: spark.createDataFrame(rows, "date_utc int, market string, target_weight double")
+    got = portfolio.allocate([(make([(0, "A", 1.0), (2, "B", 1.0)]), 0.6), (make([(1, "A", 0.5)]), 0.4)]).orderBy("date_utc", "market").collect()
+    assert [(r["date_utc"], r["market"], round(r["target_weight"], 9)) for r in got] == [(0, "A", 0.6), (1, "A", 0.8), (2, "A", 0.2), (2, "B", 0.6)]
+
+
+def test_incremental_score(spark):
+    df = bars(spark, [[1], [1], [0], [0]], ["on"])
+    assert [r["score"] for r in recursive.incremental_weights(df, "on", 0.5, 0.25).orderBy("date_utc").collect()] == [0.5, 1.0, 0.75, 0.5]
