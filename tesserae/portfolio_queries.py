@@ -113,9 +113,9 @@ def oracle_sql() -> dict[str, str]:
         "research_factors": f"""WITH {BRANDS}, l AS (SELECT *, {_R} AS r, ln(trade_price) AS lp, row_number() {_W} AS n FROM panel), f AS (SELECT *, lp - lag(lp) {_W} AS lr, list(trade_price) OVER {M.format(9)} AS held FROM l)
  SELECT market, date_utc, {_roll('stddev_pop(lr)', 'lr', 8, 'volatility')}, {_roll('median(r)', 'r', 8, 'median_momentum')},
  round(CASE WHEN count(*) OVER {eight} = 8 THEN avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) OVER {eight} END, 6) AS win_rate,
- round(CASE WHEN count(r) OVER {seven} = 7 AND abs(avg(r) OVER {seven}) > 1e-12 THEN median(r) OVER {seven} / abs(avg(r) OVER {seven}) END, 6) AS consistency,
- round(CASE WHEN n >= 12 AND var_pop(lp) OVER {twelve} > 0 THEN regr_slope(lp, n) OVER {twelve} * regr_r2(lp, n) OVER {twelve} END, 6) AS trend_quality,
- round(CASE WHEN count(r) OVER {M.format(5)} = 6 THEN sum(r * turnover) OVER {M.format(5)} / sum(turnover) OVER {M.format(5)} END, 6) AS weighted,
+ round(CASE WHEN count(r) OVER {seven} = 7 AND abs(avg(r) OVER {seven}) > 1e-12 THEN median(r) OVER {seven} / abs(avg(r) OVER {seven}) END, 6) + 0::DOUBLE AS consistency,
+ round(CASE WHEN n >= 12 AND var_pop(lp) OVER {twelve} > 0 THEN regr_slope(lp, n) OVER {twelve} * regr_r2(lp, n) OVER {twelve} END, 6) + 0::DOUBLE AS trend_quality,
+ round(CASE WHEN count(r) OVER {M.format(5)} = 6 THEN sum(r * turnover) OVER {M.format(5)} / sum(turnover) OVER {M.format(5)} END, 6) + 0::DOUBLE AS weighted,
  round(CASE WHEN n >= 10 THEN (len(list_filter(held, lambda x: x < trade_price)) + (len(list_filter(held, lambda x: x = trade_price)) + 1) / 2.0) / 10 END, 6) AS share FROM f""",
         "benchmark_beta": f"""WITH {BRANDS}, f AS (SELECT *, {_R} AS r, trade_price / nullif(lag(trade_price, 4) {_W}, 0) - 1 AS momentum FROM panel),
  j AS (SELECT f.*, b.r AS b, b.momentum AS bm FROM f LEFT JOIN f b ON b.market = '{REFERENCE}' AND b.date_utc = f.date_utc),

@@ -22,7 +22,7 @@ M = "(PARTITION BY market ORDER BY date_utc ROWS BETWEEN {} PRECEDING AND CURREN
 
 def _roll(function: str, x: str, n: int, name: str) -> str:
     over = "OVER " + M.format(n - 1)
-    return f"round(CASE WHEN count({x}) {over} = {n} THEN {function} {over} END, 6) AS {name}"
+    return f"round(CASE WHEN count({x}) {over} = {n} THEN {function} {over} END, 6) + 0::DOUBLE AS {name}"
 
 
 def _out(df: DataFrame, digits: int = 6, **columns) -> DataFrame:
