@@ -181,7 +181,7 @@ def test_html():
     <article><h1>Head &amp; line</h1><p>First   paragraph with
     some words, long enough to count as content.<br>More.<p>Short.<script>var t="</p>";</script><form><input>Sign up</form></article>
     <aside>Side</aside><section class="comments"><p>Reader says</p></section><footer>&copy; x</footer></body></html>"""
-    assert html_text.main_text(page) == "Head & line\nFirst paragraph with some words, long enough to count as content. More.\n\nShort."
+    assert html_text.main_text(page) == "Head & line\n\nFirst paragraph with some words, long enough to count as content. More.\n\nShort."
     assert html_text.main_text("") == ""
     plain = "<body><div id=menu><a href=1>a</a></div><div><p>" + passage(1, 60) + "</p><p>" + passage(2, 60) + "</p></div></body>"
     assert html_text.main_text(plain) == passage(1, 60) + "\n\n" + passage(2, 60)
