@@ -57,3 +57,46 @@ def information_ratio(curve: DataFrame, reference: DataFrame, value: str, bars_a
     other = with_returns(reference.withColumn("market", F.lit("")), value, "b").select("date_utc", "b")
     rows = with_returns(curve, value).join(other, "date_utc").withColumn("excess", F.col("r") - F.col("b"))
     return rows.groupBy("market").agg(F.count("*").alias("bars"), ratio(F.col("excess"), bars_a_year).alias("air"))
+
+
+def excess(curve: DataFrame, reference: DataFrame, value: str) -> DataFrame:
+    """Adds excess returns over a reference curve (date_utc, value), and their product since the first common bar."""
+    other = with_returns(reference.withColumn("market", F.lit("")), value, "b").select("date_utc", "b")
+    rows = with_returns(curve, value).join(other, "date_utc").withColumn("excess", F.col("r") - F.col("b"))
+    so_far = series.along().rowsBetween(Window.unboundedPreceding, 0)
+    lost = F.min("excess").over(so_far) <= -1
+    return rows.withColumn("excess_curve", F.when(lost, 0.0).otherwise(F.exp(F.sum(F.ln(1 + F.greatest("excess", F.lit(-0.999999)))).over(so_far))))
+
+
+def rolling_information(rows: DataFrame, n: int, bars_a_year: float, name: str = "rolling_air") -> DataFrame:
+    """The information ratio of n bars of excess returns, by the year."""
+    over = series.trailing(n)
+    deviation = F.stddev_pop("excess").over(over)
+    return rows.withColumn(name, series.full(F.col("excess"), n, F.when(deviation > 0, F.avg("excess").over(over) / deviation * bars_a_year**0.5)))
+
+
+def rolling_summary(rows: DataFrame, name: str = "rolling_air") -> DataFrame:
+    x = F.col(name)
+    positive = F.avg(F.when(x.isNotNull(), (x > 0).cast("double")))
+    return rows.groupBy("market").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.25)).alias("q25"), positive.alias("positive"), F.min(x).alias("least"), F.max(x).alias("most"))
+
+
+def recent(curve: DataFrame, years: int) -> DataFrame:
+    """The rows of each market from `years` before its last bar on."""
+    last = F.max("date_utc").over(Window.partitionBy("market"))
+    begins = F.add_months(last.cast("date"), -12 * years).cast("timestamp_ntz") + (last - F.date_trunc("day", last).cast("timestamp_ntz"))
+    return curve.withColumn("_begins", begins).where(F.col("date_utc") >= F.col("_begins")).drop("_begins")
+
+
+def deepest(curve: DataFrame, value: str) -> DataFrame:
+    """peak_at, trough_at and recovered_at (null: not yet) of each market's deepest drawdown."""
+    so_far = series.along().rowsBetween(Window.unboundedPreceding, 0)
+    rows = curve.withColumn("_peak", F.max(value).over(so_far)).withColumn("_down", F.try_divide(F.col(value), F.col("_peak")) - 1)
+    rows = rows.withColumn("_trough", F.min(F.struct("_down", "date_utc", "_peak")).over(Window.partitionBy("market")))
+    at, top = F.col("_trough.date_utc"), F.col("_trough._peak")
+    return rows.groupBy("market").agg(
+        F.min(F.when((F.col(value) == top) & (F.col("date_utc") <= at), F.col("date_utc"))).alias("peak_at"),
+        F.min(at).alias("trough_at"),
+        F.min(F.when((F.col(value) >= top) & (F.col("date_utc") > at), F.col("date_utc"))).alias("recovered_at"),
+        F.min(F.col("_trough._down")).alias("drawdown"),
+    )

@@ -1,9 +1,9 @@
 import duckdb
 import pytest
 
-from tesserae import portfolio_queries, queries
+from tesserae import portfolio_queries, queries, research_queries
 from tesserae.functions import series
-from tesserae.operators import portfolio, recursive
+from tesserae.operators import backtest, metrics, portfolio, recursive
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,8 +21,8 @@ def rows(frame):
     return sorted(map(tuple, frame.values.tolist()))
 
 
-QUERIES = queries.queries() | portfolio_queries.queries()
-SQL = queries.oracle_sql() | portfolio_queries.oracle_sql()
+QUERIES = queries.queries() | portfolio_queries.queries() | research_queries.queries()
+SQL = queries.oracle_sql() | portfolio_queries.oracle_sql() | research_queries.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -96,3 +96,24 @@ def test_allocation_holds_a_sleeve_between_its_bars(spark):
 def test_incremental_score(spark):
     df = bars(spark, [[1], [1], [0], [0]], ["on"])
     assert [r["score"] for r in recursive.incremental_weights(df, "on", 0.5, 0.25).orderBy("date_utc").collect()] == [0.5, 1.0, 0.75, 0.5]
+
+
+def test_net_growth_is_the_recursion(spark):
+    values = [[100, 1], [110, 0], [90, 0.5], [120, 0.25], [80, 1], [85, 1]]
+    df = bars(spark, values, ["p", "w"])
+    slow = [r["equity"] for r in recursive.simulate(df, "p", "w", fee=0.001).orderBy("date_utc").collect()]
+    fast = [r["equity"] for r in backtest.equity(backtest.net_growth(df, "p", "w", ["market"], 0.001), ["market"]).orderBy("date_utc").collect()]
+    assert fast == pytest.approx(slow, rel=1e-12)
+
+
+def test_folds_hold_month_ends(spark):
+    df = spark.sql("SELECT explode(array(timestamp_ntz'2020-01-31', timestamp_ntz'2021-01-31')) AS date_utc")
+    got = [(r["fold"], r["phase"], str(r["begins"])[:10], str(r["ends"])[:10]) for r in backtest.folds(df, 6, 3, 1, expanding=True).orderBy("fold", "phase").collect()]
+    assert got[:2] == [(0, "is", "2020-01-31", "2020-07-31"), (0, "oos", "2020-07-31", "2020-10-31")]
+    assert got[2:4] == [(1, "is", "2020-01-31", "2020-08-31"), (1, "oos", "2020-08-31", "2020-11-30")]
+    assert len(got) == 8
+
+
+def test_deepest_drawdown(spark):
+    got = metrics.deepest(bars(spark, [[100], [90], [100], [70], [97], [101], [99]], ["v"]), "v").first()
+    assert (got["peak_at"], got["trough_at"], got["recovered_at"]) == (0, 3, 5)
