@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries in a worker's cache of encoded pieces.
+#: Entries in a task's cache of encoded pieces, 0.7 KB each; dropped at its end, since Spark keeps workers for later stages.
 CACHE = 1_000_000
 #: The vocabulary's pattern within Latin-1, with the alternatives that begin alike first.
 _L, _N = common.LATIN_LETTERS, common.LATIN_NUMBERS
@@ -116,7 +116,7 @@ class ByteBPE:
         """
         known = self._follows.get(left << 32 | right)
         if known is None:
-            if len(self._follows) >= 1_000_000:
+            if len(self._follows) >= 250_000:
                 self._follows.clear()
             known = self._follows[left << 32 | right] = self._compatible(left, right)
         return known
@@ -185,6 +185,11 @@ class ByteBPE:
             found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
         return b"".join(found)
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts: workers outlive a task, and later stages need the memory."""
+        self._pieces = common.Recent(self._pieces.limit * 2)
+        self._follows.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -234,6 +239,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
             columns = [batch.column(0), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())]
             out = pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
             yield out if with_ids else out.drop_columns(["ids"])
+        bpe.forget()
 
     ids = "ids binary, " if with_ids else ""
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
