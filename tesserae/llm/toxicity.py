@@ -1,15 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 The terms of a text are its lower-case words and their beginnings of four and five letters. Fitting takes a bounded sample
-of labelled documents (SAMPLE, those with the least hash of doc_id) and keeps the terms whose presence goes with the label
-by a chi-square test. Document frequencies of these terms come from all documents. Sampled documents with the same vector
-are one example with a count of labels.
+of labelled documents (SAMPLE, those with the least hash of doc_id); every term of the sample counts, by its inverse
+document frequency among all documents. Sampled documents with the same vector are one example with a count of labels.
 
-Examples are kept in an inverted index of blocks: each term has its postings and the largest weight in each block, so the
-sum of a query's products with these maxima bounds every cosine of a block. Blocks are scored in order of their bounds
-until the worst of the best k cannot be beaten: the k nearest are exact. Votes of neighbours are weighted by distance, and the
+Examples are kept in an inverted index; the postings of terms that many examples have are rows of a matrix. Every example is
+scored, and the k nearest are exact. Votes of neighbours are weighted by distance, and the
 vote is mapped to a probability by isotonic regression on leave-one-out votes of the sample. The nearest examples' doc_ids
-are the evidence. The index is bounded by SAMPLE and TERMS, and is broadcast.
+are the evidence. The index is bounded by SAMPLE, and is broadcast.
 
 Labels are taken from rows only whose crc32(doc_id) mod 4 is not 2. Defined results: null and empty texts, and texts with
 none of the terms, get the rate of the label among sampled texts without terms; rows of labels with a null are ignored, and
@@ -22,21 +20,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
 SAMPLE = 20_000
-TERMS = 1024
-LEAST_CHI_SQUARE, LEAST_DOCUMENTS = 30.0, 5
 NEIGHBOURS = 15
 CUTOFF = 0.3
+#: Texts that are scored together.
 BLOCK = 64
+#: A term that more than one in so many examples has is a row of the matrix.
+COMMON = 32
 _WORDS = re.compile(r"\w+")
 
 
@@ -50,7 +50,7 @@ class Vocabulary:
         self.words: dict[str, tuple[int, ...]] = {}
 
     def counts(self, text: str) -> Counter:
-        """How often each kept term occurs."""
+        """How often each term of the sample occurs."""
         words = _WORDS.findall(text.lower())
         found = list(map(self.words.get, words))
         if None in found:
@@ -65,53 +65,88 @@ class Vocabulary:
         return Counter(i for each in found if each for i in each)
 
 
+def arrays(vector: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+
+
 class Examples:
-    """The index: vectors as postings by term with block maxima."""
+    """The index: vectors by example and as postings by term; terms of many examples as rows of a matrix."""
 
-    def __init__(self, vectors: list[dict[int, float]], positive: list[int], total: list[int], doc_ids: list[int], rest: tuple[int, int]):
+    def __init__(self, vectors: Iterable[dict[int, float]], positive: list[int], total: list[int], doc_ids: list[int], rest: tuple[int, int]):
         self.positive, self.total, self.doc_ids = np.array(positive, dtype=float), np.array(total, dtype=float), doc_ids
         self.rest = rest  # labels of examples without terms
         seen, good = self.total.sum() + rest[1], self.positive.sum() + rest[0]
         self.prior = good / seen if seen else 0.0
-        self.blocks = -(-len(vectors) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for n, v in enumerate(vectors):
-            for t, w in v.items():
-                postings.setdefault(t, []).append((n, w))
-        self.postings = {}
-        for t, p in postings.items():
-            who, weight = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, who // BLOCK, weight)
-            self.postings[t] = who, weight, most
+        self.n = len(doc_ids)
+        terms, weights = [np.zeros(0, np.int32)], [np.zeros(0)]
+        for v in vectors:
+            t, w = arrays(v)
+            terms.append(t.astype(np.int32))
+            weights.append(w)
+        self.ends = np.cumsum([len(t) for t in terms])
+        self.term, self.weight = np.concatenate(terms), np.concatenate(weights)
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        self.n = len(vectors)
+        self.matrix: np.ndarray | None = None
+
+    def index(self) -> None:
+        """Postings and matrix, made from the vectors where they are used."""
+        order = np.argsort(self.term, kind="stable")
+        self.who = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))[order]
+        self.posted = self.weight[order].astype(np.float32)
+        found = np.bincount(self.term, minlength=1)
+        self.starts = np.concatenate(([0], np.cumsum(found)))
+        often = np.flatnonzero(COMMON * found > self.n)
+        self.row = np.full(len(found), -1)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n), dtype=np.float32)
+        for k, t in enumerate(often.tolist()):
+            here = slice(self.starts[t], self.starts[t + 1])
+            self.matrix[k, self.who[here]] = self.posted[here]
+        self.query = np.zeros(len(found))
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosine of each query with every example, in single precision."""
+        if self.matrix is None:
+            self.index()
+        rows, rare = np.zeros((len(queries), len(self.matrix)), dtype=np.float32), []
+        for k, (terms, weights) in enumerate(queries):
+            known = terms < len(self.row)
+            terms, weights = terms[known], weights[known]
+            row = self.row[terms]
+            rows[k, row[row >= 0]] = weights[row >= 0]
+            rare.append((terms[row < 0], weights[row < 0]))
+        out = rows @ self.matrix
+        for scores, (terms, weights) in zip(out, rare, strict=True):
+            sizes = self.starts[terms + 1] - self.starts[terms]
+            at = np.repeat(self.starts[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            scores += np.bincount(self.who[at], self.posted[at] * np.repeat(weights, sizes), self.n)
+        return out
+
+    def best(self, query: tuple[np.ndarray, np.ndarray], scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine and the cosines: all that single precision cannot tell from the k best are
+        counted again in double precision."""
+        least = np.partition(scores, self.n - k)[self.n - k] - 1e-5 if self.n > k else 0.0
+        near = np.flatnonzero((scores > 0) & (scores >= least))
+        terms, weights = query
+        known = terms < len(self.query)
+        self.query[terms[known]] = weights[known]
+        exact = np.array([float(self.query[self.term[s:e]] @ self.weight[s:e]) for s, e in zip(self.ends[near].tolist(), self.ends[near + 1].tolist(), strict=True)])
+        self.query[terms[known]] = 0.0
+        first = np.argsort(-exact, kind="stable")[:k]
+        return near[first], np.minimum(exact[first], 1.0)
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine and the cosines."""
-        known = [(q, *self.postings[t]) for t, q in query.items() if t in self.postings]
-        bound = np.zeros(self.blocks)
-        for q, _, _, most in known:
-            bound += q * most
-        order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(self.n)
-        at, step, worst = 0, 2, 0.0
-        while at < len(order) and bound[order[at]] > worst:
-            wanted = np.zeros(self.blocks, dtype=bool)
-            wanted[order[at : at + step]] = True
-            for q, who, weight, _ in known:
-                here = wanted[who // BLOCK]
-                scores[who[here]] += q * weight[here]
-            at, step = at + step, 2 * step
-            if self.n > k:
-                worst = max(0.0, float(np.partition(scores, self.n - k)[self.n - k]) - 1e-12)
-        best = np.argsort(-scores, kind="stable")[:k]
-        best = best[scores[best] > 0]
-        return best, np.minimum(scores[best], 1.0)
-
-    def vote(self, query: dict[int, float], without: tuple[int, int] | None = None) -> tuple[float, np.ndarray]:
-        """The distance-weighted vote, and the neighbours; without: (example, label) that is left out."""
-        who, cosine = self.nearest(query, NEIGHBOURS) if query else (np.zeros(0, dtype=int), np.zeros(0))
+        return self.best(arrays(query), self.cosines([arrays(query)])[0], k)
+
+    def nearest_of_each(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        none = np.zeros(0, dtype=int), np.zeros(0)
+        for at in range(0, len(queries), BLOCK):
+            part = queries[at : at + BLOCK]
+            for query, scores in zip(part, self.cosines(part), strict=True):
+                yield self.best(query, scores, NEIGHBOURS) if len(query[0]) else none
+
+    def vote(self, who: np.ndarray, cosine: np.ndarray, without: tuple[int, int] | None = None) -> tuple[float, np.ndarray]:
+        """The distance-weighted vote of neighbours; without: (example, label) that is left out."""
         good, total = self.positive[who], self.total[who]
         rest = self.rest
         if without is not None:
@@ -126,14 +161,15 @@ class Examples:
         share = (good + self.prior) / (total + 1.0)
         return float((weight @ share + 0.5 * self.prior) / (weight.sum() + 0.5)), who
 
-    def calibrate(self, vectors: list[dict[int, float]]) -> None:
+    def calibrate(self) -> None:
         """Isotonic regression of labels on leave-one-out votes, by pooling adjacent violators."""
         rows = []  # (vote, label, count)
-        for n, v in enumerate([*vectors, {}]):
+        own = [(self.term[s:e], self.weight[s:e]) for s, e in zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)]
+        for n, near in enumerate(self.nearest_of_each([*own, (np.zeros(0, dtype=int), np.zeros(0))])):
             good, total = (int(self.positive[n]), int(self.total[n])) if n < self.n else self.rest
             for label, count in ((1, good), (0, total - good)):
                 if count:
-                    rows.append((self.vote(v, (n if n < self.n else -1, label))[0], label, count))
+                    rows.append((self.vote(*near, (n if n < self.n else -1, label))[0], label, count))
         rows.sort()
         pools: list[list[float]] = []  # [sum of labels, count, sum of votes]
         for vote, label, count in rows:
@@ -161,35 +197,25 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of this task each term occurs, by label."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    """The terms of this task's texts."""
+    seen: set[str] = set()
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text in batch.column(0).to_pylist():
             words = set(_WORDS.findall((text or "").lower()))
-            seen[1 if label else 0].update({t for w in words for t in terms_of(w)})
-    terms = list(seen[0].keys() | seen[1].keys())
-    for at in range(0, max(1, len(terms)), 50_000):
-        part = terms[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][t] for t in part], pa.int64()), pa.array([seen[0][t] for t in part], pa.int64())], ["term", "good", "bad"])
+            seen.update(t for w in words for t in terms_of(w))
+    terms = list(seen)
+    for at in range(0, len(terms), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(terms[at : at + 50_000], pa.string())], ["term"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[list[str], np.ndarray, Examples]:
-    """The kept terms, their inverse document frequencies, and the index of examples."""
+    """The terms of the sample, their inverse document frequencies, and the index of examples."""
     spark = docs.sparkSession
     label = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other"))
     sample = label.where("label = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "label")
     sample = common.stored(sample, "sample")
     chosen = common.stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label"), "examples")  # at most SAMPLE pairs of numbers
-    totals = {int(r["label"]): r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    terms: list[str] = []
-    if n1 and n0:
-        counted = chosen.select("text", "label").mapInArrow(_term_rows, "term string, good bigint, bad bigint").groupBy("term").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        a, b = F.col("good").cast("double"), F.col("bad").cast("double")
-        c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-        chi = F.try_divide(F.lit(float(n1 + n0)) * (a * d - b * c) ** 2, (a + b) * (c + d) * float(n1) * float(n0))
-        kept = counted.withColumn("chi", chi).where((a + b >= LEAST_DOCUMENTS) & (F.col("chi") >= LEAST_CHI_SQUARE))
-        terms = sorted(r[0] for r in kept.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect())
+    terms: list[str] = chosen.select("text").mapInArrow(_term_rows, "term string").distinct().toArrow().sort_by("term").column("term").to_pylist()
 
     def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, seen, n = Vocabulary(terms), Counter(), 0
@@ -212,17 +238,19 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[list
             found = [sorted(vocabulary.counts(text.as_py() or "").items()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([[x[0] for x in f] for f in found], pa.list_(pa.int32())), pa.array([[x[1] for x in f] for f in found], pa.list_(pa.int32()))], ["doc_id", "label", "term", "n"])
 
-    groups: dict[tuple, list[int]] = {}
     vectors = chosen.select("doc_id", "text", "label").mapInArrow(vector_rows, "doc_id bigint, label int, term array<int>, n array<int>")
     vectors = vectors.groupBy("term", "n").agg(F.sum("label").alias("good"), F.count("*").alias("total"), F.min("doc_id").alias("doc_id"))
-    for r in vectors.collect():  # at most SAMPLE short vectors
-        groups[tuple(zip(r["term"], r["n"], strict=True))] = [r["good"], r["total"], r["doc_id"]]
-    rest = groups.pop((), [0, 0, 0])
-    # Examples with the same strongest term side by side make for tight blocks.
-    built = [(weighted(dict(key), idf), value) for key, value in sorted(groups.items())]
-    built.sort(key=lambda x: max(x[0], key=x[0].get))
-    index = Examples([v for v, _ in built], [x[0] for _, x in built], [x[1] for _, x in built], [x[2] for _, x in built], (rest[0], rest[1]))
-    index.calibrate([v for v, _ in built])
+    vectors = vectors.toArrow().sort_by("doc_id")  # at most SAMPLE texts
+    empty = pc.equal(pc.list_value_length(vectors.column("term")), 0)
+    rest = [(r["good"], r["total"]) for r in vectors.filter(empty).select(["good", "total"]).to_pylist()]
+    vectors = vectors.filter(pc.invert(empty))
+    built = (weighted(dict(zip(t.as_py(), n.as_py(), strict=True)), idf) for t, n in zip(vectors.column("term"), vectors.column("n"), strict=True))
+    index = Examples(built, *(vectors.column(c).to_pylist() for c in ("good", "total", "doc_id")), rest[0] if rest else (0, 0))
+    del vectors
+    index.calibrate()
+    index.matrix = None
+    for made in ("who", "posted", "starts", "row", "query"):
+        index.__dict__.pop(made, None)
     common.drop_stored(sample, chosen)
     common.release(spark)
     return terms, idf, index
@@ -238,17 +266,21 @@ def score(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
         terms, idf, index = fitted.value
         vocabulary, known = Vocabulary(terms), {}
         for batch in batches:
-            scores, evidence = [], []
+            keys = []
             for text in batch.column(1):
-                counts = vocabulary.counts(text.as_py() or "")
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    vote, who = index.vote(weighted(counts, idf))
-                    known[key] = index.probability(vote), [int(index.doc_ids[w]) for w in who[:3]]
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+                counts = sorted(vocabulary.counts(text.as_py() or "").items())
+                keys.append(np.array(counts, dtype=np.int32).tobytes())
+                known.setdefault(keys[-1], None)
+            wanted = [k for k in dict.fromkeys(keys) if known[k] is None]
+            for at in range(0, len(wanted), BLOCK):
+                part = wanted[at : at + BLOCK]
+                queries = [arrays(weighted(dict(np.frombuffer(k, dtype=np.int32).reshape(-1, 2).tolist()), idf)) for k in part]
+                for k, near in zip(part, index.nearest_of_each(queries), strict=True):
+                    vote, who = index.vote(*near)
+                    known[k] = index.probability(vote), [int(index.doc_ids[w]) for w in who[:3]]
+            scores, evidence = [known[k][0] for k in keys], [known[k][1] for k in keys]
+            if len(known) > 2_000:
+                known.clear()
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *(batch.column(k) for k in range(2, batch.num_columns))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence", *keep])
 

@@ -263,3 +263,15 @@ def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert 0 < len(out) < 3 * docs.count() and all(r["n_tokens"] >= 0 for r in out)
+
+
+def test_toxicity_of_few_labels(spark):
+    words = [passage(k, 8) for k in range(70)]
+    texts = [(k, w + (" vile slur hateful filth" if k % 8 == 0 else " kind word lovely garden"), "en", "s", 1) for k, w in enumerate(words)]
+    df = spark.createDataFrame(texts, SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(24)], "doc_id long, toxic int")
+    terms = toxicity.fit(df, labels)[0]
+    seen = {t for k, text, *_ in texts[:24] if zlib.crc32(str(k).encode()) % 4 != 2 for w in text.split() for t in toxicity.terms_of(w)}
+    assert terms == sorted(seen)  # none is cut
+    assert {r["doc_id"] for r in toxicity.score(df, labels).where(f"score >= {toxicity.CUTOFF}").collect()} == set(range(0, 70, 8))
+    assert {r["doc_id"] for r in toxicity.accepted(df, labels).collect()} == {k for k in range(70) if k % 8}
