@@ -244,19 +244,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id, kept of every row."""
+    """doc_id, node, component, class_id, kept of every row; the component is null for a text without words."""
     component, rows = classes(docs)
     labelled = rows.join(component.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     labelled = labelled.select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("component", "node")).alias("component"))
     least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    out = labelled.join(least, "component", "left").select("doc_id", "node", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    out = labelled.join(least, "component", "left").select("doc_id", "node", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each class the one with the smallest doc_id. Repeats of its row go too."""
-    marked = near_duplicates(docs).where("kept").select("doc_id", "node", "class_id").distinct()
-    first = marked.groupBy("class_id", "doc_id").agg(F.min("node").alias("node"))
+    marked = near_duplicates(docs).where("kept and component is not null")
+    first = marked.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("f")).select("f.doc_id", "f.node")
     # Texts without words are no copies of one another; they stay.
     keyed = docs.withColumn("node", F.xxhash64("text"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD_PATTERN)

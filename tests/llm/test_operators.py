@@ -275,3 +275,10 @@ def test_toxicity_of_few_labels(spark):
     assert terms == sorted(seen)  # none is cut
     assert {r["doc_id"] for r in toxicity.score(df, labels).where(f"score >= {toxicity.CUTOFF}").collect()} == set(range(0, 70, 8))
     assert {r["doc_id"] for r in toxicity.accepted(df, labels).collect()} == {k for k in range(70) if k % 8}
+
+
+def test_every_class_keeps_a_document(spark):
+    a, b, c, d = (passage(k, 60) for k in (21, 22, 23, 24))
+    texts = [(None, a), (None, a), (None, b), (7, c), (7, d), (8, d)]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], SCHEMA)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in minhash.one_of_each(df).collect()) == sorted([(0, a), (0, b), (7, c), (7, d)])
