@@ -1,8 +1,9 @@
 """MinHash near-dedup by ProbMinHash, banding and verification.
 
-A document is a weighted set of shingles of five words: a shingle's weight is 1 + ln(occurrences). Each shingle starts a
+A document is a set of shingles of five words, each of weight 1 however often it occurs. Each shingle starts a
 Poisson process whose rate is its weight; every arrival goes to one of the registers, and a register keeps the shingle
-that reached it first. Two documents agree in a register with their probability Jaccard similarity. Arrivals of a shingle
+that reached it first. Two documents agree in a register with their probability Jaccard similarity, which at equal
+weights is the Jaccard similarity of their sets, the measure of a link. Arrivals of a shingle
 that come later than the latest register cannot matter, so most shingles stop after an arrival or two.
 
 Bands of registers put documents into buckets. In a bucket, pairs are never emitted as such: members are verified against
@@ -79,10 +80,10 @@ def prob_min_hash(elements: np.ndarray, weights: np.ndarray, registers: int) ->
 
 def bands(data: bytes) -> tuple[np.ndarray, bytes] | None:
     """The hash of each band of registers, and a byte of each register; None for a text without words."""
-    elements, counts = shingles(data)
+    elements, _ = shingles(data)
     if not len(elements):
         return None
-    owner = prob_min_hash(elements, 1 + np.log(counts), BANDS * ROWS).reshape(BANDS, ROWS)
+    owner = prob_min_hash(elements, np.ones(len(elements)), BANDS * ROWS).reshape(BANDS, ROWS)
     out = np.zeros(BANDS, dtype=np.uint64)
     for column in owner.T:
         out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + column)

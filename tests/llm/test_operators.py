@@ -282,3 +282,13 @@ def test_every_class_keeps_a_document(spark):
     texts = [(None, a), (None, a), (None, b), (7, c), (7, d), (8, d)]
     df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], SCHEMA)
     assert sorted((r["doc_id"] or 0, r["text"]) for r in minhash.one_of_each(df).collect()) == sorted([(0, a), (0, b), (7, c), (7, d)])
+
+
+def test_copies_that_repeat_a_passage():
+    for k in range(40, 50):
+        words = passage(k, 300).split()
+        one, two = " ".join(words).encode(), " ".join(words + words[:60] * 1000).encode()
+        x, y = (set(minhash.shingles(t)[0].tolist()) for t in (one, two))
+        assert len(x & y) / len(x | y) > 0.9
+        (b1, s1), (b2, s2) = minhash.bands(one), minhash.bands(two)
+        assert (b1 == b2).any() and sum(p == q for p, q in zip(s1, s2, strict=True)) >= minhash.AGREE
