@@ -44,7 +44,8 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Nearest examples, banding and BPE merging are beyond SQL; tests/llm holds each stage against brute force.
+#: Nearest examples, banding and BPE merging are beyond SQL. tests/llm holds substring_dedup against brute force, byte_bpe
+#: against the library; toxicity and near-dedup are tested on planted cases, mixing by columns and count only.
 ORACLE_SQL = None
 
 
