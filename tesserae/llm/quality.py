@@ -1,22 +1,27 @@
 """Quality rules: a linear-chain conditional random field labels lines as content or boilerplate.
 
 A document is the sequence of its lines with a word. Each line has a short vector of features (signs, capitals, digits,
-repeats, length, sentence ends); the field scores a label by these and by the label before it. Weights are learned once,
-by maximum likelihood over forward-backward sums, from a bounded sample of labelled documents (FIT_DOCUMENTS of at most
-FIT_LINES lines, those with the least hash of doc_id), in which all lines carry the document's label. Viterbi decoding
-then gives the best sequence for every document, and the share of word bytes in content lines decides: a document is kept
-if it passes the base rules and at least half of it is content.
-
-Fitting takes labels only from rows whose crc32(doc_id) mod 4 is not 2, so that accuracy can be measured on the others.
-The fitted weights are a few dozen numbers; documents stay in their partitions.
+repeats, length, sentence ends); the field scores a label by these and by the label before it. Labels are known of
+documents only, so the labels of a bad document's lines are hidden, and the document's label bounds them: at least half of its word
+bytes are boilerplate. A good document is content throughout. Weights are learned by turns, by maximum
+likelihood over forward-backward sums: with all lines of a document labelled alike at first (and transitions still 0),
+then with the best sequences that keep to the bounds. Clean lines of bad documents so become content, and transitions
+learn where runs of boilerplate begin and end. Viterbi decoding then gives the best sequence for every document, and the share of
+word bytes in content lines decides: a document is kept if it passes the base rules and at least half of it is content.
+
+The sample of the fit is bounded: FIT_DOCUMENTS labelled documents, those with the least hash of doc_id, and of each the FIT_LINES
+consecutive lines from a hashed place on (all of them in shorter documents). Fitting takes labels only from rows whose
+crc32(doc_id) mod 4 is not 2, so that accuracy can be measured on the others. The fitted weights are a few dozen numbers;
+documents stay in their partitions.
 
 Defined results: a null text has no words and fails the base rules; rows of labels with nulls, and doc_ids with both labels, are ignored;
-without labels every line is content; repeated rows are judged alike; other columns are ignored; an empty table gives an
-empty result.
+of rows that repeat a labelled doc_id one is in the sample; without labels of both kinds every line is content; repeated rows are judged
+alike; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,9 @@ from pyspark.sql import functions as F
 from tesserae.llm import common
 from tesserae.llm.toxicity import held_out
 
-FIT_DOCUMENTS, FIT_LINES = 4_000, 256
+FIT_DOCUMENTS, FIT_LINES = 4_000, 128
+#: Turns of relabelling and fitting after the first.
+TURNS = 4
 LEAST_WORDS, MOST_REPEATED = 10, 20
 LEAST_SHARE = 0.5
 WINDOW = 5
@@ -130,17 +137,19 @@ class Field:
         self.weights = np.zeros(FEATURES) if weights is None else weights
         self.transitions = np.zeros((2, 2)) if transitions is None else transitions
 
-    def fit(self, sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, shrink: float = 1e-3) -> Field:
-        """Gradient ascent (Adam) on the mean log-likelihood of a line; sequences of like length go together."""
+    def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 100, rate: float = 0.1, shrink: float = 1e-5, chain: bool = True) -> Field:
+        """Gradient ascent (Adam) on the mean log-likelihood of a line, whose labels are given; sequences of like length go
+        together. Without `chain` the transitions stay as they are."""
         groups: dict[int, list[int]] = {}
         for k, s in enumerate(sequences):
             groups.setdefault(1 << (len(s) - 1).bit_length(), []).append(k)
         packed = []
         for steps, members in sorted(groups.items()):
-            x, mask = np.zeros((len(members), steps, FEATURES)), np.zeros((len(members), steps))
+            x, mask, y = np.zeros((len(members), steps, FEATURES)), np.zeros((len(members), steps)), np.zeros((len(members), steps))
             for i, k in enumerate(members):
-                x[i, : len(sequences[k])], mask[i, : len(sequences[k])] = sequences[k], 1
-            packed.append((x, mask, np.array([labels[k] for k in members])))
+                n = len(sequences[k])
+                x[i, :n], mask[i, :n], y[i, :n] = sequences[k], 1, labels[k]
+            packed.append((x, mask, y))
         lines = sum(len(s) for s in sequences)
         theta = np.concatenate((self.weights, self.transitions.ravel()))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -148,11 +157,37 @@ class Field:
             slope = -shrink * theta
             for x, mask, y in packed:
                 slope += self._slope(theta, x, mask, y) / lines
+            if not chain:
+                slope[FEATURES:] = 0.0
             m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
             theta = theta + rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
         self.weights, self.transitions = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
         return self
 
+    def fit_hidden(self, sequences: list[np.ndarray], sizes: list[np.ndarray], bad: list[int]) -> Field:
+        """From labels of documents; sizes are the word bytes of their lines."""
+        labels = [np.full(len(s), y) for s, y in zip(sequences, bad, strict=True)]
+        self.fit(sequences, labels, chain=False)
+        for _ in range(TURNS):
+            labels = [self.bounded(s, size) if y else np.zeros(len(s)) for s, size, y in zip(sequences, sizes, bad, strict=True)]
+            self.fit(sequences, labels, rounds=40)
+        return self
+
+    def bounded(self, features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The best sequence in which at least half of the document is boilerplate: with the least bonus for boilerplate
+        that a search by halves finds, none if none is needed."""
+        low, high, best = 0.0, 64.0, np.ones(len(features))
+        for turn in range(9):
+            bonus = (low + high) / 2 if turn else 0.0
+            found = np.array(self.decode(features, bonus))
+            if 2 * sizes[found == 1].sum() >= sizes.sum():
+                best, high = found, bonus
+                if not turn:
+                    break
+            else:
+                low = bonus
+        return best
+
     @staticmethod
     def _slope(theta: np.ndarray, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> np.ndarray:
         w, t = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
@@ -170,19 +205,19 @@ class Field:
             backward[:, k] = np.where(mask[:, k + 1, None] > 0, step, 0)
         total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         on = np.exp(forward[..., 1] + backward[..., 1] - total[:, None]) * mask
-        slope_w = np.einsum("nk,nkf->f", y[:, None] * mask - on, x)
+        slope_w = np.einsum("nk,nkf->f", y * mask - on, x)
         pairs = mask[:, 1:]
-        expected = np.zeros((2, 2))
+        slope_t = np.zeros((2, 2))
         for a in (0, 1):
             for b in (0, 1):
-                expected[a, b] = (np.exp(forward[:, :-1, a] + t[a, b] + emit[:, 1:, b] + backward[:, 1:, b] - total[:, None]) * pairs).sum()
-        seen = np.diag([pairs[y == 0].sum(), pairs[y == 1].sum()])
-        return np.concatenate((slope_w, (seen - expected).ravel()))
+                seen = ((y[:, :-1] == a) & (y[:, 1:] == b)) * pairs
+                slope_t[a, b] = (seen - np.exp(forward[:, :-1, a] + t[a, b] + emit[:, 1:, b] + backward[:, 1:, b] - total[:, None]) * pairs).sum()
+        return np.concatenate((slope_w, slope_t.ravel()))
 
-    def decode(self, features: np.ndarray) -> list[int]:
-        """The best sequence of labels (Viterbi)."""
+    def decode(self, features: np.ndarray, bonus: float = 0.0) -> list[int]:
+        """The best sequence of labels (Viterbi); of equal ones that with content. A bonus goes to each line of boilerplate."""
         (aa, ab), (ba, bb) = self.transitions.tolist()
-        emit = (features @ self.weights).tolist()
+        emit = (features @ self.weights + bonus).tolist()
         if not emit:
             return []
         a, b, back = 0.0, emit[0], []
@@ -209,16 +244,22 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Field:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Measured(data).features for data in common.text_bytes(batch)]
-            keep = [k for k, f in enumerate(found) if 0 < len(f) <= FIT_LINES]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(2).cast(pa.int32()).take(pa.array(keep, pa.int32())), pa.array([found[k].tobytes() for k in keep], pa.binary())], ["doc_id", "label", "features"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, label int, features binary")
-    rows = sorted(((r["doc_id"], r["features"], r["label"]) for r in rows.collect()))  # of at most FIT_DOCUMENTS documents
+            rows: list[tuple] = []
+            for doc_id, label, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), common.text_bytes(batch), strict=True):
+                m = Measured(data)
+                n = len(m.features)
+                if n:
+                    at = zlib.crc32(str(doc_id).encode()) % max(1, n - FIT_LINES + 1)
+                    rows.append((doc_id, label, np.column_stack((m.features, m.weights))[at : at + FIT_LINES].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "label", "lines"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id bigint, label int, lines binary")
+    rows = sorted(((r[0], r[1], r[2]) for r in rows.groupBy("doc_id").agg(F.min("label"), F.min("lines")).collect()))  # FIT_DOCUMENTS at most
     common.drop_stored(sample)
     field = Field()
-    if len({r[2] for r in rows}) == 2:
-        field.fit([np.frombuffer(r[1]).reshape(-1, FEATURES) for r in rows], [1 - r[2] for r in rows])
+    if len({label for _, label, _ in rows}) == 2:
+        lines = [np.frombuffer(x).reshape(-1, FEATURES + 1) for _, _, x in rows]
+        field.fit_hidden([x[:, :-1] for x in lines], [x[:, -1] for x in lines], [1 - label for _, label, _ in rows])
     return field
 
 
