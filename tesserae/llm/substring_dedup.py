@@ -3,20 +3,21 @@
 A window is a run of `window` consecutive words of one document. A word goes if it is covered by a window whose words also
 start in a document with a smaller doc_id; windows are judged on the input.
 
-One automaton over the corpus does not fit anywhere, and streaming every document past every shard is quadratic, so
-passages are routed first, by their content alone:
+One automaton over the corpus does not fit anywhere, and streaming every document past every shard is quadratic, so a
+shard is one document's passages, and documents stream past the shards that may hold something of theirs. Hashes route;
+automata decide every window.
 
 1. Each window has an anchor: the k-gram with the smallest hash among those inside it. Equal windows have equal anchors,
-   so consecutive windows with one anchor form a segment, and segments in which anchors occur in one document only are
-   done. The routing key of everything else is the anchor.
-2. Segments equal as a whole are collapsed by (anchor, segment hash) with partial aggregation: in all documents but the
-   first, each window of the segment is repeated. Large groups of copies end here.
-3. Of segments that differ but share an anchor, one occurrence each (the first document's) forms a reference shard,
-   keyed by the anchor. A task goes through a shard in order of doc_id: the segment's matching statistics against the
-   suffix automaton of the shard's earlier documents give the windows that are repeated, then its words extend the
-   automaton. An automaton holds one shard, and a shard holds at most HOT segments.
-4. The exact way for the rest: anchors with more distinct segments (a common phrase shorter than a window, say) are split
-   further, into one key per window (128 bits of hash), whose first document is a partial aggregation again.
+   so consecutive windows with one anchor form a segment, and segments whose anchors occur in one document only are
+   done.
+2. Segments equal as a whole (by anchor and segment hash) name the smallest document among them as their reference. Where
+   segments that differ share an anchor, one occurrence of each is taken apart, and windows equal by 128 bits of hash name
+   the smallest document among them.
+3. A document's segments and windows that name one reference are merged into runs of words. The runs that a reference has
+   itself make up its suffix automaton, and the runs of the others stream past it: where the matching statistics
+   reach the window length, windows are repeated. Tasks get (reference, piece, salt): a reference of more than SHARD_WORDS words is cut
+   into overlapping pieces with an automaton each, and the runs that name a reference are dealt over as many salts as
+   their bytes need.
 
 Spans of a document are then merged and cut out of its text. `remove_references` is the plain form of the method for a
 reference set of bounded size (a benchmark, say): its shards' automata are broadcast, and documents stream past them.
@@ -34,18 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tesserae.llm import common
 
 WINDOW = 50
 #: Words of an anchor.
 ANCHOR = 20
-#: Segments in a shard from which it is split by window.
-HOT = 256
-#: Words of a broadcast reference shard, and shards broadcast at most.
+#: Words of a shard's automaton, and shards broadcast at most.
 SHARD_WORDS, SHARDS = 200_000, 16
+#: Bytes of runs that one task streams past a reference.
+SALT_BYTES = 4 << 20
 
 
 class SuffixAutomaton:
@@ -166,66 +168,102 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 SEGMENT_ROWS = "doc_id bigint, key bigint, anchor bigint, segment bigint, start int, count int"
 
 
-def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From documents with lists of their segments to rows of passages: the words of a segment, or for a segment of a
-    split anchor each window's hashes."""
-    names = ["doc_id", "key", "anchor", "start", "words", "high", "low"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+def _flushed(out: list[list], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From documents with lists of segments to a row for each window of them, with 128 bits of its hash."""
+    names, types = ["doc_id", "key", "start", "high", "low"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for doc_id, key, data, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.text_bytes(batch), batch.column(3), strict=True):
-            starts, ends = common.word_edges(data)
-            grams = None
-            for s in listed.as_py():
-                first, n = s["start"], s["count"]
-                if s["hot"]:
-                    if grams is None:
-                        words = common.word_hashes(data, starts, ends)
-                        grams = common.Grams(words), common.Grams(common.mix(words ^ np.uint64(0x5851F42D4C957F2D)))
-                    at = np.arange(first, first + n)
-                    high, low = (common.signed(g.runs(at, at + WINDOW)).tolist() for g in grams)
-                    rows = [[doc_id] * n, [key] * n, [s["anchor"]] * n, at.tolist(), [None] * n, high, low]
-                else:
-                    last = first + n + WINDOW - 2
-                    rows = [[doc_id], [key], [s["anchor"]], [first], [b" ".join(data[starts[first] : ends[last]].split())], [None], [None]]
-                for column, x in zip(out, rows, strict=True):
-                    column += x
-            if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+            words = common.word_hashes(data, *common.word_edges(data))
+            grams = common.Grams(words), common.Grams(common.mix(words ^ np.uint64(0x5851F42D4C957F2D)))
+            at = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["count"]) for s in listed.as_py()]))
+            high, low = (common.signed(g.runs(at, at + WINDOW)).tolist() for g in grams)
+            for column, x in zip(out, ([doc_id] * len(at), [key] * len(at), at.tolist(), high, low), strict=True):
+                column += x
+            if len(out[0]) > 100_000:
+                yield _flushed(out, names, types)
                 out = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+        yield _flushed(out, names, types)
+
+
+def runs_of(starts: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs [from, to) of the windows starts[k] .. starts[k] + counts[k] - 1, of touching windows."""
+    order = np.argsort(starts, kind="stable")
+    out: list[tuple[int, int]] = []
+    for first, end in zip(starts[order].tolist(), (starts + counts)[order].tolist(), strict=True):
+        if out and first <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((first, end))
+    return out
+
 
+def pieces_of(runs: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int, int]]:
+    """(piece, from, to) of the runs of windows, cut such that the words of a piece are about `size`."""
+    piece = held = 0
+    for first, end in runs:
+        while first < end:
+            if held >= size:
+                piece, held = piece + 1, 0
+            to = min(end, first + size - held)
+            yield piece, first, to
+            held, first = held + to - first + WINDOW - 1, to
 
-PASSAGE_ROWS = "doc_id bigint, key bigint, anchor bigint, start int, words binary, high bigint, low bigint"
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From documents with the references that their segments and windows name to the words of runs; a document's runs that
+    name itself are its own shard."""
+    names = ["reference", "piece", "doc_id", "key", "start", "words"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        held = 0
+        for doc_id, key, data, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.text_bytes(batch), batch.column(3), strict=True):
+            starts, ends = common.word_edges(data)
+            reference, start, count = (np.array(x, dtype=np.int64) for x in zip(*((s["first"], s["start"], s["count"]) for s in listed.as_py()), strict=True))
+            for r in np.unique(reference).tolist():
+                runs = runs_of(start[reference == r], count[reference == r])
+                for piece, first, to in pieces_of(runs, SHARD_WORDS) if r == doc_id else ((None, *run) for run in runs):
+                    words = b" ".join(data[starts[first] : ends[to + WINDOW - 2]].split())
+                    held += len(words)
+                    for column, x in zip(out, (r, piece, doc_id, key, first, words), strict=True):
+                        column.append(x)
+            if held > 8 << 20:
+                yield _flushed(out, names, types)
+                out, held = [[] for _ in names], 0
+        yield _flushed(out, names, types)
+
+
+RUN_ROWS = "reference bigint, piece int, doc_id bigint, key bigint, start int, words binary"
 
 
 def _match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages sorted by (anchor, doc_id), a shard after the other, to repeated windows (doc_id, key, start, count)."""
-    anchor = doc = None
-    shard, waiting = SuffixAutomaton(), []
+    """Runs sorted by (reference, piece, salt), the reference's own first, to repeated windows (doc_id, key, start, count)."""
+    group, shard = None, SuffixAutomaton()
+    names, types = ["doc_id", "key", "start", "count"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for a, doc_id, key, start, data in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "doc_id", "key", "start", "words")), strict=True):
+        out: list[list] = [[] for _ in names]
+        for *key_of_group, other, doc_id, key, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key_of_group != group:
+                group, shard = key_of_group, SuffixAutomaton()
             words = data.split(b" ")
-            if a != anchor:
-                anchor, doc, shard, waiting = a, doc_id, SuffixAutomaton(), []
-            elif doc_id != doc:
-                for passage in waiting:  # from here on these belong to a smaller doc_id
-                    shard.add(passage)
-                doc, waiting = doc_id, []
-            waiting.append(words)
-            if len(shard.next) == 1:
+            if not other:
+                shard.add(words)
                 continue
-            windows = repeated_windows(shard, words, WINDOW)
-            at = 0
-            while at < len(windows):
-                end = at
-                while end + 1 < len(windows) and windows[end + 1] == windows[end] + 1:
-                    end += 1
-                for column, x in zip(out, (doc_id, key, start + windows[at], end - at + 1), strict=True):
+            windows = np.array(repeated_windows(shard, words, WINDOW), dtype=np.int64)
+            for first, end in runs_of(windows, np.ones_like(windows)):
+                for column, x in zip(out, (doc_id, key, start + first, end - first), strict=True):
                     column.append(x)
-                at = end + 1
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "key", "start", "count"])
+        yield _flushed(out, names, types)
+
+
+def _listed(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row for each document, with the list of what it has."""
+    return rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("listed"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -234,37 +272,40 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
     rows = common.stored(keyed.mapInArrow(_segment_rows, SEGMENT_ROWS), "segments")
 
-    # Anchors of two documents or more, and whether their segments differ.
+    # Anchors of two documents or more, and whether their segments differ. Stored, so that a hot anchor of the join is split.
     anchors = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("segment").alias("c"), F.max("segment").alias("d"))
-    anchors = anchors.where("a < b").select("anchor", (F.col("c") < F.col("d")).alias("differ"))
+    anchors = common.stored(anchors.where("a < b").select("anchor", (F.col("c") < F.col("d")).alias("differ")), "anchors")
     shared = common.stored(rows.join(anchors, "anchor"), "shared")
-    common.drop_stored(rows)
+    common.drop_stored(rows, anchors)
     common.release(spark)
 
-    # Equal segments: all but the first document's are repeated as a whole.
-    first = shared.groupBy("anchor", "segment", "differ").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = common.stored(first, "first")
-    whole = shared.join(first.where("first < last").select("anchor", "segment", "first"), ["anchor", "segment"]).where("doc_id > first").select("doc_id", "key", "start", "count")
-
-    # Different segments of one anchor: the first document's occurrence of each.
-    differ = first.where("differ")
-    sizes = differ.groupBy("anchor").agg((F.count("*") > HOT).alias("hot"))
-    differ = differ.join(sizes, "anchor").select("anchor", "segment", F.col("first").alias("doc_id"), "hot")
-    chosen = shared.join(differ, ["anchor", "segment", "doc_id"])
-    listed = chosen.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "count", "hot")).alias("listed"))  # of one document
-    passages = keyed.join(listed, ["doc_id", "key"]).select("doc_id", "key", "text", "listed").mapInArrow(_passage_rows, PASSAGE_ROWS)
-    passages = common.stored(passages, "passages")
-    common.release(spark)
+    # Equal segments name their first document.
+    first = common.stored(shared.groupBy("anchor", "segment", "differ").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "first")
+    equal = shared.join(first.where("first < last").select("anchor", "segment", "first"), ["anchor", "segment"]).select("doc_id", "key", "first", "start", "count")
+
+    # Different segments of one anchor: the windows of the first document's occurrence of each.
+    chosen = shared.join(first.where("differ").select("anchor", "segment", F.col("first").alias("doc_id")), ["anchor", "segment", "doc_id"])
+    listed = keyed.join(_listed(chosen, "start", "count"), ["doc_id", "key"]).select("doc_id", "key", "text", "listed")
+    windows = common.stored(listed.mapInArrow(_window_rows, "doc_id bigint, key bigint, start int, high bigint, low bigint"), "windows")
+    earliest = common.stored(windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "earliest")
+    same = windows.join(earliest, ["high", "low"]).select("doc_id", "key", "first", "start", F.lit(1).alias("count"))
 
-    sharded = passages.where("words is not null").select("anchor", "doc_id", "key", "start", "words")
-    matched = sharded.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_match_rows, "doc_id bigint, key bigint, start int, count int")
-    windows = passages.where("words is null").select("doc_id", "key", "start", "high", "low")
-    earliest = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    split = windows.join(earliest, ["high", "low"]).where("doc_id > first").select("doc_id", "key", "start", F.lit(1).alias("count"))
+    named = keyed.join(_listed(equal.unionByName(same), "first", "start", "count"), ["doc_id", "key"]).select("doc_id", "key", "text", "listed")
+    runs = common.stored(named.mapInArrow(_run_rows, RUN_ROWS), "runs")
+    common.drop_stored(shared, first, windows, earliest)
+    common.release(spark)
 
-    spans = whole.unionByName(matched).unionByName(split).groupBy("doc_id", "key").agg(F.collect_list(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("count") + (WINDOW - 1)).alias("to"))).alias("spans"))
+    # References with more than one piece or salt.
+    shards = runs.groupBy("reference").agg((F.coalesce(F.max("piece"), F.lit(0)) + 1).alias("pieces"), F.ceil(F.sum(F.when(F.col("piece").isNull(), F.length("words"))) / SALT_BYTES).cast("int").alias("salts"))
+    shards = common.stored(shards.where("pieces > 1 or salts > 1").select("reference", F.sequence(F.lit(0), F.col("pieces") - 1).alias("pieces"), F.sequence(F.lit(0), F.col("salts") - 1).alias("salts")), "shards")
+    dealt = runs.join(shards, "reference", "left").withColumn("other", F.col("piece").isNull())
+    dealt = dealt.withColumn("salt", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0))).when(F.col("other"), F.array(F.pmod(F.hash("doc_id", "key"), F.size("salts")))).otherwise(F.col("salts"))))
+    dealt = dealt.withColumn("piece", F.explode(F.when(~F.col("other"), F.array("piece")).when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(F.col("pieces"))))
+    dealt = dealt.select("reference", "piece", "salt", "other", "doc_id", "key", "start", "words").repartition("reference", "piece", "salt").sortWithinPartitions("reference", "piece", "salt", "other")
+    matched = dealt.mapInArrow(_match_rows, "doc_id bigint, key bigint, start int, count int")
+    spans = matched.groupBy("doc_id", "key").agg(F.collect_list(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("count") + (WINDOW - 1)).alias("to"))).alias("spans"))
     out = common.stored(spans, "spans")
-    common.drop_stored(shared, first, passages)
+    common.drop_stored(runs, shards)
     common.release(spark)
     return out
 
@@ -282,9 +323,10 @@ def _kept(data: bytes, spans: list[tuple[int, int]] | None) -> tuple[int, int, b
     return len(starts), len(starts) - len(keep), b" ".join([data[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
-    keyed = docs.withColumn("key", F.xxhash64("text"))
-    return keyed.join(spans, ["doc_id", "key"], "left").select("text", "spans", *columns)
+def _with_spans(docs: DataFrame, *keep: Column) -> DataFrame:
+    """text, spans and the columns `keep` of every row."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", *keep)
+    return keyed.join(repeated_spans(docs), ["doc_id", "key"], "left").drop("key")
 
 
 def _span_list(value) -> list[tuple[int, int]] | None:
@@ -297,14 +339,14 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [])
-            for data, spans in zip(common.text_bytes(batch), batch.column(1).to_pylist(), strict=True):
+            for data, spans in zip(common.text_bytes(batch), batch.column(2).to_pylist(), strict=True):
                 n, gone, left = _kept(data, _span_list(spans))
                 out[0].append(n)
                 out[1].append(gone)
                 out[2].append(hashlib.sha256(_joined(data) if left is None else left).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text"), repeated_spans(docs), "doc_id").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _with_spans(docs).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def _joined(data: bytes) -> bytes:
@@ -314,25 +356,26 @@ def _joined(data: bytes) -> bytes:
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out. Texts that lose nothing stay as they are; what is left of others is
-    joined by single spaces, with n_chars to match; documents that lose every word are dropped."""
-    columns = docs.columns
+    joined by single spaces, with n_chars (if there is such a column) to match; documents that lose every word are
+    dropped. Other columns go through unread, whatever their names."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*rest, F.lit(True).alias("text"))  # the last field only keeps the struct from being empty
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = batch.to_pydict()
-            keep = []
-            for k, (data, spans) in enumerate(zip(common.text_bytes(batch), table.pop("spans"), strict=True)):
+            texts, keep = [], []
+            for k, (data, spans) in enumerate(zip(common.text_bytes(batch), batch.column(3).to_pylist(), strict=True)):
                 left = _kept(data, _span_list(spans))[2]
-                if left is not None:
-                    table["text"][k] = left.decode()
-                    if "n_chars" in table:
-                        table["n_chars"][k] = len(table["text"][k])
                 if left is None or left:
                     keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([table[c][k] for k in keep], batch.schema.field(c).type) for c in columns], columns)
-
-    rest = [c for c in columns if c != "text"]
-    return _with_spans(docs, repeated_spans(docs), *rest).mapInArrow(run, docs.schema)
+                    texts.append(None if left is None else left.decode())
+            columns = [c.take(pa.array(keep, pa.int32())) for c in (batch.column(0), batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["doc_id", "text", "row", "left"])
+
+    schema = StructType([docs.schema["doc_id"], docs.schema["text"], StructField("row", docs.select(row.alias("row")).schema["row"].dataType), StructField("left", StringType())])
+    cut = _with_spans(docs, row.alias("row")).mapInArrow(run, schema)
+    own = {"doc_id": F.col("doc_id"), "text": F.coalesce("left", "text"), "n_chars": F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length("left")) if "n_chars" in rest else None}
+    return cut.select(*[own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def remove_references(docs: DataFrame, references: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
