@@ -6,7 +6,6 @@ Words are maximal runs of characters other than space and U+0009 to U+000D, unch
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -33,12 +32,10 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tesserae-shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -47,6 +44,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tesserae-{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that stored() made and drop_stored() has not deleted.
+_kept: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: a lineage cut that outlives any executor."""
     spark = df.sparkSession
@@ -54,6 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._tesserae_folder = folder
+    _kept.append(folder)
     return out
 
 
@@ -62,9 +64,30 @@ def drop_stored(*tables: DataFrame) -> None:
     for df in tables:
         folder = getattr(df, "_tesserae_folder", None)
         if folder:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if folder in _kept:
+        _kept.remove(folder)
+
+
+class Stored:
+    """Tables that follow on one another: when one is stored, all that was stored since the one before goes."""
+
+    def __init__(self):
+        self.others = set(_kept)
+
+    def next(self, df: DataFrame, name: str) -> DataFrame:
+        old = [folder for folder in _kept if folder not in self.others]
+        out = stored(df, name)
+        for folder in old:
+            _delete(df.sparkSession, folder)
+        release(df.sparkSession)
+        return out
 
 
 def release(spark: SparkSession) -> None:

@@ -8,9 +8,10 @@ Counting collisions between all pairs of a corpus is quadratic however narrow th
 to cells: TABLES times over, a vector's cell is the signs of some projections. The number of signs follows the logarithm
 of the number of vectors, and the number of tables follows from it and the recall. A pair is handled in the first table
 in which it shares a cell only, which the task finds from the vectors themselves. Cells of any size are handled
-whole: large ones are split into blocks, and a task gets two blocks. A task returns, for each of its vectors, the number
+whole: large ones are split into blocks, and a task gets two blocks. There the collision counts say which pairs are
+verified; no cosine is computed for others. A task returns, for each of its vectors, the number
 of links it found and one link to the smallest vector of its part, never a list of pairs. Equal vectors count as one with
-a multiplicity.
+a multiplicity; they are told apart by 128 bits of hash.
 
 The links are cosines of 0.9 or more in double precision, and no pair below is linked; recall (of the two filters
 together) is 0.96 or more for pairs at 0.9 and rises quickly above.
@@ -40,6 +41,8 @@ LINES = 32
 HALF_WINDOW = 1.0
 #: Vectors of a cell on average, and vectors of a block.
 CELL, BLOCK = 128, 512
+#: Pairs that are verified at once.
+PAIRS = 20_000
 SEED = 20_24
 
 
@@ -84,8 +87,8 @@ def collisions(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> np
     return out
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -94,7 +97,10 @@ def _block_links(x: np.ndarray, y: np.ndarray, same: bool, table: int, signs: in
     if same:
         near = np.triu(near, 1)
     i, j = np.nonzero(near)
-    keep = (x @ y.T)[i, j] >= THRESHOLD
+    keep = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), PAIRS):  # only pairs with the count are verified
+        part = slice(at, at + PAIRS)
+        keep[part] = np.einsum("kd,kd->k", x[i[part]], y[j[part]]) >= THRESHOLD
     i, j = i[keep], j[keep]
     if table and len(i):
         mine = cells(x, signs, tables)[:, :table]
@@ -106,12 +112,12 @@ def _block_links(x: np.ndarray, y: np.ndarray, same: bool, table: int, signs: in
     return i, j
 
 
-def _group_rows(table: int, first: int, second: int, nodes: list[int], counts: list[int], blocks: list[int], raw: list[bytes], signs: int, tables: int):
+def _group_rows(table: int, first: int, second: int, nodes: list[bytes], counts: list[int], blocks: list[int], raw: list[bytes], signs: int, tables: int, kind: str):
     """(node, links, peer) of the vectors of one pair of blocks."""
     for size in sorted({len(v) for v in raw}):
         own = [k for k, v in enumerate(raw) if len(v) == size]
-        x = unit([raw[k] for k in own])
-        node, count, block = (np.array([values[k] for k in own], dtype=np.int64) for values in (nodes, counts, blocks))
+        x = unit([raw[k] for k in own], kind)
+        count, block = (np.array([values[k] for k in own], dtype=np.int64) for values in (counts, blocks))
         left, right = (np.arange(len(own)),) * 2 if first == second else (np.flatnonzero(block == first), np.flatnonzero(block == second))
         if not len(left) or not len(right):
             continue
@@ -120,7 +126,9 @@ def _group_rows(table: int, first: int, second: int, nodes: list[int], counts: l
             continue
         i, j = left[i], right[j]
         links = np.bincount(i, count[j], len(own)) + np.bincount(j, count[i], len(own))
-        peer = node.copy()
+        ranked = sorted(range(len(own)), key=lambda k: nodes[own[k]])
+        peer = np.empty(len(own), dtype=np.int64)
+        peer[ranked] = np.arange(len(own))
         while True:
             least = peer.copy()
             np.minimum.at(least, i, peer[j])
@@ -129,20 +137,20 @@ def _group_rows(table: int, first: int, second: int, nodes: list[int], counts: l
                 break
             peer = least
         for k in np.flatnonzero(links):
-            yield int(node[k]), int(links[k]), int(peer[k])
+            yield nodes[own[k]], int(links[k]), nodes[own[ranked[peer[k]]]]
 
 
-def _link_rows(signs: int, tables: int):
+def _link_rows(signs: int, tables: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, ([], [], [], [])
         done: list[tuple] = []
 
         def finish():
             if group is not None and len(held[0]) > 1:
-                done.extend(_group_rows(group[0], group[2], group[3], *held, signs, tables))
+                done.extend(_group_rows(group[0], group[2], group[3], *held, signs, tables, kind))
 
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "links", "peer"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], ["node", "links", "peer"])
 
         for batch in batches:
             for *key, node, count, block, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -163,25 +171,27 @@ def _link_rows(signs: int, tables: int):
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding)."""
     spark = vectors.sparkSession
-    wide = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    kind = "<f4" if single else "<f8"  # vectors move as they are given; cosines are in double precision
+    wide = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
-    wide = wide.withColumn("node", F.when(fine, F.xxhash64("v")))
+    wide = wide.withColumn("node", F.when(fine, F.unhex(F.md5(F.col("v").cast("string")))))
 
     nodes = common.stored(wide.where("node is not null").groupBy("node").agg(F.count("*").alias("count"), F.min("vec_id").alias("vec_id"), F.first("v").alias("v")), "vectors")
     signs, tables = shape(nodes.count())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.array(v, dtype="<f8").tobytes() for v in batch.column(2).to_pylist()]
+            raw = [np.array(v, dtype=kind).tobytes() for v in batch.column(2).to_pylist()]
             found: list = [None] * len(raw)
             for size in {len(v) for v in raw}:
                 own = [k for k, v in enumerate(raw) if len(v) == size]
                 # Vectors of different length do not meet.
-                for k, row in zip(own, cells(unit([raw[k] for k in own]), signs, tables) + ((size // 8) << 40), strict=True):
+                for k, row in zip(own, cells(unit([raw[k] for k in own], kind), signs, tables) + (size << 40), strict=True):
                     found[k] = row.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["node", "count", "vector", "cells"])
 
-    placed = common.stored(nodes.select("node", "count", "v").mapInArrow(place, "node bigint, count bigint, vector binary, cells array<bigint>"), "cells")
+    placed = common.stored(nodes.select("node", "count", "v").mapInArrow(place, "node binary, count bigint, vector binary, cells array<bigint>"), "cells")
     sizes = placed.select(F.posexplode("cells").alias("table", "cell")).groupBy("table", "cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = sizes.select("table", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = placed.select("node", "count", "vector", F.posexplode("cells").alias("table", "cell")).join(blocks, ["table", "cell"])
@@ -189,13 +199,15 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("table", "cell", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "count", "block", "vector")
     rows = rows.repartition("table", "cell", "first", "second").sortWithinPartitions("table", "cell", "first", "second")
-    found = common.stored(rows.mapInArrow(_link_rows(signs, tables), "node bigint, links bigint, peer bigint"), "vector-links")
+    found = common.stored(rows.mapInArrow(_link_rows(signs, tables, kind), "node binary, links bigint, peer binary"), "vector-links")
+    common.drop_stored(placed)
     common.release(spark)
 
     component = common.connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")).where("a <> b"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     table = nodes.select("node", "count", "vec_id").join(links, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = table.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    table = common.stored(table, "vector-classes")
+    least = common.stored(table.groupBy("component").agg(F.min("vec_id").alias("component_id")), "vector-least")
     table = table.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"), "component_id")
     out = wide.select("vec_id", "node").join(table, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -11,7 +11,8 @@ one leader, the linked are joined into components, and only members still apart
 in the end to every member of another component they share a bucket with, so no link is left out because of a leader. In
 that last step a task holds one or two blocks of a bucket with their texts, verifies the pairs whose registers agree often
 enough, and returns links that join components. A link
-is a Jaccard similarity of shingle sets of 0.8 or more, counted on the texts. Exact copies count as one text throughout.
+is a Jaccard similarity of shingle sets of 0.8 or more, counted on the texts: a change of one word takes five shingles, so copies with many
+scattered changes are below it and stay apart. Exact copies count as one text throughout.
 Leaders with many members are salted.
 
 Defined results: null texts and texts without words are alone in their class; texts of one to four words have one shingle, all their words;
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
@@ -38,9 +39,9 @@ BANDS, ROWS = 20, 6
 #: Bands whose buckets get leaders, one turn after the other, before members still apart are compared with all of their
 #: bucket. Early turns take few bands: most copies then join a component at the cost of one comparison.
 TURNS = ((0, 1), tuple(range(2, BANDS)))
-#: Members of a bucket in one block, and registers of 120 that must agree for two members still apart to be verified: a
+#: Members of a bucket in one block and bytes of their texts, as a mean, and registers of 120 that must agree for two members still apart to be verified: a
 #: pair at similarity 0.8 has fewer with probability 2e-5.
-BLOCK, AGREE = 4096, 78
+BLOCK, BLOCK_BYTES, AGREE = 4096, 32 << 20, 78
 #: Members that one task compares with a leader.
 SALT = 512
 
@@ -95,10 +96,11 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [bands(data) for data in common.text_bytes(batch)]
         lists = pa.array([None if b is None else common.signed(b[0]) for b in found], pa.list_(pa.int64()))
         sketches = pa.array([None if b is None else b[1] for b in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketches], ["doc_id", "node", "bands", "sketch"])
+        sizes = batch.column(batch.schema.get_field_index("size"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, lists, sketches], ["doc_id", "node", "size", "bands", "sketch"])
 
 
-def _block_links(first: int, second: int, nodes: list, components: list, blocks: list, sketches: list, bands_of: list, texts: list, band: int) -> Iterator[tuple[int, int]]:
+def _block_links(first: int, second: int, nodes: list, components: list, blocks: list, sketches: list, bands_of: list, texts: list, band: int) -> Iterator[tuple[bytes, bytes]]:
     """Links between members of different components, of pairs that share no earlier band."""
     block = np.array(blocks)
     registers = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(nodes), -1)
@@ -109,7 +111,7 @@ def _block_links(first: int, second: int, nodes: list, components: list, blocks:
     _, every = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     ids = [every[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    _, part = np.unique(np.array(components, dtype=np.int64), return_inverse=True)
+    _, part = np.unique(np.array(components, dtype=object), return_inverse=True)
     root = np.arange(part.max() + 1)
     mark = np.zeros(int(every.max()) + 1, dtype=bool)
     others = registers[right].T.copy()
@@ -143,7 +145,7 @@ def _apart_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links() -> pa.RecordBatch:
         found = list(_block_links(group[2], group[3], *held, group[0]))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
         texts = list(common.text_bytes(batch))
@@ -173,7 +175,7 @@ def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if both >= SIMILARITY * (len(leader) + len(mine) - both):
                 out[0].append(a)
                 out[1].append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,27 +185,33 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"), F.lit(0).alias("place"))
     rows = members.unionByName(leaders).join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text", "place")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "place").drop("place")
-    return rows.mapInArrow(_verify_rows, "a bigint, b bigint")
+    return rows.mapInArrow(_verify_rows, "a binary, b binary")
+
+
+def text_node(text: str = "text") -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, class) of all texts with words that are linked to others, and (doc_id, node, bands) of all rows; a node is
     a text's hash, a class the smallest node in it."""
     spark = docs.sparkSession
-    rows = common.stored(docs.select("doc_id", F.xxhash64("text").alias("node"), "text").mapInArrow(_band_rows, "doc_id bigint, node bigint, bands array<bigint>, sketch binary"), "bands")
-    nodes = rows.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    rows = common.stored(docs.select("doc_id", text_node().alias("node"), F.octet_length("text").cast("bigint").alias("size"), "text").mapInArrow(_band_rows, "doc_id bigint, node binary, size bigint, bands array<bigint>, sketch binary"), "bands")
+    nodes = rows.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    buckets = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
     full = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
     buckets = common.stored(buckets.join(full, ["band", "value"]), "buckets")
     # One row of each text that meets another; texts themselves move once.
     wanted = buckets.select("node").distinct()
-    texts = docs.where("text is not null").select(F.xxhash64("text").alias("node"), "doc_id", "text")
+    texts = docs.where("text is not null").select(text_node().alias("node"), "doc_id", "text")
     chosen = rows.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = texts.join(chosen, texts["node"].eqNullSafe(chosen["node"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])).select(texts["node"], "text").dropDuplicates(["node"])
     texts = common.stored(texts, "texts")
     common.release(spark)
 
     links, tested, component = None, None, None
+    made = [buckets, texts]  # tables that go at the end
     for turn, used in enumerate((*TURNS, ())):
         labelled = buckets if component is None else buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if component is None:
@@ -216,13 +224,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             pairs = labelled.join(leader.select("band", "value", F.col("l.node").alias("a"), F.col("l.component").alias("ca")), ["band", "value"])
             pairs = pairs.where("component <> ca").select("a", F.col("node").alias("b"))
         else:
-            sizes = labelled.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-            blocks = sizes.select("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+            sizes = labelled.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+            blocks = common.stored(sizes.select("band", "value", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
+            made.append(blocks)
             here = labelled.join(blocks, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
             sketched = here.join(nodes, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             sketched = sketched.select("band", "value", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "component", "block", "sketch", "bands", "text")
             sketched = sketched.repartition("band", "value", "first", "second").sortWithinPartitions("band", "value", "first", "second")
-            found = common.stored(sketched.mapInArrow(_apart_rows, "a bigint, b bigint"), "links")
+            found = common.stored(sketched.mapInArrow(_apart_rows, "a binary, b binary"), "links")
+            made.append(found)
             links = found if links is None else links.unionByName(found)
             component = common.connected_components(links)
             break
@@ -231,16 +241,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = common.stored(pairs, "pairs")
+        made.append(pairs)
         if pairs.isEmpty():
             continue
         found = common.stored(verified(pairs, texts), "links")
+        made.append(found)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():
             component = common.connected_components(links)
         common.release(spark)
     if component is None:
-        component = spark.createDataFrame([], "node bigint, component bigint")
+        component = spark.createDataFrame([], "node binary, component binary")
+    common.drop_stored(*made)
     return component, rows
 
 
@@ -248,8 +261,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, node, component, class_id, kept of every row; the component is null for a text without words."""
     component, rows = classes(docs)
     labelled = rows.join(component.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    labelled = labelled.select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("component", "node")).alias("component"))
-    least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    labelled = common.stored(labelled.select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("component", "node")).alias("component")), "labelled")
+    common.drop_stored(rows)
+    # Stored, so that the join of a large class is split.
+    least = common.stored(labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id")), "classes")
     out = labelled.join(least, "component", "left").select("doc_id", "node", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
@@ -259,10 +274,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     marked = near_duplicates(docs).where("kept and component is not null")
     first = marked.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("f")).select("f.doc_id", "f.node")
     # Texts without words are no copies of one another; they stay.
-    keyed = docs.withColumn("node", F.xxhash64("text"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD_PATTERN)
-    single = keyed.where(worded).alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.node") == F.col("f.node")), "left_semi")
-    return single.dropDuplicates(["doc_id", "node"]).drop("node").unionByName(docs.where(~worded))
+    keyed = docs.select("doc_id", text_node().alias("node"), worded.alias("worded"), F.struct(*docs.columns).alias("row"))
+    single = keyed.where("worded").alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.node") == F.col("f.node")), "left_semi")
+    return single.dropDuplicates(["doc_id", "node"]).select("row.*").unionByName(docs.where(~worded))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,15 +64,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
     # Running sums within a source: sums of hash ranges, then sums within a range.
     at = F.shiftright(F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint"), 32 - int(math.log2(ranges))).alias("range")
-    sized = sized.select("*", at)
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranged = sized.select("*", at)
+    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sums = sums.select("source", "range", (F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")).alias("before"))
     sums = sums.join(sources, sums["source"].eqNullSafe(sources["source"])).select(sums["source"], "range", "before", "source_size", "target")
-    joined = sized.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")))
+    joined = ranged.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")))
     joined = joined.select("d.*", "s.before", "s.source_size", "s.target")
     within = Window.partitionBy("source", "range").orderBy("place", "doc_id", "size")
     queued = common.stored(joined.withColumn("upto", F.col("before") + F.sum("size").over(within)).drop("before", "range"), "queued")
 
+    common.drop_stored(sized, sources)
+
     def copy(n: int) -> Column:
         finish = F.try_divide((F.lit(n) * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))
         return F.struct(finish.alias("finish"), F.col("place").alias("place"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"), F.lit(n).alias("copy"))
@@ -99,15 +101,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     return out.drop("upto", "place")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents the mix takes, each as often as it is taken, with the columns of docs."""
-    key = F.xxhash64("text").alias("text_key")
-    taken = mix(docs, options.get("weights", WEIGHTS), options.get("repeats", REPEATS), options.get("seed", SEED), key)
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
+    """The documents the mix takes, each as often as it is taken, with the columns of docs, whatever their names. Documents
+    without words have size 0 and are not taken."""
+    row = F.struct(*docs.columns).alias("row")
+    keyed = docs.select("doc_id", "source", "text", row)
+    taken = mix(keyed, weights, repeats, seed, F.md5("text").alias("text_key"))
     taken = taken.where("copies > 0").groupBy("doc_id", "source", "text_key").agg(F.max("copies").alias("copies"))
-    left = docs.withColumn("text_key", F.xxhash64("text")).alias("d")
+    left = docs.select("doc_id", "source", F.md5("text").alias("text_key"), row).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.text_key") == F.col("t.text_key"))
-    joined = left.join(taken.alias("t"), on).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("copy_number"))
-    return joined.drop("copy_number")
+    joined = left.join(taken.alias("t"), on).select("d.row", F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("copy_number"))
+    return joined.select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
