@@ -44,14 +44,15 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Nearest examples, banding and BPE merging are beyond SQL. tests/llm holds substring_dedup against brute force, byte_bpe
-#: against the library; toxicity and near-dedup are tested on planted cases, mixing by columns and count only.
+#: Nearest examples, banding and BPE merging are beyond SQL. tests/llm holds substring_dedup against brute force, near-dedup
+#: against an exact join, byte_bpe against the library, mixing against SQL, toxicity against brute-force neighbours and
+#: held-out labels; test_pipeline holds run() against brute force on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
+    """Null, empty and wordless texts stay until mixing, which takes none of them; with an empty table all stages are empty."""
+    docs, follow = common.read(spark, sf_dir, "documents"), common.Stored()
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
-        common.release(spark)
+        docs = follow.next(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
