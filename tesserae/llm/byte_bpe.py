@@ -2,8 +2,8 @@
 
 A byte string has one valid BPE encoding, and so has each of its prefixes. For every prefix the table stores the last
 token of that prefix's encoding; a token that ends at byte i can be that last token only if it may follow the last token
-of the prefix before it. The entries for a prefix never depend on what follows, so appending bytes only appends entries,
-and an edit invalidates entries from the edit on and nothing before it.
+of the prefix before it. The entries for a prefix never depend on what follows, so appending bytes only appends entries.
+An edit invalidates entries from the edit on, and only until the entries are again what they were for the length of the longest token.
 
 The text is first cut by the vocabulary's pattern, and each match is encoded separately. Python runs inside tasks over
 Arrow batches; no row leaves its partition, so there is no shuffle at all. Per worker, encodings of frequent matches are
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries in a task's cache of encoded pieces, 0.7 KB each; dropped at its end, since Spark keeps workers for later stages.
-CACHE = 1_000_000
+#: Entries in a worker's cache of encoded pieces, about 0.2 KB each; it stays from task to task.
+CACHE = 400_000
 #: The vocabulary's pattern within Latin-1, with the alternatives that begin alike first.
 _L, _N = common.LATIN_LETTERS, common.LATIN_NUMBERS
 _LATIN = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
@@ -51,14 +51,24 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         first = len(self.data) + 1
         self.data += more
-        self.bpe.extend(bytes(self.data), self.last, first)
+        self.bpe.extend(self.data, self.last, first)
 
     def replace(self, start: int, end: int, more: bytes) -> None:
-        """Put `more` in place of data[start:end]: prefixes up to `start` keep their entries."""
-        tail = bytes(self.data[end:])
+        """Put `more` in place of data[start:end]. Prefixes up to `start` keep their entries. What comes after the edit is
+        encoded anew only until as many entries in a row as the longest token has bytes are what they were: entries look no further back."""
+        old, shift = self.last[end + 1 :], start + len(more)
+        tail = self.data[end:]
         del self.data[start:]
         del self.last[start + 1 :]
-        self.append(more + tail)
+        self.append(more)
+        same, done, step = 0, 0, 2 * self.bpe.longest
+        while done < len(tail) and same < self.bpe.longest:
+            self.append(tail[done : done + step])
+            for at in range(done, min(done + step, len(tail))):
+                same = same + 1 if self.last[shift + at + 1] == old[at] else 0
+            done = min(done + step, len(tail))
+        self.data += tail[done:]
+        self.last += old[done:]
 
     def tokens(self) -> list[int]:
         return self.bpe.walk_back(self.last)
@@ -106,6 +116,7 @@ class ByteBPE:
             if len(tail) > 1:
                 sizes |= ending.get(tail[-1:], set())
         self.lengths = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in ending.items()}
+        self.longest = max(map(len, self.steps), default=1)
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' bytes is just these two tokens.
@@ -138,14 +149,15 @@ class ByteBPE:
                 # A crossing merge of this very rank, further left, would have come first.
                 formed, right = right + 1, vp[0]
 
-    def extend(self, data: bytes, last: list[int], first: int) -> None:
+    def extend(self, data: bytes | bytearray, last: list[int], first: int) -> None:
         """Append to `last` the last tokens of the prefixes of lengths first..len(data)."""
-        ranks, lengths, follows, may_follow = self.steps.get, self.lengths.get, self._follows.get, self.may_follow
+        ranks, lengths, follows, may_follow, longest = self.steps.get, self.lengths.get, self._follows.get, self.may_follow, self.longest
         for end in range(first, len(data) + 1):
-            sizes = lengths(data[end - 3 if end > 2 else 0 : end]) or lengths(data[end - 2 if end > 1 else 0 : end]) or (1,)
+            near = bytes(data[end - longest if end > longest else 0 : end])
+            sizes = lengths(near[-3:]) or lengths(near[-2:]) or (1,)
             for size in sizes:
                 start = end - size
-                if start < 0 or (token := ranks(data[start:end])) is None:
+                if start < 0 or (token := ranks(near[-size:])) is None:
                     continue
                 if start == 0:
                     last.append(token)
@@ -185,11 +197,6 @@ class ByteBPE:
             found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
         return b"".join(found)
 
-    def forget(self) -> None:
-        """Drop what was remembered of texts: workers outlive a task, and later stages need the memory."""
-        self._pieces = common.Recent(self._pieces.limit * 2)
-        self._follows.clear()
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -239,7 +246,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
             columns = [batch.column(0), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())]
             out = pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
             yield out if with_ids else out.drop_columns(["ids"])
-        bpe.forget()
 
     ids = "ids binary, " if with_ids else ""
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
