@@ -1,4 +1,8 @@
-"""Analytic functions along the bars of a market. Windows count bars; a window that is not full, or holds a null, is null."""
+"""Analytic functions along the bars of a market.
+
+Windows count bars. With nulls="skip" (the default) only bars with a value count, and a bar without one has none; with
+nulls="strict" all bars count, and a window that holds a null is null. A window that is not full is null either way.
+"""
 
 from __future__ import annotations
 
@@ -6,81 +10,117 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
-def along():
-    return Window.partitionBy("market").orderBy("date_utc")
+def along(apart: Column | None = None):
+    """The bars of a market in order; with a column, those where it is null and the others apart."""
+    return (Window.partitionBy("market") if apart is None else Window.partitionBy("market", apart.isNull())).orderBy("date_utc")
+
+
+def trailing(n: int, apart: Column | None = None):
+    return along(apart).rowsBetween(1 - n, 0)
 
 
-def trailing(n: int):
-    return along().rowsBetween(1 - n, 0)
+def counted(x: Column, nulls: str) -> Column | None:
+    """What is set apart in windows over x."""
+    if nulls not in ("skip", "strict"):
+        raise ValueError(f"nulls are skipped or strict, not {nulls}")
+    return x if nulls == "skip" else None
 
 
-def full(x: Column, n: int, value: Column) -> Column:
-    return F.when(F.count(x).over(trailing(n)) == n, value)
+def full(x: Column, n: int, value: Column, nulls: str = "strict") -> Column:
+    return F.when(F.count(x).over(trailing(n, counted(x, nulls))) == n, value)
 
 
-def lag(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(along())
+def lag(x: Column, n: int, nulls: str = "strict") -> Column:
+    before = F.lag(x, n).over(along(counted(x, nulls)))
+    return F.when(x.isNotNull(), before) if nulls == "skip" else before
 
 
-def log(x: Column) -> Column:
-    return F.when(x > 0, F.ln(x))
+def log(x: Column, mode: str = "log") -> Column:
+    """log of what is above 0, or log1p of what is not below 0."""
+    if mode not in ("log", "log1p"):
+        raise ValueError(f"unknown logarithm {mode}")
+    return F.when(x > 0, F.ln(x)) if mode == "log" else F.when(x >= 0, F.log1p(x))
 
 
-def momentum(x: Column, n: int) -> Column:
-    return log(x) - log(lag(x, n))
+def gaussian_signed(x: Column) -> Column:
+    return x * F.exp(-0.5 * x * x)
 
 
-def simple_return(x: Column, n: int) -> Column:
-    return F.try_divide(x, lag(x, n)) - 1
+def momentum(x: Column, n: int, nulls: str = "skip") -> Column:
+    return log(x) - log(lag(x, n, nulls))
 
 
-def forward_return(x: Column, n: int) -> Column:
-    return F.try_divide(F.lead(x, n).over(along()), x) - 1
+def simple_return(x: Column, n: int, nulls: str = "skip") -> Column:
+    return F.try_divide(x, lag(x, n, nulls)) - 1
 
 
-def delta(x: Column, n: int = 1) -> Column:
-    return x - lag(x, n)
+def forward_return(x: Column, n: int, nulls: str = "skip") -> Column:
+    return F.try_divide(F.lead(x, n).over(along(counted(x, nulls))), x) - 1
 
 
-def rolling_mean(x: Column, n: int) -> Column:
-    return full(x, n, F.avg(x).over(trailing(n)))
+def delta(x: Column, n: int = 1, nulls: str = "skip") -> Column:
+    return x - lag(x, n, nulls)
 
 
-def rolling_sum(x: Column, n: int) -> Column:
-    return full(x, n, F.sum(x).over(trailing(n)))
+def rolling_mean(x: Column, n: int, nulls: str = "skip") -> Column:
+    return full(x, n, F.avg(x).over(trailing(n, counted(x, nulls))), nulls)
 
 
-def rolling_std(x: Column, n: int) -> Column:
+def rolling_sum(x: Column, n: int, nulls: str = "skip") -> Column:
+    return full(x, n, F.sum(x).over(trailing(n, counted(x, nulls))), nulls)
+
+
+def rolling_std(x: Column, n: int, nulls: str = "skip") -> Column:
     """Of the population."""
-    return full(x, n, F.stddev_pop(x).over(trailing(n)))
+    return full(x, n, F.stddev_pop(x).over(trailing(n, counted(x, nulls))), nulls)
+
 
+def rolling_zscore(x: Column, n: int, nulls: str = "skip", sample: bool = False) -> Column:
+    """By the deviation of the population, or of a sample."""
+    over = trailing(n, counted(x, nulls))
+    deviation = (F.stddev_samp(x) if sample else F.stddev_pop(x)).over(over)
+    return full(x, n, F.when(deviation > 0, (x - F.avg(x).over(over)) / deviation), nulls)
 
-def rolling_zscore(x: Column, n: int) -> Column:
-    deviation = F.stddev_pop(x).over(trailing(n))
-    return full(x, n, F.when(deviation > 0, (x - F.avg(x).over(trailing(n))) / deviation))
 
+def rolling_ratio(x: Column, n: int, nulls: str = "skip") -> Column:
+    """x over its rolling mean."""
+    return full(x, n, F.try_divide(x, F.avg(x).over(trailing(n, counted(x, nulls)))), nulls)
 
-def rolling_percentile(x: Column, n: int) -> Column:
+
+def rolling_percentile(x: Column, n: int, nulls: str = "skip") -> Column:
     """The share of the window at or below x; ties count half."""
-    seen = F.collect_list(x).over(trailing(n))
+    seen = F.collect_list(x).over(trailing(n, counted(x, nulls)))
     below, equal = F.size(F.filter(seen, lambda z: z < x)), F.size(F.filter(seen, lambda z: z == x))
-    return full(x, n, (below + (equal + 1) / 2) / n)
+    return full(x, n, (below + (equal + 1) / 2) / n, nulls)
+
+
+def rolling_median(x: Column, n: int, nulls: str = "skip") -> Column:
+    return full(x, n, F.percentile(x, F.lit(0.5)).over(trailing(n, counted(x, nulls))), nulls)
+
+
+def score_mode(x: Column, n: int, mode: str) -> Column:
+    """A market's value against its own n bars: percentile, ratio or (by the sample's deviation) zscore."""
+    return {"percentile": rolling_percentile(x, n), "ratio": rolling_ratio(x, n), "zscore": rolling_zscore(x, n, sample=True)}[mode]
 
 
-def rolling_median(x: Column, n: int) -> Column:
-    return full(x, n, F.percentile(x, F.lit(0.5)).over(trailing(n)))
+def scaled_volume(volume: Column, transform: str = "none") -> Column:
+    return volume if transform == "none" else log(volume, transform)
 
 
-def vwma(price: Column, volume: Column, n: int) -> Column:
+def vwma(price: Column, volume: Column, n: int, nulls: str = "skip", transform: str = "none") -> Column:
+    volume = scaled_volume(volume, transform)
     both = F.when(price.isNotNull() & volume.isNotNull(), F.lit(1))
-    return full(both, n, F.try_divide(F.sum(price * volume).over(trailing(n)), F.sum(volume).over(trailing(n))))
+    over = trailing(n, counted(both, nulls))
+    return full(both, n, F.try_divide(F.sum(price * volume).over(over), F.sum(volume).over(over)), nulls)
 
 
-def vwgm(price: Column, volume: Column, n: int) -> Column:
+def vwgm(price: Column, volume: Column, n: int, nulls: str = "skip", transform: str = "none") -> Column:
     """The volume-weighted geometric mean."""
+    volume = scaled_volume(volume, transform)
     both = F.when((price > 0) & volume.isNotNull(), F.lit(1))
-    total = F.sum(volume).over(trailing(n))
-    return full(both, n, F.when(total > 0, F.exp(F.sum(F.ln(price) * volume).over(trailing(n)) / total)))
+    over = trailing(n, counted(both, nulls))
+    total = F.sum(volume).over(over)
+    return full(both, n, F.when(total > 0, F.exp(F.sum(F.ln(price) * volume).over(over) / total)), nulls)
 
 
 def age(x: Column) -> Column:

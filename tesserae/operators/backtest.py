@@ -96,20 +96,49 @@ def winners(results: DataFrame, asset: list[str], candidate: str, metric: str) -
     return both.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 
-def candidate_summary(won: DataFrame, asset: list[str], candidate: str, metric: str) -> DataFrame:
-    """How often each candidate won, its share of the folds, and its median metric out of sample."""
-    out = won.groupBy(*asset, candidate).agg(F.count("*").alias("wins"), F.percentile(f"oos_{metric}", F.lit(0.5)).alias(f"median_oos_{metric}"))
-    return out.withColumn("share", F.col("wins") / F.sum("wins").over(Window.partitionBy(*asset)))
-
-
-def plateau(results: DataFrame, x: str, y: str, metric: str, keys: list[str]) -> DataFrame:
-    """Adds plateau: the mean metric of a run and of the runs next to it on either parameter's list of values."""
-    place = {p: F.dense_rank().over(Window.partitionBy(*keys).orderBy(p)) if keys else F.dense_rank().over(Window.orderBy(p)) for p in (x, y)}
-    rows = results.withColumn("_x", place[x]).withColumn("_y", place[y])
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = rows.withColumn("_d", near).select(*keys, (F.col("_x") + F.col("_d.i")).alias("_x"), (F.col("_y") + F.col("_d.j")).alias("_y"), F.col(metric).alias("_m"))
-    means = spread.groupBy(*keys, "_x", "_y").agg(F.avg("_m").alias("plateau"))
-    return rows.join(means, [*keys, "_x", "_y"]).drop("_x", "_y")
+def candidate_summary(results: DataFrame, won: DataFrame, asset: list[str], candidate: str, metric: str) -> DataFrame:
+    """Each candidate's median, mean, least, largest metric out of sample and share of folds above 0, how often it won and
+    its share of the wins."""
+    x = F.col("_x")
+    out = results.where("phase = 'oos'").withColumn("_x", F.col(metric)).groupBy(*asset, candidate).agg(
+        F.count("*").alias("folds"), F.percentile(x, F.lit(0.5)).alias(f"median_oos_{metric}"), F.avg(x).alias(f"mean_oos_{metric}"),
+        F.min(x).alias(f"least_oos_{metric}"), F.max(x).alias(f"most_oos_{metric}"), F.avg(F.when(x.isNotNull(), (x > 0).cast("double"))).alias("positive"),
+    )
+    wins = won.groupBy(*asset, candidate).agg(F.count("*").alias("wins")).withColumn("share", F.col("wins") / F.sum("wins").over(Window.partitionBy(*asset)))
+    return out.join(wins, [*asset, candidate], "left").withColumn("wins", F.coalesce("wins", F.lit(0))).withColumn("share", F.coalesce("share", F.lit(0.0)))
+
+
+def winner_summary(won: DataFrame, asset: list[str], candidate: str, metric: str) -> DataFrame:
+    """Of each asset: folds, median and mean metric out of sample of the winners, the candidate that won most (of equals the one that
+    won first), and how often each won, as JSON."""
+    y = F.col(f"oos_{metric}")
+    out = won.groupBy(*asset).agg(F.count("*").alias("folds"), F.percentile(y, F.lit(0.5)).alias(f"median_oos_{metric}"), F.avg(y).alias(f"mean_oos_{metric}"), F.avg(F.when(y.isNotNull(), (y > 0).cast("double"))).alias("positive"))
+    wins = won.groupBy(*asset, candidate).agg(F.count("*").alias("_wins"), F.min("fold").alias("_first"))
+    most = wins.groupBy(*asset).agg(F.min_by(candidate, F.struct(-F.col("_wins"), "_first", candidate)).alias("most_frequent"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(candidate).cast("string"), "_wins"))))).alias("wins"))
+    return out.join(most, asset)
+
+
+def plateau(results: DataFrame, axes: list[str], metric: str, keys: list[str]) -> DataFrame:
+    """Adds plateau: the mean metric of a run and of the runs next to it on the list of values of every numeric axis. On
+    axes of other types neighbours have the same value. Values of keys tell grids apart."""
+    kinds = dict(results.dtypes)
+    numeric = [a for a in axes if kinds[a] in ("int", "bigint", "smallint", "tinyint", "float", "double") or kinds[a].startswith("decimal")]
+    same = [*keys, *(a for a in axes if a not in numeric)]
+    places = [f"_place{k}" for k in range(len(numeric))]
+    rows = results
+    for a, place in zip(numeric, places, strict=True):
+        rows = rows.withColumn(place, F.dense_rank().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(a)))
+    spread = rows.select(*same, *places, F.col(metric).alias("_m"))
+    for place in places:
+        spread = spread.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(place, F.col(place) + F.col("_d")).drop("_d")
+    means = spread.groupBy(*same, *places).agg(F.avg("_m").alias("plateau"))
+    return rows.join(means, [*same, *places]).drop(*places)
+
+
+def run_status(runs: DataFrame, weights: DataFrame, key: str = "run_id") -> DataFrame:
+    """Adds status to runs: empty_weights where a run holds nothing at any bar, else ok."""
+    held = weights.where(F.abs("target_weight") > 0).select(key).distinct().withColumn("_held", F.lit(True))
+    return runs.join(held, key, "left").withColumn("status", F.when(F.col("_held"), "ok").otherwise("empty_weights")).drop("_held")
 
 
 def best(results: DataFrame, metric: str, n: int, keys: list[str], where: str | None = None) -> DataFrame:

@@ -37,9 +37,9 @@ def universe(df: DataFrame, feature: str, *, lag: int = 1, quantiles: int | None
     return rows.withColumn("selected_rank", F.row_number().over(cross_section.across().orderBy("rank")))
 
 
-def weights(selected: DataFrame, weighting: str = "equal", gross: float = 1.0, *, power: float = 1.0, fixed: float = 0.1, scale: float = 1.0, most: int | None = None) -> DataFrame:
+def weights(selected: DataFrame, weighting: str = "equal", gross: float = 1.0, *, power: float = 1.0, fixed: float = 0.1, scale: float = 1.0, most: int | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Adds target_weight by bar: equal, fixed, rank (1 / selected_rank ** power, normalised) or feature_value (scores
-    within 0 and 1 over the number of positive ones, so that weak scores leave cash)."""
+    within bounds over the number of positive ones, so that weak scores leave cash)."""
     if most:
         selected = selected.where(F.col("selected_rank") <= most)
     over = cross_section.across()
@@ -50,7 +50,7 @@ def weights(selected: DataFrame, weighting: str = "equal", gross: float = 1.0, *
     if weighting == "rank":
         raw = F.pow(F.col("selected_rank"), F.lit(-power))
         return selected.withColumn("target_weight", raw * gross / F.sum(raw).over(over))
-    score = F.least(F.greatest(F.col("feature_value") / scale, F.lit(0.0)), F.lit(1.0))
+    score = F.least(F.greatest(F.col("feature_value") / scale, F.lit(low)), F.lit(high))
     positive = F.count(F.when(score > 0, 1)).over(over)
     return selected.withColumn("target_weight", F.when(positive > 0, score * gross / positive).otherwise(F.lit(0.0)))
 
@@ -60,6 +60,29 @@ def rebalance_bars(df: DataFrame, unit: str) -> DataFrame:
     return df.groupBy(series.period_start(unit).alias("_period")).agg(F.min("date_utc").alias("date_utc")).select("date_utc")
 
 
+def every(df: DataFrame, k: int) -> DataFrame:
+    """date_utc of every k-th bar of the panel, the first one on. Bars are counted in one partition, one row a bar."""
+    bars = df.select("date_utc").distinct().withColumn("_n", F.row_number().over(Window.orderBy("date_utc")))
+    return bars.where((F.col("_n") - 1) % k == 0).select("date_utc")
+
+
+def carried(rows: DataFrame, schedule: DataFrame) -> DataFrame:
+    """The rows of the last bar that has some, up to and with each bar of the schedule, dated by the schedule."""
+    bars = rows.select("date_utc").distinct().withColumn("_has", F.col("date_utc")).unionByName(schedule.select("date_utc", F.lit(None).cast("timestamp_ntz").alias("_has")))
+    bars = bars.groupBy("date_utc").agg(F.max("_has").alias("_has"))
+    bars = bars.withColumn("_has", F.last("_has", True).over(Window.orderBy("date_utc")))  # one row a bar
+    named = schedule.join(bars, "date_utc").where(F.col("_has").isNotNull()).select(F.col("date_utc").alias("_at"), F.col("_has").alias("date_utc"))
+    return rows.join(named, "date_utc").drop("date_utc").withColumnRenamed("_at", "date_utc").select(*rows.columns)
+
+
+def on_schedule(panel: DataFrame, weights: DataFrame, schedule: DataFrame) -> DataFrame:
+    """target_weight at every row of the panel: at bars of the schedule the weight or 0, null (hold) at others. Weights of
+    bars off the schedule are left out."""
+    on = schedule.select("date_utc").distinct().withColumn("_on", F.lit(True))
+    rows = panel.join(on, "date_utc", "left").join(weights.select("date_utc", "market", F.col("target_weight").alias("_w")), ["date_utc", "market"], "left")
+    return rows.withColumn("target_weight", F.when(F.col("_on"), F.coalesce("_w", F.lit(0.0)))).drop("_on", "_w")
+
+
 def scheduled(df: DataFrame, selected: str, unit: str, gross: float = 1.0) -> DataFrame:
     """target_weight at all bars: equal shares and 0 on the schedule, null (hold) between."""
     on = F.coalesce(F.col(selected), F.lit(0)) != 0
@@ -83,29 +106,56 @@ def capped(rows: DataFrame, cap: str, weight: str = "target_weight", redistribut
     w, limit = F.col(weight), F.coalesce(F.col(cap), F.lit(float("inf")))
     over = cross_section.across()
     order = over.orderBy(F.col("_at"), "market")
-    rows = rows.withColumn("_at", F.when(w > 0, limit / w).otherwise(float("inf"))).withColumn("_cap", limit)
+    rows = rows.withColumn("_at", F.when(w > 0, limit / w).otherwise(float("inf"))).withColumn("_limit", limit)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    used, free = F.coalesce(F.sum("_cap").over(before), F.lit(0.0)), F.sum(w).over(order.rowsBetween(0, Window.unboundedFollowing))
+    used, free = F.coalesce(F.sum("_limit").over(before), F.lit(0.0)), F.sum(w).over(order.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumn("_level", F.try_divide(F.sum(w).over(over) - used, free))
     # The first market whose cap is not reached at its level sets the level of all.
     level = F.min(F.when(F.col("_at") >= F.col("_level"), F.struct("_at", "market", "_level")))
     rows = rows.withColumn("_level", level.over(over)["_level"])
-    return rows.withColumn(weight, F.when(w > 0, F.least(F.col("_cap"), F.coalesce(w * F.col("_level"), F.col("_cap")))).otherwise(0.0)).drop("_at", "_cap", "_level")
+    return rows.withColumn(weight, F.when(w > 0, F.least(F.col("_limit"), F.coalesce(w * F.col("_level"), F.col("_limit")))).otherwise(0.0)).drop("_at", "_limit", "_level")
 
 
-def breadth(df: DataFrame, driver: str, signal: str, top: int, name: str = "breadth") -> DataFrame:
-    """Share of the top markets by driver whose signal is on, on each row of the bar; null where no market has both."""
+def breadth(df: DataFrame, driver: str, signal: str, top: int | None = None, name: str = "breadth", *, quantiles: int | None = None, buckets: tuple[int, ...] = (), descending: bool = True) -> DataFrame:
+    """Share of the first markets (or of buckets) by driver whose signal is on, on each row of the bar. Null where no
+    market has both; 0 where some have, but none is picked."""
     both = F.col(driver).isNotNull() & F.col(signal).isNotNull()
-    rows = df.withColumn("_place", cross_section.cross_rank(F.when(both, F.col(driver))))
-    on = F.when(F.col("_place") <= top, (F.col(signal) != 0).cast("double"))
-    return rows.withColumn(name, F.avg(on).over(cross_section.across())).drop("_place")
+    value = F.when(both, F.col(driver))
+    rows = df.withColumn("_place", cross_section.cross_rank(value, descending)).withColumn("_valid", cross_section.cross_count(value))
+    picked = F.col("_place") <= top if top is not None else cross_section.bucket(F.col("_place"), F.col("_valid"), quantiles).isin(*buckets)
+    share = F.avg(F.when(picked, (F.col(signal) != 0).cast("double"))).over(cross_section.across())
+    return rows.withColumn(name, F.when(F.col("_valid") > 0, F.coalesce(share, F.lit(0.0)))).drop("_place", "_valid")
+
 
+def order_plan(weights: DataFrame, prices: DataFrame, balances: DataFrame, least: float, cash: str = "KRW") -> DataFrame:
+    """What to trade to reach target weights: market, price, quantity, value, target_weight, target_value, delta, action.
+
+    weights: (market, target_weight) of the last bar; prices: (market, price); balances: (currency, balance, locked). A
+    currency is held as the market CASH-CURRENCY. Equity is cash and what is held of the markets with a weight or a price; holdings of
+    others are unmanaged and left alone. Less than `least` is held.
+    """
+    own = balances.groupBy(F.upper("currency").alias("currency")).agg(F.sum(F.coalesce("balance", F.lit(0.0)) + F.coalesce("locked", F.lit(0.0))).alias("quantity"))
+    money = own.agg(F.coalesce(F.sum(F.when(F.col("currency") == cash, F.col("quantity"))), F.lit(0.0)).alias("_cash"))  # one row
+    held = own.where((F.col("currency") != cash) & (F.col("quantity") > 0)).select(F.concat(F.lit(f"{cash}-"), "currency").alias("market"), "quantity", F.lit(True).alias("_held"))
+    rows = weights.select("market", "target_weight").join(prices.select("market", "price"), "market", "full").withColumn("_managed", F.lit(True)).join(held, "market", "full")
+    rows = rows.withColumn("value", F.coalesce("quantity", F.lit(0.0)) * F.col("price")).withColumn("target_weight", F.coalesce("target_weight", F.lit(0.0)))
+    equity = rows.where("_managed").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("_sum"))  # one row
+    rows = rows.join(F.broadcast(money)).join(F.broadcast(equity)).withColumn("target_value", (F.col("_cash") + F.col("_sum")) * F.col("target_weight"))
+    rows = rows.withColumn("delta", F.when(F.col("_managed"), F.col("target_value") - F.coalesce("value", F.lit(0.0))))
+    action = F.when(F.col("_managed").isNull(), "unmanaged").when(F.col("price").isNull(), "no price").when(F.abs("delta") < least, "hold").when(F.col("delta") > 0, "buy").otherwise("sell")
+    return rows.select("market", "price", F.coalesce("quantity", F.lit(0.0)).alias("quantity"), "value", "target_weight", "target_value", "delta", action.alias("action"))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """The rows of the last bar."""
+    last = rows.agg(F.max("date_utc").alias("date_utc"))  # one row
+    return rows.join(F.broadcast(last), "date_utc", "left_semi")
 
-def orders(weights: DataFrame, holdings: DataFrame, equity: Column, least: float) -> DataFrame:
-    """market, delta, side: what to trade to reach target weights from the values held; less than `least` is held."""
-    rows = weights.select("market", "target_weight").join(holdings.select("market", "value"), "market", "full")
-    rows = rows.withColumn("delta", F.coalesce("target_weight", F.lit(0.0)) * equity - F.coalesce("value", F.lit(0.0)))
-    return rows.withColumn("side", F.when(F.abs("delta") < least, "hold").when(F.col("delta") > 0, "buy").otherwise("sell"))
+
+def rescaled(rows: DataFrame, total: float) -> DataFrame:
+    """Weights of each bar in proportion such that they add up to `total` (at most 1); a bar of no weight stays so."""
+    share = F.try_divide(F.col("target_weight") * min(total, 1.0), F.sum("target_weight").over(cross_section.across()))
+    return rows.withColumn("target_weight", F.coalesce(share, F.lit(0.0)))
 
 
 def drawdowns(curve: DataFrame, value: str) -> DataFrame:
@@ -114,6 +164,19 @@ def drawdowns(curve: DataFrame, value: str) -> DataFrame:
     return curve.withColumn("peak", peak).withColumn("drawdown", F.try_divide(F.col(value), F.col("peak")) - 1)
 
 
+def allocated(sleeves: list[tuple[DataFrame, float]], caps: dict[str, float] | None = None, *, normalise: bool = False, redistribute_inactive: bool = False, redistribute_cut: bool = False) -> DataFrame:
+    """allocate, then the capital of inactive sleeves to the active ones, if asked for, then caps by market."""
+    out = allocate(sleeves, normalise)
+    if redistribute_inactive:
+        out = rescaled(out, sum(max(c, 0.0) for _, c in sleeves))
+    if caps:
+        cap = F.lit(None).cast("double")
+        for market, most in caps.items():
+            cap = F.when(F.col("market") == market, float(most)).otherwise(cap)
+        out = capped(out.withColumn("_cap", cap), "_cap", redistribute=redistribute_cut).drop("_cap")
+    return out
+
+
 def allocate(sleeves: list[tuple[DataFrame, float]], normalise: bool = False) -> DataFrame:
     """(date_utc, market, target_weight) of sleeves, each (date_utc, market, target_weight) with its share of the capital.
 

@@ -1,116 +1,123 @@
-"""Recursions along the bars of a market, which no window expresses: smoothings and the cash simulation.
+"""Recursions along the bars of a market: smoothings, the directional index, one market's account, incremental scores.
 
-Each market is a group of applyInPandas; a group is one row per bar, so it is as large as a market's history.
+Linear recurrences need no group that holds a market's history: they are added up within blocks of bars, and what a block
+starts from comes from the few blocks before it. Only the score that is held within bounds at every bar is a loop over a market.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-
-def along_markets(df: DataFrame, names: list[str], step: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
-    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
-
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("date_utc", ignore_index=True)
-        return bars.assign(**step(bars))
-
-    return df.groupBy("market").applyInPandas(run, schema)
-
-
-def _ewma(values: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(len(values), np.nan)
-    valid = np.flatnonzero(~np.isnan(values))
-    if len(valid) < n:
-        return out
-    level = out[valid[n - 1]] = values[valid[:n]].mean()
-    for i in valid[n:]:
-        level = out[i] = level + 2 / (n + 1) * (values[i] - level)
-    return out
-
-
-def _wilder(values: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(len(values), np.nan)
-    if len(values) >= n:
-        total = out[n - 1] = values[:n].sum()
-        for i in range(n, len(values)):
-            total = out[i] = total - total / n + values[i]
+from tesserae.functions import cross_section, series
+from tesserae.operators import backtest
+
+#: A block is so long that what came before it counts a thousandth at its end; seven blocks back are beyond double precision.
+_FADE, _BLOCKS = 1000.0, 7
+
+
+def recurrence(rows: DataFrame, number: str, keep: float, step: Column, name: str) -> DataFrame:
+    """Adds name: keep times its value at the market's row before, plus step; 0 before row 1. Rows without a number have none."""
+    size = max(1, int(math.log(_FADE) / -math.log(keep))) if 0 < keep < 1 else 1
+    rows = rows.withColumn("_step", step).withColumn("_block", F.floor((F.col(number) - 1) / size)).withColumn("_place", (F.col(number) - 1) % size)
+    inside = Window.partitionBy("market", "_block").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_local", F.pow(F.lit(keep), "_place") * F.sum(F.col("_step") * F.pow(F.lit(keep), -F.col("_place"))).over(inside))
+    ends = rows.where(F.col(number).isNotNull()).groupBy("market", "_block").agg(F.max_by("_local", "_place").alias("_end"))
+    blocks = Window.partitionBy("market").orderBy("_block")
+    carry = sum((F.coalesce(F.lag("_end", back).over(blocks), F.lit(0.0)) * keep ** (size * (back - 1)) for back in range(1, _BLOCKS + 1)), F.lit(0.0))
+    rows = rows.join(ends.select("market", "_block", carry.alias("_carry")), ["market", "_block"], "left")
+    level = F.col("_local") + F.pow(F.lit(keep), F.col("_place") + 1) * F.col("_carry")
+    return rows.withColumn(name, F.when(F.col(number).isNotNull(), level)).drop("_step", "_block", "_place", "_local", "_carry")
+
+
+def _seeded(rows: DataFrame, column: str, n: int, keep: float, gain: float, name: str, seed: str = "avg", skip: int = 0) -> DataFrame:
+    """A recurrence over the values of a column that starts at the n-th one after `skip` with their mean or sum."""
+    x = F.col(column)
+    rows = rows.withColumn("_number", F.when(x.isNotNull(), F.count(x).over(series.along().rowsBetween(Window.unboundedPreceding, 0))))
+    first = {"avg": F.avg(x), "sum": F.sum(x)}[seed].over(series.trailing(n, x))
+    number = F.col("_number") - skip
+    rows = rows.withColumn("_first", first)
+    rows = recurrence(rows, "_number", keep, F.when(number < n, 0.0).when(number == n, F.col("_first")).otherwise(gain * x), name)
+    return rows.withColumn(name, F.when(number >= n, F.col(name))).drop("_number", "_first")
+
+
+def ewma(df: DataFrame, column: str, n: int, name: str = "ewma", nulls: str = "skip") -> DataFrame:
+    """Exponential mean with weight 2 / (n + 1), from the mean of the first n values on; nulls are passed over. With
+    nulls="strict" a market with a null among its first n bars has none."""
+    out = _seeded(df, column, n, 1 - 2 / (n + 1), 2 / (n + 1), name)
+    if nulls == "strict":
+        out = out.withColumn("_bar", F.row_number().over(series.along()))
+        whole = F.count(F.when((F.col("_bar") <= n), F.col(column))).over(Window.partitionBy("market")) == n
+        out = out.withColumn(name, F.when(whole, F.col(name))).drop("_bar")
     return out
 
 
-def _ranges(bars: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """True range, upward and downward movement."""
-    high, low, close = (bars[c].to_numpy(float) for c in ("high_price", "low_price", "trade_price"))
-    true = high - low
-    true[1:] = np.maximum.reduce([true[1:], np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])])
-    up, down = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
-    return true, np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+def wilder(df: DataFrame, column: str, n: int, name: str) -> DataFrame:
+    """Wilder's smoothing: the sum of the first n, then each loses an n-th and gains the value."""
+    return _seeded(df, column, n, 1 - 1 / n, 1.0, name, seed="sum")
 
 
-def ewma(df: DataFrame, column: str, n: int, name: str = "ewma") -> DataFrame:
-    """Exponential mean with weight 2 / (n + 1), from the mean of the first n values on; nulls are passed over."""
-    return along_markets(df, [name], lambda bars: {name: _ewma(bars[column].to_numpy(float), n)})
+def _ranges(df: DataFrame) -> DataFrame:
+    """Adds true range, upward and downward movement; the latter two are 0 at the first bar."""
+    high, low = F.col("high_price"), F.col("low_price")
+    df = df.withColumn("_true", series.true_range(high, low, F.col("trade_price")))
+    df = df.withColumn("_up", F.coalesce(high - series.lag(high, 1), F.lit(0.0))).withColumn("_down", F.coalesce(series.lag(low, 1) - low, F.lit(0.0)))
+    up, down = F.col("_up"), F.col("_down")
+    return df.withColumn("_plus", F.when((up > down) & (up > 0), up).otherwise(0.0)).withColumn("_minus", F.when((down > up) & (down > 0), down).otherwise(0.0)).drop("_up", "_down")
 
 
 def atr(df: DataFrame, n: int, name: str = "atr") -> DataFrame:
     """Wilder's average true range."""
-    return along_markets(df, [name], lambda bars: {name: _wilder(_ranges(bars)[0], n) / n})
+    out = wilder(_ranges(df), "_true", n, name)
+    return out.withColumn(name, F.col(name) / n).drop("_true", "_plus", "_minus")
 
 
 def adx(df: DataFrame, n: int, name: str = "adx") -> DataFrame:
     """Wilder's average directional index: the first is the mean of n directional indexes."""
-
-    def step(bars: pd.DataFrame) -> dict[str, np.ndarray]:
-        true, up, down = (_wilder(v, n) for v in _ranges(bars))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plus, minus = 100 * up / true, 100 * down / true
-            index = np.where(plus + minus > 0, 100 * np.abs(plus - minus) / (plus + minus), 0.0)
-        out = np.full(len(index), np.nan)
-        if len(index) >= 2 * n - 1:
-            level = out[2 * n - 2] = index[n - 1 : 2 * n - 1].mean()
-            for i in range(2 * n - 1, len(index)):
-                level = out[i] = (level * (n - 1) + index[i]) / n
-        return {name: out}
-
-    return along_markets(df, [name], step)
+    out = _ranges(df)
+    for column in ("_true", "_plus", "_minus"):
+        out = wilder(out, column, n, f"{column}_s")
+    plus, minus = (F.try_divide(100 * F.col(c), F.col("_true_s")) for c in ("_plus_s", "_minus_s"))
+    index = F.coalesce(F.try_divide(100 * F.abs(plus - minus), plus + minus), F.lit(0.0))
+    out = out.withColumn("_index", F.when(F.col("_true_s").isNotNull(), index))
+    out = _seeded(out, "_index", n, 1 - 1 / n, 1 / n, name)
+    return out.drop("_true", "_plus", "_minus", "_true_s", "_plus_s", "_minus_s", "_index")
 
 
 def simulate(df: DataFrame, price: str, weight: str, fee: float = 0.0005, cash: float = 1000.0) -> DataFrame:
     """equity, cash and units of a single-market account that trades to its target share at every bar, after fees. A null
-    weight is 0; shares are held between 0 and 1; a bar without a price trades nothing."""
-
-    def step(bars: pd.DataFrame) -> dict[str, np.ndarray]:
-        money, units = cash, 0.0
-        out = np.empty((len(bars), 3))
-        for i, (p, w) in enumerate(zip(bars[price].to_numpy(float), np.clip(np.nan_to_num(bars[weight].to_numpy(float)), 0, 1), strict=True)):
-            if p > 0:
-                held = units * p
-                gap = w * (money + held) - held
-                if gap > 0:
-                    spent = min(gap / (1 + w * fee), money / (1 + fee))
-                    units, money = units + spent / p, money - spent * (1 + fee)
-                else:
-                    sold = min(-gap / (1 - w * fee), held)
-                    units, money = units - sold / p, money + sold * (1 - fee)
-            out[i] = money + units * p, money, units
-        return dict(zip(("equity", "cash", "units"), out.T, strict=True))
-
-    return along_markets(df, ["equity", "cash", "units"], step)
-
-
-def incremental_weights(df: DataFrame, signal: str, up: float, down: float, least: float = 0.0, most: float = 1.0, name: str = "score") -> DataFrame:
-    """A score that rises by `up` while the signal is on and falls by `down` while it is off, within bounds."""
-
-    def step(bars: pd.DataFrame) -> dict[str, np.ndarray]:
+    weight is 0; shares are held between 0 and 1; a bar without a price above 0 trades nothing and has no figures."""
+    priced = df.where(F.col(price) > 0)
+    share = F.least(F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    rows = backtest.equity(backtest.net_growth(priced, price, weight, ["market"], fee), ["market"], cash).withColumn("_share", share)
+    rows = rows.withColumn("cash", F.col("equity") * (1 - F.col("_share"))).withColumn("units", F.col("equity") * F.col("_share") / F.col(price)).drop("growth", "_share")
+    rest = df.where(~F.coalesce(F.col(price) > 0, F.lit(False)))
+    return rows.unionByName(rest, allowMissingColumns=True)
+
+
+def incremental_scores(df: DataFrame, signal: str, up: float, down: float, least: float = 0.0, most: float = 1.0, name: str = "score") -> DataFrame:
+    """A score that rises by `up` while the signal is on and falls by `down` while it is off, within bounds. Bounds at
+    every bar are no window: each market is a group of one row a bar."""
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+    def run(bars: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("date_utc", ignore_index=True)
         score, out = 0.0, []
         for on in np.nan_to_num(bars[signal].to_numpy(float)):
             score = min(most, max(least, score + (up if on else -down)))
             out.append(score)
-        return {name: np.array(out)}
+        return bars.assign(**{name: out})
+
+    return df.groupBy("market").applyInPandas(run, schema)
+
 
-    return along_markets(df, [name], step)
+def incremental_weights(df: DataFrame, signal: str, up: float, down: float, least: float = 0.0, most: float = 1.0, gross: float = 1.0) -> DataFrame:
+    """Adds score and target_weight: gross times score over the number of markets of the bar with a score above 0."""
+    rows = incremental_scores(df, signal, up, down, least, most)
+    active = F.count(F.when(F.col("score") > 0, 1)).over(cross_section.across())
+    return rows.withColumn("target_weight", F.when(active > 0, gross * F.col("score") / active).otherwise(0.0))

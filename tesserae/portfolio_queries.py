@@ -58,9 +58,9 @@ def scheduled_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turnover shares with every market held to an eighth and one of them to a hundredth."""
-    df = panels.brand_weeks(spark, sf_dir).where(F.col("market") < "Brand#2")
-    df = df.withColumn("target_weight", F.col("turnover") / F.sum("turnover").over(cs.across())).withColumn("cap", F.when(F.col("market") == REFERENCE, 0.01).otherwise(0.125))
+    """Turnover shares with every market held to a twentieth and one of them to a hundredth."""
+    df = panels.brand_weeks(spark, sf_dir)
+    df = df.withColumn("target_weight", F.col("turnover") / F.sum("turnover").over(cs.across())).withColumn("cap", F.when(F.col("market") == REFERENCE, 0.01).otherwise(0.05))
     return _out(portfolio.capped(df, "cap"), target_weight=F.col("target_weight"))
 
 
@@ -131,14 +131,31 @@ def oracle_sql() -> dict[str, str]:
  w AS (SELECT *, CASE WHEN date_utc = first_bar THEN CASE WHEN sel = 1 THEN 1.0::DOUBLE / sum(sel) OVER (PARTITION BY date_utc) ELSE 0.0 END END AS w FROM f),
  c AS (SELECT *, (w IS DISTINCT FROM lag(w) {_W})::INT AS changed FROM w), d AS (SELECT *, max(changed) OVER (PARTITION BY date_utc) AS any_changed FROM c)
  SELECT market, date_utc, round(w, 6) AS target_weight FROM d WHERE any_changed = 1""",
-        "capped_weights": f"""WITH {BRANDS}, s AS (SELECT * FROM panel WHERE market < 'Brand#2') SELECT market, date_utc,
- round(least(turnover / sum(turnover) OVER (PARTITION BY date_utc), CASE WHEN market = '{REFERENCE}' THEN 0.01 ELSE 0.125 END)::DOUBLE, 6) AS target_weight FROM s""",
+        "capped_weights": f"""WITH {BRANDS}, s AS (SELECT * FROM panel) SELECT market, date_utc,
+ round(least(turnover / sum(turnover) OVER (PARTITION BY date_utc), CASE WHEN market = '{REFERENCE}' THEN 0.01 ELSE 0.05 END)::DOUBLE, 6) AS target_weight FROM s""",
         "smoothings": f"""WITH RECURSIVE {EVENTS}, f AS (SELECT *, row_number() {_W} AS n, lag(trade_price) {_W} AS prev FROM panel),
  g AS (SELECT *, CASE WHEN prev IS NULL THEN high_price - low_price ELSE greatest(high_price - low_price, abs(high_price - prev), abs(low_price - prev)) END AS tr FROM f),
  h AS (SELECT *, avg(trade_price) OVER {M.format(5)} AS seed, sum(tr) OVER {M.format(4)} AS total FROM g),
  e AS (SELECT market, n, seed AS v FROM h WHERE n = 6 UNION ALL SELECT h.market, h.n, e.v + 2.0::DOUBLE / 7 * (h.trade_price - e.v) FROM e JOIN h ON h.market = e.market AND h.n = e.n + 1),
  a AS (SELECT market, n, total AS v FROM h WHERE n = 5 UNION ALL SELECT h.market, h.n, a.v - a.v / 5 + h.tr FROM a JOIN h ON h.market = a.market AND h.n = a.n + 1)
  SELECT h.market, h.date_utc, round(e.v, 6) AS ewma, round(a.v / 5, 6) AS atr FROM h LEFT JOIN e ON e.market = h.market AND e.n = h.n LEFT JOIN a ON a.market = h.market AND a.n = h.n""",
+        "directional_index": f"""WITH RECURSIVE {EVENTS}, f AS (SELECT *, row_number() {_W} AS n, lag(trade_price) {_W} AS prev, coalesce(high_price - lag(high_price) {_W}, 0) AS up, coalesce(lag(low_price) {_W} - low_price, 0) AS down FROM panel),
+ g AS (SELECT market, date_utc, n, CASE WHEN prev IS NULL THEN high_price - low_price ELSE greatest(high_price - low_price, abs(high_price - prev), abs(low_price - prev)) END AS tr,
+  CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m FROM f),
+ s AS (SELECT market, 14::BIGINT AS n, sum(tr)::DOUBLE AS tr, sum(p)::DOUBLE AS p, sum(m)::DOUBLE AS m FROM g WHERE n <= 14 GROUP BY market HAVING count(*) = 14
+  UNION ALL SELECT g.market, g.n, s.tr - s.tr / 14 + g.tr, s.p - s.p / 14 + g.p, s.m - s.m / 14 + g.m FROM s JOIN g ON g.market = s.market AND g.n = s.n + 1),
+ x AS (SELECT market, n, coalesce(100 * abs(100 * p / nullif(tr, 0) - 100 * m / nullif(tr, 0)) / nullif(100 * p / nullif(tr, 0) + 100 * m / nullif(tr, 0), 0), 0) AS dx FROM s),
+ a AS (SELECT market, 27::BIGINT AS n, avg(dx)::DOUBLE AS v FROM x WHERE n BETWEEN 14 AND 27 GROUP BY market HAVING count(*) = 14
+  UNION ALL SELECT x.market, x.n, (a.v * 13 + x.dx) / 14 FROM a JOIN x ON x.market = a.market AND x.n = a.n + 1)
+ SELECT g.market, g.date_utc, round(a.v, 6) AS adx FROM g LEFT JOIN a ON a.market = g.market AND a.n = g.n""",
+        "simulation": f"""WITH RECURSIVE {EVENTS}, {_LEVEL}, m AS (SELECT market, date_utc, level, row_number() {_W} AS n, CASE WHEN count(*) OVER {M.format(2)} = 3 THEN (trade_price > avg(trade_price) OVER {M.format(2)})::INT::DOUBLE END AS signal FROM levels),
+ w AS (SELECT *, coalesce(lag(signal) {_W}, 0) AS w FROM m WHERE level > 0),
+ s AS (SELECT market, n, 1000.0::DOUBLE AS cash, 0.0::DOUBLE AS units FROM w WHERE n = 1
+  UNION ALL SELECT w.market, w.n,
+  CASE WHEN w.w * (s.cash + s.units * level) > s.units * level THEN s.cash - (w.w * (s.cash + s.units * level) - s.units * level) / (1 + w.w * 0.0005::DOUBLE) * 1.0005::DOUBLE ELSE s.cash + (s.units * level - w.w * (s.cash + s.units * level)) / (1 - w.w * 0.0005::DOUBLE) * 0.9995::DOUBLE END,
+  s.units + CASE WHEN w.w * (s.cash + s.units * level) > s.units * level THEN (w.w * (s.cash + s.units * level) - s.units * level) / (1 + w.w * 0.0005::DOUBLE) / level ELSE -(s.units * level - w.w * (s.cash + s.units * level)) / (1 - w.w * 0.0005::DOUBLE) / level END
+  FROM s JOIN w ON w.market = s.market AND w.n = s.n + 1)
+ SELECT w.market, w.date_utc, round(cash + units * level, 4) AS equity, round(cash, 4) + 0::DOUBLE AS cash FROM w JOIN s USING (market, n)""",
         "curve_metrics": f"""WITH {EVENTS}, {_LEVEL}, {_RETURNS}, p AS (SELECT *, level / nullif(max(level) OVER (PARTITION BY market ORDER BY date_utc ROWS UNBOUNDED PRECEDING), 0) - 1 AS down FROM returns)
  SELECT market, count(*) AS bars, round(arg_max(level, date_utc) / arg_min(level, date_utc) - 1, 5) AS total_return, round(pow(arg_max(level, date_utc) / arg_min(level, date_utc), 365.0::DOUBLE / (count(*) - 1)) - 1, 5) AS cagr,
  round(100 * min(down), 5) AS max_drawdown, round(avg(r) / stddev_pop(r) * sqrt(365), 5) AS sharpe, round(avg(r) / stddev_pop(r) FILTER (r < 0) * sqrt(365), 5) AS sortino FROM p GROUP BY market""",

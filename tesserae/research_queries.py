@@ -41,13 +41,13 @@ def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = studies.bucket_summary(_factors(spark, sf_dir), "momentum", "forward", 5)
-    return out.select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "deviation", "positive")])
+    out = studies.bucket_summary(_factors(spark, sf_dir), "momentum", "forward", 5, least=20)
+    return out.select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "deviation", "positive", "mean_percentile")])
 
 
 def factor_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = studies.factor_cells(_factors(spark, sf_dir), "momentum", "turnover", "forward", 3)
-    return out.select("first_bucket", "second_bucket", "n", F.round("mean", 6).alias("mean"))
+    out = studies.factor_cells(_factors(spark, sf_dir), ["momentum", "turnover"], "forward", 3, least=20)
+    return out.select("momentum_bucket", "turnover_bucket", "n", F.round("mean", 6).alias("mean"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def grid_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best runs of each market by growth, with the mean of their neighbours in the grid."""
     rows = backtest.net_growth(_runs(spark, sf_dir), "level", "weight", ["run_id", "market"], FEE)
     results = rows.groupBy("market", "run_id", "short", "long").agg(backtest.compounded(F.col("growth")).alias("growth"))
-    results = backtest.plateau(results.withColumn("growth", F.round("growth", 6)), "short", "long", "growth", ["market"])
+    results = backtest.plateau(results.withColumn("growth", F.round("growth", 6)), ["short", "long"], "growth", ["market"])
     return backtest.best(results, "growth", 2, ["market"]).select("market", "run_id", "short", "long", "place", "growth", F.round("plateau", 5).alias("plateau"))
 
 
@@ -120,7 +120,7 @@ def spec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spec_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = specs.with_features(panels.event_hours(spark, sf_dir), SPECS)
     chosen = specs.with_universe(df, {"feature_column": "share", "lag": 1, "mode": "top_n", "top_n": 2, "value_filters": [{"feature_column": "up", "operator": "gt", "value": 0.0, "lag": 1}]})
-    return _out(specs.with_weights(chosen, {"weighting": "equal", "rebalance_frequency": "daily"}), target_weight=F.col("target_weight"))
+    return _out(specs.with_weights(df, chosen, {"weighting": "equal", "rebalance_frequency": "daily"}), target_weight=F.col("target_weight"))
 
 
 _QUERIES = (gated_universe, calendar_means, rank_changes, bucket_study, factor_grid, grid_crossings, walk_forward, rolling_ratio, latest_bars, spec_features, spec_weights)
@@ -161,6 +161,13 @@ _FEATURES = f"""f AS (SELECT *, (CASE WHEN count(*) OVER {M.format(2)} = 3 THEN
  h AS (SELECT *, CASE WHEN total IS NOT NULL THEN CASE WHEN n = 1 THEN 1.0 ELSE (rn - 1)::DOUBLE / (n - 1) END END AS share FROM g)"""
 
 
+_FACTORS_OF_ALL = "f AS (SELECT *, trade_price / nullif(lag(trade_price, 4) OVER (PARTITION BY market ORDER BY date_utc), 0) - 1 AS momentum, lead(trade_price) OVER (PARTITION BY market ORDER BY date_utc) / nullif(trade_price, 0) - 1 AS forward FROM panel)"
+
+
+def _average_share(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date_utc ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY date_utc, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date_utc) END"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "gated_universe": f"""WITH {BRANDS}, n AS (SELECT date_utc FROM panel GROUP BY 1 HAVING count(turnover) >= 20), b AS (SELECT * FROM panel WHERE date_utc >= (SELECT min(date_utc) FROM n) AND volume > 10),
@@ -173,10 +180,13 @@ def oracle_sql() -> dict[str, str]:
  l AS (SELECT market, min(date_utc) AS first_bar FROM panel GROUP BY 1), d AS (SELECT l.market, t.date_utc FROM l JOIN (SELECT DISTINCT date_utc FROM panel) t ON t.date_utc >= l.first_bar),
  j AS (SELECT d.market, d.date_utc, s.share FROM d LEFT JOIN s ON s.market = d.market AND s.date_utc = d.date_utc)
  SELECT market, date_utc, round(share - lag(share, 3) {_W}, 6) + 0::DOUBLE AS rank_change FROM j""",
-        "bucket_study": f"""WITH {BRANDS}, {_FACTORS}, b AS (SELECT *, {_cut('momentum', 5)} AS bucket FROM held) SELECT bucket, count(*) AS n, round(avg(forward), 6) AS mean, round(median(forward), 6) AS median,
- round(stddev_pop(forward), 6) AS deviation, round(avg((forward > 0)::INT), 6) AS positive FROM b GROUP BY bucket""",
-        "factor_grid": f"""WITH {BRANDS}, {_FACTORS}, b AS (SELECT *, {_cut('momentum', 3)} AS first_bucket, {_cut('turnover', 3)} AS second_bucket FROM held)
- SELECT first_bucket, second_bucket, count(*) AS n, round(avg(forward), 6) AS mean FROM b GROUP BY 1, 2""",
+        "bucket_study": f"""WITH {BRANDS}, {_FACTORS_OF_ALL}, s AS (SELECT *, {_average_share('momentum')} AS share, count(forward) OVER (PARTITION BY date_utc) AS gate FROM f),
+ b AS (SELECT *, least(greatest(ceil(share * 5), 1), 5)::INT AS bucket FROM s WHERE share IS NOT NULL AND forward IS NOT NULL AND gate >= 20)
+ SELECT k.bucket::INT AS bucket, count(b.bucket) AS n, round(avg(forward), 6) AS mean, round(median(forward), 6) AS median, round(stddev_pop(forward), 6) AS deviation,
+ round(avg((forward > 0)::INT), 6) AS positive, round(avg(share), 6) AS mean_percentile FROM range(1, 6) k(bucket) LEFT JOIN b ON b.bucket = k.bucket GROUP BY 1""",
+        "factor_grid": f"""WITH {BRANDS}, {_FACTORS_OF_ALL}, s AS (SELECT *, {_average_share('momentum')} AS a, {_average_share('turnover')} AS t, count(CASE WHEN momentum IS NOT NULL AND turnover IS NOT NULL THEN forward END) OVER (PARTITION BY date_utc) AS gate FROM f),
+ b AS (SELECT *, least(greatest(ceil(a * 3), 1), 3)::INT AS x, least(greatest(ceil(t * 3), 1), 3)::INT AS y FROM s WHERE a IS NOT NULL AND t IS NOT NULL AND forward IS NOT NULL AND gate >= 20)
+ SELECT i.k::INT AS momentum_bucket, j.k::INT AS turnover_bucket, count(b.x) AS n, round(avg(forward), 6) AS mean FROM range(1, 4) i(k), range(1, 4) j(k) LEFT JOIN b ON b.x = i.k AND b.y = j.k GROUP BY 1, 2""",
         "grid_crossings": f"""WITH {BRANDS}, {_RUNS}, {_growth('runs', 'run_id, market')}, g AS (SELECT market, run_id, short, long, round(exp(sum(ln(growth))), 6) AS growth FROM c GROUP BY 1, 2, 3, 4),
  k AS (SELECT *, dense_rank() OVER (PARTITION BY market ORDER BY short) AS x, dense_rank() OVER (PARTITION BY market ORDER BY long) AS y FROM g),
  p AS (SELECT a.market, a.run_id, avg(b.growth) AS plateau FROM k a JOIN k b ON a.market = b.market AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2),
@@ -193,8 +203,9 @@ def oracle_sql() -> dict[str, str]:
  SELECT market, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS deviation, round(median(v), 4) AS median, round(quantile_cont(v, 0.25), 4) AS q25, round(avg((v > 0)::INT), 4) AS positive, round(min(v), 4) AS least, round(max(v), 4) AS most FROM y GROUP BY market""",
         "latest_bars": f"WITH {EVENTS} SELECT market, date_utc, round(trade_price, 6) AS trade_price FROM panel QUALIFY row_number() OVER (PARTITION BY market ORDER BY date_utc DESC) <= 5",
         "spec_features": f"WITH {EVENTS}, {_FEATURES} SELECT market, date_utc, up, round(share, 6) AS share, round(reference, 6) AS reference, round(0.5 * up + 2.0 * share, 6)::DOUBLE AS score FROM h",
-        "spec_weights": f"""WITH {EVENTS}, {_FEATURES}, l AS (SELECT *, lag(share) {_W} AS v, lag(up) {_W} AS on_before FROM h),
+        "spec_weights": f"""WITH {EVENTS}, {_FEATURES}, l AS (SELECT *, CASE WHEN share IS NOT NULL THEN lag(share) OVER (PARTITION BY market, share IS NULL ORDER BY date_utc) END AS v, CASE WHEN up IS NOT NULL THEN lag(up) OVER (PARTITION BY market, up IS NULL ORDER BY date_utc) END AS on_before FROM h),
  c AS (SELECT * FROM l WHERE v IS NOT NULL AND on_before > 0 QUALIFY row_number() OVER (PARTITION BY date_utc ORDER BY v DESC, market) <= 2),
- s AS (SELECT min(date_utc) AS date_utc FROM c GROUP BY date_trunc('day', c.date_utc))
- SELECT market, date_utc, round(1.0::DOUBLE / count(*) OVER (PARTITION BY date_utc), 6) AS target_weight FROM c WHERE date_utc IN (SELECT date_utc FROM s)""",
+ s AS (SELECT min(date_utc) AS due FROM panel GROUP BY date_trunc('day', panel.date_utc)),
+ k AS (SELECT s.due, max(c.date_utc) AS date_utc FROM s JOIN c ON c.date_utc <= s.due GROUP BY 1)
+ SELECT market, due AS date_utc, round(1.0::DOUBLE / count(*) OVER (PARTITION BY due), 6) AS target_weight FROM c JOIN k USING (date_utc)""",
     }

@@ -95,7 +95,7 @@ def test_allocation_holds_a_sleeve_between_its_bars(spark):
 
 def test_incremental_score(spark):
     df = bars(spark, [[1], [1], [0], [0]], ["on"])
-    assert [r["score"] for r in recursive.incremental_weights(df, "on", 0.5, 0.25).orderBy("date_utc").collect()] == [0.5, 1.0, 0.75, 0.5]
+    assert [r["score"] for r in recursive.incremental_scores(df, "on", 0.5, 0.25).orderBy("date_utc").collect()] == [0.5, 1.0, 0.75, 0.5]
 
 
 def test_net_growth_is_the_recursion(spark):
