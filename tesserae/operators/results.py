@@ -92,7 +92,7 @@ def query(table: DataFrame, *, equal: dict[str, str] | None = None, contains: st
         table = table.where(F.col(column) >= bound)
     for column, bound in (most or {}).items():
         table = table.where(F.col(column) <= bound)
-    order = [F.col(sort).asc_nulls_last() if ascending else F.col(sort).desc_nulls_last(), F.col("run_name")]
+    order = [F.col(sort).asc_nulls_last() if ascending else F.col(sort).desc_nulls_last(), F.col("run_name"), F.col("source_dir")]
     if group is None:
         return table.orderBy(*order).limit(top)
     return table.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= top)

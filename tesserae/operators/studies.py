@@ -187,7 +187,7 @@ def market_wide(rows: DataFrame, feature: str) -> DataFrame:
 def exposure(weights: DataFrame, scale: DataFrame, lag: int = 0, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Weights times a series (date_utc, scale) that is lagged by bars of its own and held within bounds; null is 0."""
     before = F.lag("scale", lag).over(Window.orderBy("date_utc")) if lag else F.col("scale")  # one row per bar
-    held = scale.select("date_utc", F.coalesce(F.least(F.greatest(before, F.lit(low)), F.lit(high)), F.lit(0.0)).alias("_scale"))
+    held = scale.select("date_utc", F.when(before.isNotNull(), F.least(F.greatest(before, F.lit(low)), F.lit(high))).otherwise(0.0).alias("_scale"))
     return weights.join(held, "date_utc", "left").withColumn("target_weight", F.col("target_weight") * F.coalesce("_scale", F.lit(0.0))).drop("_scale")
 
 

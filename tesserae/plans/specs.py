@@ -173,6 +173,10 @@ def with_universe(df: DataFrame, spec: dict, price: str = "trade_price", nulls:
             df = df.withColumn(made[column, n], ts.lag(F.col(f"`{column}`"), n, nulls))
         return df, made[column, n]
 
+    # All lags first: they look back over the bars that the start gate leaves out.
+    ranked = [f for stage in spec["filter_stages"] for f in stage["filters"]]
+    for column, n in [(spec["sort_column"], spec["lag"]), *((f["feature_column"], f["lag"]) for f in [*spec["value_filters"], *ranked])]:
+        df, _ = lagged(df, column, n)
     df, sort = lagged(df, spec["sort_column"], spec["lag"])
     base = F.col(sort).isNotNull()
     if spec["allowed_markets"]:
