@@ -29,7 +29,7 @@ from tesserae.llm import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries in a worker's cache of encoded pieces, about 0.2 KB each; it stays from task to task.
-CACHE = 400_000
+CACHE = 150_000
 #: The vocabulary's pattern within Latin-1, with the alternatives that begin alike first.
 _L, _N = common.LATIN_LETTERS, common.LATIN_NUMBERS
 _LATIN = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")

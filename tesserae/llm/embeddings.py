@@ -112,7 +112,7 @@ def _block_links(x: np.ndarray, y: np.ndarray, same: bool, table: int, signs: in
     return i, j
 
 
-def _group_rows(table: int, first: int, second: int, nodes: list[bytes], counts: list[int], blocks: list[int], raw: list[bytes], signs: int, tables: int, kind: str):
+def _group_rows(table: int, first: int, second: int, nodes: list[int], counts: list[int], blocks: list[int], raw: list[bytes], signs: int, tables: int, kind: str):
     """(node, links, peer) of the vectors of one pair of blocks."""
     for size in sorted({len(v) for v in raw}):
         own = [k for k, v in enumerate(raw) if len(v) == size]
@@ -150,7 +150,7 @@ def _link_rows(signs: int, tables: int, kind: str):
                 done.extend(_group_rows(group[0], group[2], group[3], *held, signs, tables, kind))
 
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], ["node", "links", "peer"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "links", "peer"])
 
         for batch in batches:
             for *key, node, count, block, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -175,9 +175,10 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     kind = "<f4" if single else "<f8"  # vectors move as they are given; cosines are in double precision
     wide = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
-    wide = wide.withColumn("node", F.when(fine, F.unhex(F.md5(F.col("v").cast("string")))))
+    wide = wide.withColumn("key", F.when(fine, F.unhex(F.md5(F.col("v").cast("string")))))
 
-    nodes = common.stored(wide.where("node is not null").groupBy("node").agg(F.count("*").alias("count"), F.min("vec_id").alias("vec_id"), F.first("v").alias("v")), "vectors")
+    nodes = wide.where("key is not null").groupBy("key").agg(F.count("*").alias("count"), F.min("vec_id").alias("vec_id"), F.first("v").alias("v"))
+    nodes = common.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # numbers that stay, as they are written
     signs, tables = shape(nodes.count())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +192,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
                     found[k] = row.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["node", "count", "vector", "cells"])
 
-    placed = common.stored(nodes.select("node", "count", "v").mapInArrow(place, "node binary, count bigint, vector binary, cells array<bigint>"), "cells")
+    placed = common.stored(nodes.select("node", "count", "v").mapInArrow(place, "node bigint, count bigint, vector binary, cells array<bigint>"), "cells")
     sizes = placed.select(F.posexplode("cells").alias("table", "cell")).groupBy("table", "cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = sizes.select("table", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = placed.select("node", "count", "vector", F.posexplode("cells").alias("table", "cell")).join(blocks, ["table", "cell"])
@@ -199,18 +200,18 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("table", "cell", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "count", "block", "vector")
     rows = rows.repartition("table", "cell", "first", "second").sortWithinPartitions("table", "cell", "first", "second")
-    found = common.stored(rows.mapInArrow(_link_rows(signs, tables, kind), "node binary, links bigint, peer binary"), "vector-links")
+    found = common.stored(rows.mapInArrow(_link_rows(signs, tables, kind), "node bigint, links bigint, peer bigint"), "vector-links")
     common.drop_stored(placed)
     common.release(spark)
 
     component = common.connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")).where("a <> b"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    table = nodes.select("node", "count", "vec_id").join(links, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    table = nodes.select("key", "node", "count", "vec_id").join(links, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     table = common.stored(table, "vector-classes")
     least = common.stored(table.groupBy("component").agg(F.min("vec_id").alias("component_id")), "vector-least")
-    table = table.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"), "component_id")
-    out = wide.select("vec_id", "node").join(table, "node", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    table = common.stored(table.join(least, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"), "component_id"), "vector-table")
+    out = wide.select("vec_id", "key").join(table, "key", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

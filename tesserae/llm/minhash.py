@@ -97,10 +97,10 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.array([None if b is None else common.signed(b[0]) for b in found], pa.list_(pa.int64()))
         sketches = pa.array([None if b is None else b[1] for b in found], pa.binary())
         sizes = batch.column(batch.schema.get_field_index("size"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, lists, sketches], ["doc_id", "node", "size", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, lists, sketches], ["doc_id", "key", "size", "bands", "sketch"])
 
 
-def _block_links(first: int, second: int, nodes: list, components: list, blocks: list, sketches: list, bands_of: list, texts: list, band: int) -> Iterator[tuple[bytes, bytes]]:
+def _block_links(first: int, second: int, nodes: list, components: list, blocks: list, sketches: list, bands_of: list, texts: list, band: int) -> Iterator[tuple[int, int]]:
     """Links between members of different components, of pairs that share no earlier band."""
     block = np.array(blocks)
     registers = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(nodes), -1)
@@ -111,7 +111,7 @@ def _block_links(first: int, second: int, nodes: list, components: list, blocks:
     _, every = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     ids = [every[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    _, part = np.unique(np.array(components, dtype=object), return_inverse=True)
+    _, part = np.unique(np.array(components, dtype=np.int64), return_inverse=True)
     root = np.arange(part.max() + 1)
     mark = np.zeros(int(every.max()) + 1, dtype=bool)
     others = registers[right].T.copy()
@@ -145,7 +145,7 @@ def _apart_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links() -> pa.RecordBatch:
         found = list(_block_links(group[2], group[3], *held, group[0]))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
         texts = list(common.text_bytes(batch))
@@ -175,7 +175,7 @@ def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if both >= SIMILARITY * (len(leader) + len(mine) - both):
                 out[0].append(a)
                 out[1].append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -185,33 +185,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"), F.lit(0).alias("place"))
     rows = members.unionByName(leaders).join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text", "place")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "place").drop("place")
-    return rows.mapInArrow(_verify_rows, "a binary, b binary")
+    return rows.mapInArrow(_verify_rows, "a bigint, b bigint")
 
 
-def text_node(text: str = "text") -> Column:
+def text_key(text: str = "text") -> Column:
     """128 bits that stand for a text."""
     return F.unhex(F.md5(text))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, class) of all texts with words that are linked to others, and (doc_id, node, bands) of all rows; a node is
-    a text's hash, a class the smallest node in it."""
+    """(node, component) of all texts that are linked to others, and (doc_id, key, node) of all rows; a node numbers a text
+    with words, a component is the smallest node in it."""
     spark = docs.sparkSession
-    rows = common.stored(docs.select("doc_id", text_node().alias("node"), F.octet_length("text").cast("bigint").alias("size"), "text").mapInArrow(_band_rows, "doc_id bigint, node binary, size bigint, bands array<bigint>, sketch binary"), "bands")
-    nodes = rows.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    rows = common.stored(docs.select("doc_id", text_key().alias("key"), F.octet_length("text").cast("bigint").alias("size"), "text").mapInArrow(_band_rows, "doc_id bigint, key binary, size bigint, bands array<bigint>, sketch binary"), "bands")
+    nodes = rows.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.min("doc_id").alias("doc_id"))
+    nodes = common.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers that stay, as they are written
     buckets = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
-    full = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+    full = common.stored(buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value"), "full")
     buckets = common.stored(buckets.join(full, ["band", "value"]), "buckets")
     # One row of each text that meets another; texts themselves move once.
-    wanted = buckets.select("node").distinct()
-    texts = docs.where("text is not null").select(text_node().alias("node"), "doc_id", "text")
-    chosen = rows.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = texts.join(chosen, texts["node"].eqNullSafe(chosen["node"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])).select(texts["node"], "text").dropDuplicates(["node"])
-    texts = common.stored(texts, "texts")
+    chosen = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("key", "node", "doc_id")
+    texts = docs.where("text is not null").select(text_key().alias("key"), "doc_id", "text").alias("t").join(chosen.alias("c"), (F.col("t.key") == F.col("c.key")) & F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")))
+    texts = common.stored(texts.select("c.node", "t.text").dropDuplicates(["node"]), "texts")
     common.release(spark)
 
     links, tested, component = None, None, None
-    made = [buckets, texts]  # tables that go at the end
+    made = [full, buckets, texts, rows, nodes]  # tables that go at the end
     for turn, used in enumerate((*TURNS, ())):
         labelled = buckets if component is None else buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if component is None:
@@ -231,7 +230,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             sketched = here.join(nodes, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             sketched = sketched.select("band", "value", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "component", "block", "sketch", "bands", "text")
             sketched = sketched.repartition("band", "value", "first", "second").sortWithinPartitions("band", "value", "first", "second")
-            found = common.stored(sketched.mapInArrow(_apart_rows, "a binary, b binary"), "links")
+            found = common.stored(sketched.mapInArrow(_apart_rows, "a bigint, b bigint"), "links")
             made.append(found)
             links = found if links is None else links.unionByName(found)
             component = common.connected_components(links)
@@ -252,32 +251,33 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             component = common.connected_components(links)
         common.release(spark)
     if component is None:
-        component = spark.createDataFrame([], "node binary, component binary")
+        component = spark.createDataFrame([], "node bigint, component bigint")
+    numbered = common.stored(rows.select("doc_id", "key").join(nodes.select("key", "node"), "key", "left"), "numbered")
     common.drop_stored(*made)
-    return component, rows
+    return component, numbered
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, node, component, class_id, kept of every row; the component is null for a text without words."""
+    """doc_id, key, component, class_id, kept of every row; the component is null for a text without words."""
     component, rows = classes(docs)
-    labelled = rows.join(component.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    labelled = common.stored(labelled.select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("component", "node")).alias("component")), "labelled")
+    labelled = rows.join(component, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"))
+    labelled = common.stored(labelled, "labelled")
     common.drop_stored(rows)
     # Stored, so that the join of a large class is split.
     least = common.stored(labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id")), "classes")
-    out = labelled.join(least, "component", "left").select("doc_id", "node", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    out = labelled.join(least, "component", "left").select("doc_id", "key", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each class the one with the smallest doc_id. Repeats of its row go too."""
     marked = near_duplicates(docs).where("kept and component is not null")
-    first = marked.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("f")).select("f.doc_id", "f.node")
+    first = marked.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("f.doc_id", "f.key")
     # Texts without words are no copies of one another; they stay.
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD_PATTERN)
-    keyed = docs.select("doc_id", text_node().alias("node"), worded.alias("worded"), F.struct(*docs.columns).alias("row"))
-    single = keyed.where("worded").alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.node") == F.col("f.node")), "left_semi")
-    return single.dropDuplicates(["doc_id", "node"]).select("row.*").unionByName(docs.where(~worded))
+    keyed = docs.select("doc_id", text_key().alias("key"), worded.alias("worded"), F.struct(*docs.columns).alias("row"))
+    single = keyed.where("worded").alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key")), "left_semi")
+    return single.dropDuplicates(["doc_id", "key"]).select("row.*").unionByName(docs.where(~worded))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

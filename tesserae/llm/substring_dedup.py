@@ -11,8 +11,8 @@ automata decide every window.
    so consecutive windows with one anchor form a segment, and segments whose anchors occur in one document only are
    done.
 2. Segments equal as a whole (by anchor and segment hash) name the smallest document among them as their reference. Where
-   segments that differ share an anchor, one occurrence of each is taken apart, and windows equal by 128 bits of hash name
-   the smallest document among them.
+   segments that differ share an anchor, one occurrence of each is taken apart, and windows equal by anchor and hash (128 bits)
+   name the smallest document among them.
 3. A document's segments and windows that name one reference are merged into runs of words. The runs that a reference has
    itself make up its suffix automaton, and the runs of the others stream past it: where the matching statistics
    reach the window length, windows are repeated. Tasks get (reference, piece, salt): a reference of more than SHARD_WORDS words is cut
@@ -47,7 +47,7 @@ ANCHOR = 20
 #: Words of a shard's automaton, and shards broadcast at most.
 SHARD_WORDS, SHARDS = 200_000, 16
 #: Bytes of runs that one task streams past a reference.
-SALT_BYTES = 4 << 20
+SALT_BYTES = 256 << 10
 
 
 class SuffixAutomaton:
@@ -173,17 +173,17 @@ def _flushed(out: list[list], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From documents with lists of segments to a row for each window of them, with 128 bits of its hash."""
-    names, types = ["doc_id", "key", "start", "high", "low"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    """From documents with lists of segments to a row for each window of them, with its anchor and hash."""
+    names, types = ["anchor", "doc_id", "key", "start", "hash"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for doc_id, key, data, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.text_bytes(batch), batch.column(3), strict=True):
-            words = common.word_hashes(data, *common.word_edges(data))
-            grams = common.Grams(words), common.Grams(common.mix(words ^ np.uint64(0x5851F42D4C957F2D)))
-            at = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["count"]) for s in listed.as_py()]))
-            high, low = (common.signed(g.runs(at, at + WINDOW)).tolist() for g in grams)
-            for column, x in zip(out, ([doc_id] * len(at), [key] * len(at), at.tolist(), high, low), strict=True):
-                column += x
+            grams = common.Grams(common.word_hashes(data, *common.word_edges(data)))
+            for segment in listed.as_py():
+                at = np.arange(segment["start"], segment["start"] + segment["count"])
+                n = len(at)
+                for column, x in zip(out, ([segment["anchor"]] * n, [doc_id] * n, [key] * n, at.tolist(), common.signed(grams.runs(at, at + WINDOW)).tolist()), strict=True):
+                    column += x
             if len(out[0]) > 100_000:
                 yield _flushed(out, names, types)
                 out = [[] for _ in names]
@@ -261,9 +261,11 @@ def _match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _flushed(out, names, types)
 
 
-def _listed(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row for each document, with the list of what it has."""
-    return rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("listed"))
+def _with_texts(keyed: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, key, text, and the list of what each document has in rows. The lists grow with the corpus, so they are not
+    broadcast, however few they are."""
+    listed = rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("listed"))
+    return keyed.join(listed.hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "listed")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -285,12 +287,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     # Different segments of one anchor: the windows of the first document's occurrence of each.
     chosen = shared.join(first.where("differ").select("anchor", "segment", F.col("first").alias("doc_id")), ["anchor", "segment", "doc_id"])
-    listed = keyed.join(_listed(chosen, "start", "count"), ["doc_id", "key"]).select("doc_id", "key", "text", "listed")
-    windows = common.stored(listed.mapInArrow(_window_rows, "doc_id bigint, key bigint, start int, high bigint, low bigint"), "windows")
-    earliest = common.stored(windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "earliest")
-    same = windows.join(earliest, ["high", "low"]).select("doc_id", "key", "first", "start", F.lit(1).alias("count"))
+    windows = common.stored(_with_texts(keyed, chosen, "anchor", "start", "count").mapInArrow(_window_rows, "anchor bigint, doc_id bigint, key bigint, start int, hash bigint"), "windows")
+    earliest = common.stored(windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "earliest")
+    same = windows.join(earliest, ["anchor", "hash"]).select("doc_id", "key", "first", "start", F.lit(1).alias("count"))
 
-    named = keyed.join(_listed(equal.unionByName(same), "first", "start", "count"), ["doc_id", "key"]).select("doc_id", "key", "text", "listed")
+    named = _with_texts(keyed, equal.unionByName(same), "first", "start", "count")
     runs = common.stored(named.mapInArrow(_run_rows, RUN_ROWS), "runs")
     common.drop_stored(shared, first, windows, earliest)
     common.release(spark)
