@@ -66,7 +66,7 @@ def test_smoothing_and_simulation(spark):
 
 def test_directional_index_of_a_steady_rise(spark):
     df = bars(spark, [[i + 1, i, i + 0.5] for i in range(12)], ["high_price", "low_price", "trade_price"])
-    assert [r["adx"] for r in recursive.adx(df, 3).orderBy("date_utc").collect()][4:] == [100.0] * 8
+    assert [r["adx"] for r in recursive.adx(df, 3).orderBy("date_utc").collect()][4:] == pytest.approx([100.0] * 8)
 
 
 def across(spark, weights, caps):
@@ -98,12 +98,23 @@ def test_incremental_score(spark):
     assert [r["score"] for r in recursive.incremental_scores(df, "on", 0.5, 0.25).orderBy("date_utc").collect()] == [0.5, 1.0, 0.75, 0.5]
 
 
-def test_net_growth_is_the_recursion(spark):
+def test_net_growth_is_the_account(spark):
+    """Against money and units traded bar by bar."""
     values = [[100, 1], [110, 0], [90, 0.5], [120, 0.25], [80, 1], [85, 1]]
-    df = bars(spark, values, ["p", "w"])
-    slow = [r["equity"] for r in recursive.simulate(df, "p", "w", fee=0.001).orderBy("date_utc").collect()]
-    fast = [r["equity"] for r in backtest.equity(backtest.net_growth(df, "p", "w", ["market"], 0.001), ["market"]).orderBy("date_utc").collect()]
-    assert fast == pytest.approx(slow, rel=1e-12)
+    cash, units, fee, slow = 1000.0, 0.0, 0.001, []
+    for p, w in values:
+        held = units * p
+        gap = w * (cash + held) - held
+        if gap > 0:
+            spent = gap / (1 + w * fee)
+            units, cash = units + spent / p, cash - spent * (1 + fee)
+        else:
+            sold = -gap / (1 - w * fee)
+            units, cash = units - sold / p, cash + sold * (1 - fee)
+        slow.append((cash + units * p, cash, units))
+    got = recursive.simulate(bars(spark, values, ["p", "w"]), "p", "w", fee=fee).orderBy("date_utc").collect()
+    for r, (equity, money, held) in zip(got, slow, strict=True):
+        assert (r["equity"], r["cash"], r["units"]) == pytest.approx((equity, money, held), rel=1e-12, abs=1e-9)
 
 
 def test_folds_hold_month_ends(spark):
