@@ -389,12 +389,43 @@ def test_empty_tables(spark, empty):
     assert mixing.mixed_documents(empty).count() == 0 and minhash.one_of_each(empty).count() == 0 and substring_dedup.deduplicated_documents(empty).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """Toxic documents, near copies, shared passages, null and repeated doc_ids through all five stages."""
+    import public_tokenizers
+    import tiktoken
+
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert 0 < len(out) < 3 * docs.count() and all(r["n_tokens"] >= 0 for r in out)
+    shared = passage("shared", 55)
+    rows = []
+    for k in range(60):
+        toxic = k % 5 == 0
+        rows.append((k, passage(f"doc{k}", 40) + (" vile slur hateful filth" if toxic else " kind word lovely garden") + " " + passage(f"end{k}", 40), "en", f"s{k % 3}", 1))
+    rows += [(100, rows[1][1] + " extra", "en", "s0", 1), (101, rows[1][1], "en", "s1", 1)]  # a near copy and an exact one
+    rows += [(110 + k, f"{passage(f'x{k}', 30)} {shared} kind garden {passage(f'y{k}', 30)}", "en", "s2", 1) for k in range(3)]
+    rows += [(None, passage("none", 50), "en", None, 1), (120, passage("first", 50), "en", "s0", 1), (120, passage("second", 50), "en", "s0", 1), (130, None, None, "s1", None), (131, "", "en", "s1", 0)]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(60)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder).cache()
+        kept[name] = [r.asDict() for r in docs.collect()]
+
+    after = sorted((r for r in rows if "vile" not in (r[1] or "")), key=str)
+    assert sorted((tuple(r.values()) for r in kept["toxicity"]), key=str) == after
+    after = sorted((r for r in after if r[0] not in (100, 101)), key=str)
+    assert sorted((tuple(r.values()) for r in kept["minhash_near_dedup"]), key=str) == after
+    cut = {(r[0], " ".join(r[1].replace(shared, "").split()) if r[0] in (111, 112) else r[1]) for r in after}
+    assert {(r["doc_id"], r["text"]) for r in kept["substring_dedup"]} == cut
+    taken = {(r["doc_id"], r["text"]) for r in kept["mixing"]}
+    assert taken <= {c for c in cut if c[1]} and len(taken) > 0.5 * len(cut)
+    counts = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame([tuple(r.values()) for r in kept["substring_dedup"]], SCHEMA)).collect() if r["doc_id"] not in (None, 120)}
+    found = [r["doc_id"] for r in kept["mixing"]]
+    assert all(found.count(k) == n for k, n in counts.items())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load(byte_bpe.vocabulary_path()).ranks, special_tokens={})
+    assert sorted((r["doc_id"] or -1, np.frombuffer(bytes(r["ids"]), "<u4").tolist()) for r in kept["byte_bpe"]) == sorted((r["doc_id"] or -1, library.encode_ordinary(r["text"])) for r in kept["mixing"])
+    assert corpus_pipeline.run(spark, folder).count() == len(found)
 
 
 def test_toxicity_of_few_labels(spark):

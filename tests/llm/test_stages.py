@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from tesserae.llm import common, embeddings, minhash, mixing, toxicity
 
 
@@ -12,32 +10,34 @@ def passage(seed, n):
     return " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(n))
 
 
-@pytest.mark.parametrize("name", ["node", "component", "f", "d", "worded", "row", "class_id", "bands"])
-def test_clashes_in_near_dedup(spark, name):
+def with_columns(spark, rows, names):
+    """Rows of (doc_id, text, source, n) with n in columns of all the names."""
+    return spark.createDataFrame([(*r, *[r[3]] * (len(names) - 1)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+
+
+def test_clashes_in_near_dedup(spark):
     a, b = passage(1, 60), passage(2, 60)
-    df = spark.createDataFrame([(1, a, "s", 7), (2, a, "s", 8), (3, b, "s", 9), (4, None, "s", None)], f"doc_id long, text string, source string, `{name}` long")
+    df = with_columns(spark, [(1, a, "s", 7), (2, a, "s", 8), (3, b, "s", 9), (4, None, "s", None)], ["node", "component", "f", "d", "worded", "row", "class_id", "bands", "key", "size"])
     out = minhash.one_of_each(df)
-    assert out.columns == df.columns and sorted((r[0], r[3] or 0) for r in out.collect()) == [(1, 7), (3, 9), (4, 0)]
+    assert out.columns == df.columns and sorted((r[0], r[3] or 0, r[9] or 0) for r in out.collect()) == [(1, 7, 7), (3, 9, 9), (4, 0, 0)]
 
 
-@pytest.mark.parametrize("name", ["copy_number", "copies", "text_key", "place", "row", "range", "size", "upto"])
-def test_clashes_in_mixing(spark, name):
-    df = spark.createDataFrame([(k, passage(k, 30), f"s{k % 2}", k) for k in range(20)], f"doc_id long, text string, source string, `{name}` long")
+def test_clashes_in_mixing(spark):
+    df = with_columns(spark, [(k, passage(k, 30), f"s{k % 2}", k) for k in range(20)], ["copy_number", "copies", "text_key", "place", "row", "range", "size", "upto"])
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
     rows = out.collect()
-    assert rows and all(r[0] == r[3] for r in rows)
+    assert rows and all(r[0] == r[3] == r[8] for r in rows)
 
 
-@pytest.mark.parametrize("name", ["score", "evidence", "_text", "row", "label"])
-def test_clashes_in_toxicity(spark, name):
+def test_clashes_in_toxicity(spark):
     texts = [(k, passage(k, 8) + (" vile slur hateful" if k % 4 == 0 else " kind lovely garden"), "s", k) for k in range(60)]
-    df = spark.createDataFrame(texts, f"doc_id long, text string, source string, `{name}` long")
+    df = with_columns(spark, texts, ["score", "evidence", "_text", "row", "label"])
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(40)], "doc_id long, toxic int")
     out = toxicity.accepted(df, labels)
     assert out.columns == df.columns
     rows = out.collect()
-    assert all(r[0] == r[3] for r in rows) and {r[0] for r in rows} == {k for k in range(60) if k % 4}
+    assert all(r[0] == r[3] == r[5] for r in rows) and {r[0] for r in rows} == {k for k in range(60) if k % 4}
 
 
 def test_classes_are_an_exact_join(spark):
