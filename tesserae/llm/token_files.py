@@ -83,7 +83,8 @@ class FileWriter:
         frame = self.zstd.compress(data)
         self.out.write(frame)
         self.entries.append((len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
-        self.index.append((int(numbers[0]), n, self.held))
+        first = self.doc_ids[0]  # nulls come before all numbers
+        self.index.append((-(1 << 63) if first is None else int(first), n, self.held))
         self.n_docs, self.n_ids, self.n_bytes = self.n_docs + n, self.n_ids + self.held, self.n_bytes + len(frame)
         self._start()
 

@@ -455,3 +455,18 @@ def test_copies_that_repeat_a_passage():
         assert len(x & y) / len(x | y) > 0.9
         (b1, s1), (b2, s2) = minhash.bands(one), minhash.bands(two)
         assert (b1 == b2).any() and sum(p == q for p, q in zip(s1, s2, strict=True)) >= minhash.AGREE
+
+
+def test_reader_finds_every_document(tmp_path, monkeypatch):
+    """Nulls, negative and repeated doc_ids over many frames."""
+    monkeypatch.setattr(token_files, "FRAME_IDS", 6)
+    path = f"file://{tmp_path}/tokens.zst"
+    held = [(None, 0), (None, 1), (None, 2), (-9, 3), (-9, 4), (-2, 5), (0, 6), (0, 7), (0, 8), (5, 9), (7, 10)]
+    writer = token_files.FileWriter(path)
+    for doc_id, k in held:
+        writer.add(doc_id, np.arange(k, k + 4, dtype="<u2").tobytes())
+    writer.close()
+    reader = token_files.FileReader(path)
+    assert len(reader) > 3 and [(d, int(ids[0])) for k in range(len(reader)) for d, ids in reader.frame(k)] == held
+    for doc_id in {d for d, _ in held if d is not None} | {-100, 6, 100}:
+        assert [int(ids[0]) for ids in reader.document(doc_id)] == [k for d, k in held if d == doc_id]
