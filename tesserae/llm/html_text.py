@@ -4,9 +4,9 @@ The standard library's parser reports tags and text one after the other; nothing
 blocks is kept. Block-level tags cut the page into lines. What is no text (scripts, styles) and what the page itself
 declares to be no content by its element or role (nav, footer, aside, form and the like) is left out as it streams by.
 
-Each line has a ratio of characters outside links to tags. Ratios are smoothed with a Gaussian, and the logarithms of the
-smoothed ratios are clustered by the threshold that leaves the least variance on both sides; lines above it are the content
-clusters. The region of the page is the innermost block that holds all content clusters but for LEFT_OUT of their
+Each line has a ratio of characters outside links to tags. Logarithms of the ratios (so that one long paragraph does not lift what
+stands beside it) are smoothed with a Gaussian and clustered by the threshold that leaves the least variance on both sides; lines above it are the
+content clusters. The region of the page is the innermost block that holds all content clusters but for LEFT_OUT of their
 characters, and grows to a block around it as long as what comes in is as dense as content. article and main are blocks like any
 other here.
 
@@ -46,7 +46,7 @@ _NAMES = re.compile(
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|disqus|respond)(?:$|[\s_-])")
 #: Standard deviation of the smoothing, in lines; factor of a ratio below a name; share of the content that may lie outside;
 #: share of the page from which a block is a wrapper, whatever its name.
-SIGMA, LOWERED, LEFT_OUT, WRAPPER = 1.0, 0.02, 0.1, 0.9
+SIGMA, LOWERED, LEFT_OUT, WRAPPER = 1.0, 0.2, 0.1, 0.9
 _KERNEL = [math.exp(-0.5 * (k / SIGMA) ** 2) for k in range(-3, 4)]
 
 
@@ -199,9 +199,9 @@ def threshold(values: list[float]) -> float:
 
 
 def clusters(lines: list[Line], lowered: list[bool]) -> tuple[list[float], float]:
-    """The smoothed ratios, as logarithms, and the threshold of the content clusters."""
-    ratios = smoothed([max(0, len(line.text) - line.linked) / max(1, line.tags) for line in lines])
-    levels = [math.log1p((LOWERED if low else 1.0) * r) for r, low in zip(ratios, lowered, strict=True)]
+    """The smoothed logarithms of the ratios, and the threshold of the content clusters."""
+    levels = smoothed([math.log1p(max(0, len(line.text) - line.linked) / max(1, line.tags)) for line in lines])
+    levels = [(LOWERED if low else 1.0) * x for x, low in zip(levels, lowered, strict=True)]
     return levels, threshold(levels)
 
 
