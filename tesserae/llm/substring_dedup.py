@@ -327,7 +327,7 @@ def _kept(data: bytes, spans: list[tuple[int, int]] | None) -> tuple[int, int, b
 def _with_spans(docs: DataFrame, *keep: Column) -> DataFrame:
     """text, spans and the columns `keep` of every row."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", *keep)
-    return keyed.join(repeated_spans(docs), ["doc_id", "key"], "left").drop("key")
+    return keyed.join(repeated_spans(docs).hint("merge"), ["doc_id", "key"], "left").drop("key")  # spans grow with the corpus
 
 
 def _span_list(value) -> list[tuple[int, int]] | None:
