@@ -8,8 +8,6 @@ import json
 import re
 from collections.abc import Iterable
 
-from tesserae.plans import specs
-
 # Presets that configurations name, with their parameters in braces.
 PRESETS: dict[str, dict] = {
     "rank_momentum": {
@@ -49,6 +47,16 @@ HISTORY_ENDINGS = ("_window", "_period", "_periods", "_lag", "_lookback", "_bars
 _ONE = re.compile(r"\{(\w+)\}")
 
 
+def feature_name(spec: dict) -> str:
+    """column_name, or a name made of the source and its steps."""
+    if spec.get("column_name"):
+        return spec["column_name"]
+    if "source" not in spec:
+        raise ValueError(f"a spec without a source needs a column_name: {spec}")
+    steps = ["_".join([s["kind"], *[f"{k}{v}" for k, v in sorted(s.get("params", {}).items())]]) for s in spec.get("steps", [])]
+    return "__".join([spec["source"], *steps])
+
+
 def rendered(template, values: dict):
     """The template with names in braces filled in; a string that is one name alone becomes the value as it is."""
     if isinstance(template, dict):
@@ -71,7 +79,7 @@ def feature_specs(payload: list[dict], presets: dict[str, dict] = PRESETS) -> li
             made = rendered(presets[item["preset"]], item.get("params", {}))
             item = made | {k: v for k, v in item.items() if k not in ("preset", "params")}
         out.append(item)
-        specs.feature_name(item)
+        feature_name(item)
         if "compare" in item and item["compare"]["operator"] not in OPERATORS:
             raise ValueError(f"unknown operator {item['compare']['operator']}")
     return out
@@ -165,7 +173,7 @@ def dependencies(spec: dict) -> set[str]:
 
 def signature(name: str, features: list[dict]) -> str:
     """A key of a feature by its definition and those of all features under it: equal names of other definitions differ."""
-    known = {specs.feature_name(f): f for f in features}
+    known = {feature_name(f): f for f in features}
 
     def deep(name: str, above: tuple[str, ...]):
         if name in above:
@@ -180,7 +188,7 @@ def signature(name: str, features: list[dict]) -> str:
 
 def missing_columns(features: list[dict], present: Iterable[str]) -> set[str]:
     """Columns that features name and neither the panel nor another feature has."""
-    named = {specs.feature_name(f) for f in features}
+    named = {feature_name(f) for f in features}
     wanted = {d.split(":")[-1] for f in features for d in dependencies(f)}
     return wanted - named - set(present)
 
@@ -196,7 +204,7 @@ def required_markets(features: list[dict], universe: dict | None = None, scores:
 
 def history_bars(features: list[dict], universe: dict, weights: dict) -> int:
     """Bars that the last row needs before it: the longest feature with all it is made of, lags, and room to spare."""
-    known = {specs.feature_name(f): f for f in features}
+    known = {feature_name(f): f for f in features}
 
     def param(key: str, value) -> int:
         counts = isinstance(value, (int, float)) and not isinstance(value, bool) and (key in HISTORY_NAMES or key.endswith(HISTORY_ENDINGS))

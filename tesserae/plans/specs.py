@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import cross_section as cs
 from tesserae.functions import series as ts
 from tesserae.operators import portfolio, recursive, studies
+from tesserae.plans import payloads
 
 #: Steps that are one column: kind -> (column, params) -> column. Windows skip nulls unless null_policy is "strict".
 STEPS: dict[str, Callable[[Column, dict], Column]] = {
@@ -73,16 +74,6 @@ def _frame_step(df: DataFrame, kind: str, source: str, p: dict, name: str) -> Da
     return None
 
 
-def feature_name(spec: dict) -> str:
-    """column_name, or a name made of the source and its steps."""
-    if spec.get("column_name"):
-        return spec["column_name"]
-    if "source" not in spec:
-        raise ValueError(f"a spec without a source needs a column_name: {spec}")
-    steps = ["_".join([s["kind"], *[f"{k}{v}" for k, v in sorted(s.get("params", {}).items())]]) for s in spec.get("steps", [])]
-    return "__".join([spec["source"], *steps])
-
-
 def with_market_reference(df: DataFrame, source: str) -> tuple[DataFrame, str]:
     """A source `market:NAME:column` is that market's value at every row of the bar."""
     if not source.startswith("market:"):
@@ -93,7 +84,7 @@ def with_market_reference(df: DataFrame, source: str) -> tuple[DataFrame, str]:
 
 
 def with_feature(df: DataFrame, spec: dict) -> DataFrame:
-    name = feature_name(spec)
+    name = payloads.feature_name(spec)
     if spec.get("compare"):
         c = spec["compare"]
         right = F.col(c["right_feature"]) if c.get("right_feature") else F.lit(float(c["right_value"]))
@@ -162,7 +153,7 @@ def with_universe(df: DataFrame, spec: dict, price: str = "trade_price", nulls:
     asked for; the start gate opens for good at the first bar with enough of them. Value filters, stages of rank filters
     and the final rank narrow them down.
     """
-    spec = payloads().universe_spec(spec)
+    spec = payloads.universe_spec(spec)
     made = {}
 
     def lagged(df: DataFrame, column: str, n: int) -> tuple[DataFrame, str]:
@@ -215,12 +206,6 @@ def with_universe(df: DataFrame, spec: dict, price: str = "trade_price", nulls:
     return out.drop("_base", "_candidate", "_scoped", "_age", *made.values())
 
 
-def payloads():
-    from tesserae.plans import payloads as module  # which imports this module
-
-    return module
-
-
 def _chosen(f: dict) -> dict:
     return {"top": f["top_n"]} if f["mode"] == "top_n" else {"quantiles": f["quantiles"], "buckets": tuple(f["bucket_values"])}
 
@@ -235,7 +220,7 @@ def with_weights(panel: DataFrame, selected: DataFrame, spec: dict) -> DataFrame
     holds, so that one made later in a period is not lost. Where nothing is selected there are no rows: the account
     is flat (see schedule).
     """
-    spec = payloads().weight_spec(spec)
+    spec = payloads.weight_spec(spec)
     if spec["weighting"] == "incremental_signal":
         both = spec["incremental_step_size"]
         up, down = (both if spec[f] is None else spec[f] for f in ("incremental_step_up", "incremental_step_down"))
