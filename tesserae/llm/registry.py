@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.byte_bpe import op2_byte_bpe
 from tesserae.llm.embeddings import op4_embedding_dedup
+from tesserae.llm.filter_audit import OP13_SQL, op13_filter_audit
 from tesserae.llm.html_text import op5_html_text
 from tesserae.llm.minhash import op9_minhash
 from tesserae.llm.mixing import OP7_SQL, op7_mixing
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_minhash": op9_minhash,
         "op10_token_files": op10_token_files,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op7_mixing": OP7_SQL, "op13_filter_audit": OP13_SQL}
