@@ -21,9 +21,11 @@ without kept terms has pairs of value 0 and no terms; an empty table gives an em
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from tesserae.llm.term_trie import TermTrie, packed, unpacked
 
 LEAST_DOCS, BEST = 10, 10
 #: Leaves a task holds before it hands its tries on; leaves of a prefix that is not cut deeper; bytes of the first cut.
-HELD, MOST, DEPTH = 200_000, 200_000, 2
+HELD, MOST, DEPTH = 500_000, 200_000, 3
 #: Sources compared in one task; terms taken at once.
 TILE, TERMS_AT_ONCE = 256, 2048
 SCALE = 1_000_000_000
@@ -63,18 +65,22 @@ def terms(text: bytes) -> list[bytes]:
     return _TERM.findall(text.lower())  # bytes.lower() knows ASCII only
 
 
-def _blocks(lang: str, leaves: Iterator, depth: int) -> Iterator[tuple]:
+def _blocks(lang: str, leaves: Iterator[tuple], depth: int) -> Iterator[tuple]:
     """Leaves in byte order as rows of _BLOCK, one for each prefix of `depth` bytes; shorter terms are their own prefix."""
-    prefix, names, nodes = None, [], []
-    for term, node in leaves:
-        if term[:depth] != prefix and names:
-            yield (lang, prefix, len(names), *packed(names, nodes))
-            names, nodes = [], []
-        prefix = term[:depth]
-        names.append(term)
-        nodes.append(node)
-    if names:
-        yield (lang, prefix, len(names), *packed(names, nodes))
+    prefix, held = None, []
+    for leaf in leaves:
+        if leaf[0][:depth] != prefix:
+            if held:
+                yield (lang, prefix, len(held), *packed(held))
+            prefix, held = leaf[0][:depth], []
+        held.append(leaf)
+    if held:
+        yield (lang, prefix, len(held), *packed(held))
+
+
+def _walked(trie: TermTrie) -> Iterator[tuple]:
+    for term, shared, node in trie.walk():
+        yield term, shared, node.docs, node.counts, node.counts.values()
 
 
 class Partition:
@@ -97,14 +103,17 @@ class Partition:
 
     def settle(self) -> int:
         """Take the pending counts into the tries; the number of leaves then."""
+        leaves = {}
         for lang, docs in self.docs.items():
-            leaf = self.tries.setdefault(lang, TermTrie()).leaf
-            for term, n in docs.items():
-                leaf(term).docs += n
+            trie, nodes = self.tries.setdefault(lang, TermTrie()), {}
+            for term in sorted(docs):
+                nodes[term] = node = trie.leaf(term)
+                node.docs += docs[term]
+            leaves[lang] = nodes
         for (lang, source), counts in self.counts.items():
-            leaf = self.tries[lang].leaf
+            nodes = leaves[lang]
             for term, n in counts.items():
-                held = leaf(term).counts
+                held = nodes[term].counts
                 held[source] = held.get(source, 0) + n
         self.docs, self.counts = {}, {}
         return sum(t.leaves for t in self.tries.values())
@@ -112,7 +121,7 @@ class Partition:
     def blocks(self, depth: int) -> Iterator[tuple]:
         self.settle()
         for lang, trie in self.tries.items():
-            yield from _blocks(lang, trie.walk(), depth)
+            yield from _blocks(lang, _walked(trie), depth)
         self.tries = {}
 
 
@@ -129,6 +138,7 @@ def _sent(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterato
 
 def _count(held: int, depth: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # tries have no cycles, and are large to go through
         part = Partition()
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -137,42 +147,37 @@ def _count(held: int, depth: int):
                 if i % 64 == 63 and part.pending() > held and part.settle() > held:
                     yield from _sent(part.blocks(depth), _BLOCK)
         yield from _sent(part.blocks(depth), _BLOCK)
+        gc.enable()
 
     return count
 
 
-def _leaves(sources: list[str], block: bytes) -> Iterator:
-    """(term, node) of a block."""
-    trie = TermTrie()
-    for leaf in unpacked(sources, block):
-        trie.add(*leaf[:2], *leaf[2:])
-    return trie.walk()
-
-
 def _cut_deeper(depth: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _sent(_blocks(row["lang"], _leaves(row["sources"], row["block"]), depth), _BLOCK)
+                yield from _sent(_blocks(row["lang"], unpacked(row["sources"], row["block"]), depth), _BLOCK)
 
     return cut
 
 
-def counted(docs: DataFrame, held: int = HELD, most: int = MOST, depth: int = DEPTH) -> DataFrame:
-    """The blocks of all partitions' tries, cut so that no prefix has more than `most` leaves."""
+def counted(docs: DataFrame, held: int = HELD, most: int = MOST, depth: int = DEPTH) -> list[DataFrame]:
+    """The blocks of all partitions' tries in stored tables, cut so that no prefix has more than `most` leaves. A prefix of
+    one table goes deeper or stays whole, so no two tables share one."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    blocks = common.stored(texts.mapInArrow(_count(held, depth), _BLOCK_DDL), "term-blocks")
+    blocks, done = common.stored(texts.mapInArrow(_count(held, depth), _BLOCK_DDL), "term-blocks"), []
     while True:
         full = blocks.where(F.octet_length("prefix") == depth).groupBy("lang", "prefix").agg(F.sum("leaves").alias("all")).where(F.col("all") > most)
         heavy = common.stored(full.select("lang", "prefix"), "heavy-prefixes")
         if heavy.isEmpty():
             common.drop_stored(heavy)
-            return blocks
+            return [*done, blocks]
         depth += 1
         deeper = blocks.join(heavy, ["lang", "prefix"], "left_semi").select(*_BLOCK.names).mapInArrow(_cut_deeper(depth), _BLOCK_DDL)
-        after = common.stored(blocks.join(heavy, ["lang", "prefix"], "left_anti").select(*_BLOCK.names).unionByName(deeper), "term-blocks")
+        done.append(common.stored(blocks.join(heavy, ["lang", "prefix"], "left_anti").select(*_BLOCK.names), "term-blocks"))
+        deeper = common.stored(deeper, "term-blocks")
         common.drop_stored(blocks, heavy)
-        blocks = after
+        blocks = deeper
 
 
 # --------------------------------------------------------------------------- merging
@@ -180,11 +185,12 @@ def counted(docs: DataFrame, held: int = HELD, most: int = MOST, depth: int = DE
 
 def _merge(least: int):
     def kept(lang: str, trie: TermTrie) -> Iterator[tuple]:
-        for term, node in trie.walk():
+        for term, _, node in trie.walk():
             if node.docs >= least:
                 yield (lang, term.decode(), list(node.counts), list(node.counts.values()))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        gc.disable()
         key, trie = None, TermTrie()
         for batch in batches:
             for row in batch.to_pylist():
@@ -192,10 +198,11 @@ def _merge(least: int):
                     if key:
                         yield from kept(key[0], trie)
                     key, trie = (row["lang"], row["prefix"]), TermTrie()
-                for leaf in unpacked(row["sources"], row["block"]):
-                    trie.add(*leaf)
+                for term, _, docs, sources, counts in unpacked(row["sources"], row["block"]):
+                    trie.add(term, docs, sources, counts)
         if key:
             yield from kept(key[0], trie)
+        gc.enable()
 
     return lambda batches: _sent(merged(batches), _KEPT)
 
@@ -313,8 +320,8 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, best: int = BEST
     """lang, source, part, item, value, rank: every other source of the language (part pair) and the best terms (part term)."""
     groups = common.stored(docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct(), "groups")
     blocks = counted(docs, held, most)
-    kept = common.stored(kept_terms(blocks, least), "kept-terms")
-    common.drop_stored(blocks)
+    kept = common.stored(kept_terms(reduce(DataFrame.unionByName, blocks), least), "kept-terms")
+    common.drop_stored(*blocks)
 
     # Totals of groups and languages, and the sources of a language in tiles.
     sums = kept.select("lang", F.explode(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n"))).alias("c")).groupBy("lang", "c.source").agg(F.sum("c.n").alias("total"))

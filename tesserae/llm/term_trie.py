@@ -3,29 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 
 class Node:
-    """`edges` maps the first byte of each label to the child; a node that ends a term has counts."""
+    """`edges` maps the first byte of each label to the child, if there is one; a node that ends a term has counts."""
 
     __slots__ = ("label", "edges", "docs", "counts")
 
     def __init__(self, label: bytes):
-        self.label, self.edges, self.docs, self.counts = label, {}, 0, None
+        self.label, self.edges, self.docs, self.counts = label, None, 0, None
 
 
 class TermTrie:
-    """Terms as paths of bytes. Children in byte order give terms in byte order, which for UTF-8 is code point order."""
+    """Terms as paths of bytes. Children in byte order give terms in byte order, which for UTF-8 is code point order.
+
+    The path to the last leaf is kept, so that terms which come in order start from what they share with the one before.
+    """
 
     def __init__(self):
         self.root, self.leaves = Node(b""), 0
+        self.path = [(b"", self.root)]
 
     def leaf(self, term: bytes) -> Node:
         """The node that ends at the term, made where it is not there."""
-        node, at, n = self.root, 0, len(term)
+        path, n = self.path, len(term)
+        while not term.startswith(path[-1][0]):
+            path.pop()
+        before, node = path[-1]
+        at = len(before)
         while at < n:
+            if node.edges is None:
+                node.edges = {}
             child = node.edges.get(term[at])
             if child is None:
                 child = node.edges[term[at]] = Node(term[at:])
@@ -38,6 +49,7 @@ class TermTrie:
                     child = node.edges[term[at]] = _cut(child, _shared(label, term, at))
                     at += len(child.label)
             node = child
+            path.append((term[:at], node))
         if node.counts is None:
             node.counts = {}
             self.leaves += 1
@@ -47,69 +59,72 @@ class TermTrie:
         node = self.leaf(term)
         node.docs += docs
         held = node.counts
-        for source, n in zip(sources, counts, strict=True):
-            held[source] = held.get(source, 0) + n
+        if held:
+            for source, n in zip(sources, counts, strict=True):
+                held[source] = held.get(source, 0) + n
+        else:
+            node.counts = dict(zip(sources, counts, strict=True))
 
     def merge(self, other: TermTrie) -> None:
-        for term, node in other.walk():
+        for term, _, node in other.walk():
             self.add(term, node.docs, list(node.counts), list(node.counts.values()))
 
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
-        """(term, node) in byte order."""
-        stack = [(b"", self.root)]
+    def walk(self) -> Iterator[tuple[bytes, int, Node]]:
+        """(term, length shared with the term before, node) in byte order. Between two terms the walk goes back to the node
+        at which they part, the shortest path it starts from on its way."""
+        stack, shared = [(b"", self.root)], 0
         while stack:
             before, node = stack.pop()
+            if len(before) < shared:
+                shared = len(before)
             term = before + node.label
             if node.counts is not None:
-                yield term, node
+                yield term, shared, node
+                shared = len(term)
             edges = node.edges
             if edges:
-                stack.extend((term, edges[first]) for first in sorted(edges, reverse=True))
+                stack.extend([(term, edges[first]) for first in sorted(edges, reverse=True)])
 
 
 def _shared(label: bytes, term: bytes, at: int) -> int:
     most = min(len(label), len(term) - at)
-    return next((i for i in range(most) if label[i] != term[at + i]), most)
+    for i in range(most):
+        if label[i] != term[at + i]:
+            return i
+    return most
 
 
 def _cut(node: Node, k: int) -> Node:
     """A new node for the first k bytes of the label, over the old one."""
     upper = Node(node.label[:k])
     node.label = node.label[k:]
-    upper.edges[node.label[0]] = node
+    upper.edges = {node.label[0]: node}
     return upper
 
 
-def packed(terms: list[bytes], nodes: list[Node]) -> tuple[list[str], bytes]:
-    """Neighbouring leaves as (sources, block): terms in order as the length shared with the one before and the rest."""
-    names: dict[str, int] = {}
-    shared, rests, docs, widths, ids, counts = [], [], [], [], [], []
-    last = b""
-    for term, node in zip(terms, nodes, strict=True):
-        k = _shared(last, term, 0)
-        shared.append(k)
-        rests.append(term[k:])
-        docs.append(node.docs)
-        widths.append(len(node.counts))
-        ids.extend([names.setdefault(s, len(names)) for s in node.counts])
-        counts.extend(node.counts.values())
-        last = term
-    head = np.array([len(terms), len(ids)], dtype="<i8")
-    columns = [head, np.array(docs, dtype="<i8"), np.array(counts, dtype="<i8"), np.array(shared, dtype="<i4"), np.array([len(r) for r in rests], dtype="<i4"), np.array(widths, dtype="<i4"), np.array(ids, dtype="<i4")]
-    return list(names), b"".join([c.tobytes() for c in columns] + rests)
-
-
-def unpacked(names: list[str], block: bytes) -> Iterator[tuple[bytes, int, list[str], list[int]]]:
-    """(term, docs, sources, counts) of each leaf of a block, in order."""
+def packed(leaves: list[tuple]) -> tuple[list[str], bytes]:
+    """Neighbouring leaves (term, length shared with the one before, docs, sources, counts) as (sources, block)."""
+    terms, shared, docs, sources, counts = zip(*leaves, strict=True)
+    shared = (0, *shared[1:])  # a block's first term is whole
+    rests = [term[k:] for term, k in zip(terms, shared, strict=True)]
+    names = {s: i for i, s in enumerate(dict.fromkeys(chain.from_iterable(sources)))}
+    ids = list(map(names.__getitem__, chain.from_iterable(sources)))
+    columns = [([len(rests), len(ids)], "<i8"), (docs, "<i8"), (list(chain.from_iterable(counts)), "<i8"), (shared, "<i4"), (list(map(len, rests)), "<i4"), (list(map(len, sources)), "<i4"), (ids, "<i4")]
+    return list(names), b"".join([np.array(c, dtype=dtype).tobytes() for c, dtype in columns] + rests)
+
+
+def unpacked(names: list[str], block: bytes) -> Iterator[tuple[bytes, int, int, list[str], list[int]]]:
+    """(term, length shared with the one before, docs, sources, counts) of each leaf of a block, in order."""
     n, m = map(int, np.frombuffer(block, "<i8", 2))
     at, columns = 16, []
     for dtype, size in (("<i8", n), ("<i8", m), ("<i4", n), ("<i4", n), ("<i4", n), ("<i4", m)):
         columns.append(np.frombuffer(block, dtype, size, at).tolist())
         at += size * int(dtype[-1])
     docs, counts, shared, lengths, widths, ids = columns
+    sources = [names[k] for k in ids]
     term, pair = b"", 0
-    for i in range(n):
-        term = term[: shared[i]] + block[at : at + lengths[i]]
-        at += lengths[i]
-        yield term, docs[i], [names[k] for k in ids[pair : pair + widths[i]]], counts[pair : pair + widths[i]]
-        pair += widths[i]
+    for common, length, n_docs, width in zip(shared, lengths, docs, widths, strict=True):
+        term = term[:common] + block[at : at + length]
+        at += length
+        yield term, common, n_docs, sources[pair : pair + width], counts[pair : pair + width]
+        pair += width

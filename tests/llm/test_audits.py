@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -105,10 +106,12 @@ def test_tries_merge():
         one[i % 2].add(term, 1, [f"s{i % 3}"], [i])
         whole.add(term, 1, [f"s{i % 3}"], [i])
     one[0].merge(one[1])
-    leaves = [[(t, n.docs, dict(n.counts)) for t, n in trie.walk()] for trie in (one[0], whole)]
+    leaves = [[(t, n.docs, dict(n.counts)) for t, _, n in trie.walk()] for trie in (one[0], whole)]
     assert leaves[0] == leaves[1] and [t for t, *_ in leaves[0]] == sorted(set(terms)) and one[0].leaves == len(set(terms))
-    names, block = packed(*map(list, zip(*whole.walk(), strict=True)))
-    assert [(t, d, dict(zip(s, n, strict=True))) for t, d, s, n in unpacked(names, block)] == leaves[1]
+    names, block = packed([(t, k, n.docs, n.counts, n.counts.values()) for t, k, n in whole.walk()])
+    assert [(t, d, dict(zip(s, n, strict=True))) for t, _, d, s, n in unpacked(names, block)] == leaves[1]
+    ordered = [t for t, *_ in leaves[1]]
+    assert [k for _, k, _ in whole.walk()] == [0] + [len(os.path.commonprefix(pair)) for pair in itertools.pairwise(ordered)]
 
 
 def test_shares_of_large_counts():
