@@ -1,10 +1,10 @@
 """Metrics of many windows of the same curves from mergeable summaries of segments.
 
-The edges of all windows cut time into segments, and every bar lies in one. Each segment of a curve is summarised once: sums and
-sums of squares of returns and excess returns, and of the log equity its total, highest and lowest point, deepest fall and
+The edges of all windows cut time into segments, and every bar lies in one. Each segment of a curve is summarised once: number,
+mean and squared deviations of returns and excess returns, and of the log equity its total, highest and lowest point, deepest fall and
 the stairs of its running peaks. Summaries of neighbouring segments merge:
 
-* sums add up, and a segment's points lie higher by the totals of the segments before it;
+* moments combine, and a segment's points lie higher by the totals of the segments before it;
 * the deepest fall is the deepest within a segment or from the highest point before to a segment's lowest;
 * of a segment's stairs those stay that reach the highest point before, and the first of them ends the wait for a new peak.
 
@@ -77,22 +77,40 @@ def summaries(rows: DataFrame, edges: list[datetime.datetime], keys: list[str],
     )
     inside = Window.partitionBy(*keys, "segment").orderBy("date_utc").rowsBetween(Window.unboundedPreceding, 0)
     rows = with_segment(rows, edges).withColumn("_at", F.sum("_g").over(inside)).withColumn("_top", F.max("_at").over(inside))
-    e, down = F.col("_r") - F.col("_b"), F.when(F.col("_r") < 0, F.col("_r"))
-    first = F.min_by(F.struct("_g", "_o", "_r", "_b", "_at"), "date_utc")
-    sums = {"r": F.sum("_r"), "rr": F.sum(F.col("_r") * F.col("_r")), "e": F.sum(e), "ee": F.sum(e * e), "d": F.sum(down), "dd": F.sum(down * down), "dn": F.count(down)}
+    rows = rows.withColumn("_rest", F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, 0)) > 1)
+    first = F.min_by(F.struct("_g", "_o", "_r", "_b"), "date_utc")
+    r, e = F.col("_r"), F.col("_r") - F.col("_b")
+    moments = {"r": r, "e": e, "d": F.when(r < 0, r)}
     benchmark = F.sum(_log(1 + F.col("_b")))
     return rows.groupBy(*keys, "segment").agg(
         F.count("*").alias("bars"), first.alias("first"), F.sum("_g").alias("total"), F.max("_at").alias("peak"), F.min("_at").alias("low"),
         F.min(F.col("_at") - F.col("_top")).alias("fall"), benchmark.alias("benchmark"),
         F.array_sort(F.collect_list(F.when(F.col("_at") == F.col("_top"), F.struct(F.col("_n").alias("n"), F.col("_at").alias("at"))))).alias("stairs"),
-        *[F.coalesce(x, F.lit(0.0)).alias(f"s_{k}") for k, x in sums.items()],
+        *[_moments(F.when(F.col("_rest"), x)).alias(f"m_{k}") for k, x in moments.items()],
     )
 
 
-def _ratio(total: Column, squares: Column, n: Column, whole: Column, bars_a_year: float) -> Column:
-    """Mean over population deviation by the year, both over n; the mean over `whole`."""
-    deviation = F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)))
-    return F.when(deviation > NO_DEVIATION, total / whole / deviation * bars_a_year**0.5)
+def _moments(x: Column) -> Column:
+    """Number, mean and sum of squared deviations of the values that are not null."""
+    n = F.count(x)
+    return F.struct(n.cast("double").alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias("squares"))
+
+
+def _one(x: Column, counts: Column) -> Column:
+    """The moments of one value, or of none."""
+    return F.struct(F.when(counts, 1.0).otherwise(0.0).alias("n"), F.when(counts, x).otherwise(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+
+def _merged(parts: str) -> dict[str, Column]:
+    """Number, mean and population deviation of all values of a list of moments, without differences of large squares."""
+    n = F.aggregate(parts, F.lit(0.0), lambda total, m: total + m["n"])
+    mean = F.aggregate(parts, F.lit(0.0), lambda total, m: total + m["n"] * m["mean"]) / F.nullif(n, F.lit(0.0))
+    return {"n": n, "mean": mean}
+
+
+def _deviation(parts: str, mean: Column, n: Column) -> Column:
+    squares = F.aggregate(parts, F.lit(0.0), lambda total, m: total + m["squares"] + m["n"] * (m["mean"] - mean) * (m["mean"] - mean))
+    return F.sqrt(squares / F.nullif(n, F.lit(0.0)))
 
 
 def window_metrics(found: DataFrame, windows: DataFrame, edges: list[datetime.datetime], keys: list[str], bars_a_year: float) -> DataFrame:
@@ -119,21 +137,28 @@ def window_metrics(found: DataFrame, windows: DataFrame, edges: list[datetime.da
     waits = F.zip_with(F.slice("_all", 2, F.greatest(F.size("_all"), F.lit(1))), "_all", lambda after, at: after - at)
     rows = rows.withColumn("_waits", F.slice(F.reverse(F.array_sort(F.filter(waits, lambda n: n > 1))), 1, 2))
 
-    def summed(name: str, of_first: Column) -> Column:
-        """A sum without what the first bar of the window adds to it."""
-        return F.sum(F.col(f"s_{name}") - F.when(F.col("_opens"), of_first).otherwise(0.0)).alias(name)
-
-    r, e = F.col("first._r"), F.col("first._r") - F.col("first._b")
-    lost = F.when(r < 0, r).otherwise(0.0)
+    # The first bar of a segment counts for itself; the first of the window has a return of 0.
+    opens, r, e = F.col("_opens"), F.col("first._r"), F.col("first._r") - F.col("first._b")
+    everywhere = F.lit(True)
+    firsts = {"r": _one(F.when(opens, 0.0).otherwise(r), everywhere), "e": _one(F.when(opens, 0.0).otherwise(e), everywhere), "d": _one(r, ~opens & (r < 0))}
+    parts = [F.flatten(F.collect_list(F.array(F.col(f"m_{k}"), one))).alias(f"_{k}") for k, one in firsts.items()]
     out = rows.groupBy(*by).agg(
         F.sum("bars").alias("bars"), F.sum("_total").alias("total"), F.sum("_shift").alias("shift"),
         F.sum(F.col("benchmark") - F.when(F.col("_opens"), _log(1 + F.col("first._b"))).otherwise(0.0)).alias("benchmark"),
         F.min(F.least("fall", F.col("_base") + F.col("low") - F.col("_height"))).alias("fall"),
         F.max(F.when(F.col("_opens"), F.col("first._o"))).alias("opening"),
         F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("_waits")))), 1, 2).alias("waits"),
-        summed("r", r), summed("rr", r * r), summed("e", e), summed("ee", e * e), summed("d", lost), summed("dd", lost * lost), summed("dn", (r < 0).cast("int")),
+        *parts,
     )
+    for k in firsts:
+        merged = _merged(f"_{k}")
+        out = out.withColumns({f"_{k}_n": merged["n"], f"_{k}_mean": merged["mean"]})
+        out = out.withColumn(f"_{k}_deviation", _deviation(f"_{k}", F.col(f"_{k}_mean"), F.col(f"_{k}_n")))
     n = F.col("bars")
+
+    def ratio(mean: str, deviation: str) -> Column:
+        return F.when(F.col(deviation) > NO_DEVIATION, F.col(mean) / F.col(deviation) * bars_a_year**0.5)
+
     return out.select(
         *by,
         "bars",
@@ -141,20 +166,14 @@ def window_metrics(found: DataFrame, windows: DataFrame, edges: list[datetime.da
         F.exp("benchmark").alias("benchmark_growth"),
         F.when(n > 1, F.exp((F.col("total") - F.col("opening")) * bars_a_year / F.nullif(n - 1, F.lit(0))) - 1).alias("cagr"),
         (100 * (1 - F.exp("fall"))).alias("max_drawdown"),
-        _ratio(F.col("r"), F.col("rr"), n, n, bars_a_year).alias("sharpe"),
-        F.when(F.col("dn") > 0, _downside(F.col("r") / n, F.col("d"), F.col("dd"), F.nullif(F.col("dn"), F.lit(0.0)), bars_a_year)).alias("sortino"),
-        _ratio(F.col("e"), F.col("ee"), n, n, bars_a_year).alias("air"),
+        ratio("_r_mean", "_r_deviation").alias("sharpe"),
+        ratio("_r_mean", "_d_deviation").alias("sortino"),
+        ratio("_e_mean", "_e_deviation").alias("air"),
         F.get("waits", F.lit(0)).alias("longest"),
         F.get("waits", F.lit(1)).alias("second"),
     )
 
 
-def _downside(mean: Column, total: Column, squares: Column, n: Column, bars_a_year: float) -> Column:
-    """The mean return over the deviation of the negative returns about their own mean."""
-    deviation = F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)))
-    return F.when(deviation > NO_DEVIATION, mean / deviation * bars_a_year**0.5)
-
-
 def fold_metrics(rows: DataFrame, windows: DataFrame, keys: list[str], price: str, weight: str, fee: float, bars_a_year: float) -> DataFrame:
     """METRICS of every key in every window of folds (see backtest.folds), from one pass over the rows."""
     edges = _edges(windows)
