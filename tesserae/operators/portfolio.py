@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section, series
+from tesserae.operators import timeline
 
 
 def holding_state(df: DataFrame, entry: str, leave: str, name: str = "state") -> DataFrame:
@@ -61,8 +62,8 @@ def rebalance_bars(df: DataFrame, unit: str) -> DataFrame:
 
 
 def every(df: DataFrame, k: int) -> DataFrame:
-    """date_utc of every k-th bar of the panel, the first one on. Bars are counted in one partition, one row a bar."""
-    bars = df.select("date_utc").distinct().withColumn("_n", F.row_number().over(Window.orderBy("date_utc")))
+    """date_utc of every k-th bar of the panel, the first one on."""
+    bars = timeline.numbered(df.select("date_utc").distinct(), "_n")
     return bars.where((F.col("_n") - 1) % k == 0).select("date_utc")
 
 
@@ -70,7 +71,7 @@ def carried(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     """The rows of the last bar that has some, up to and with each bar of the schedule, dated by the schedule."""
     bars = rows.select("date_utc").distinct().withColumn("_has", F.col("date_utc")).unionByName(schedule.select("date_utc", F.lit(None).cast("timestamp_ntz").alias("_has")))
     bars = bars.groupBy("date_utc").agg(F.max("_has").alias("_has"))
-    bars = bars.withColumn("_has", F.last("_has", True).over(Window.orderBy("date_utc")))  # one row a bar
+    bars = timeline.last_known(bars, "_has")
     named = schedule.join(bars, "date_utc").where(F.col("_has").isNotNull()).select(F.col("date_utc").alias("_at"), F.col("_has").alias("date_utc"))
     return rows.join(named, "date_utc").drop("date_utc").withColumnRenamed("_at", "date_utc").select(*rows.columns)
 

@@ -1,18 +1,15 @@
 """Recursions along the bars of a market: smoothings, the directional index, one market's account, incremental scores.
 
 Linear recurrences need no group that holds a market's history: they are added up within blocks of bars, and what a block
-starts from comes from the few blocks before it. Only the score that is held within bounds at every bar is a loop over a market.
+starts from comes from the few blocks before it. A score that is held within bounds is composed block by block likewise.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tesserae.functions import cross_section, series
 from tesserae.operators import backtest
@@ -100,20 +97,41 @@ def simulate(df: DataFrame, price: str, weight: str, fee: float = 0.0005, cash:
     return rows.unionByName(rest, allowMissingColumns=True)
 
 
-def incremental_scores(df: DataFrame, signal: str, up: float, down: float, least: float = 0.0, most: float = 1.0, name: str = "score") -> DataFrame:
-    """A score that rises by `up` while the signal is on and falls by `down` while it is off, within bounds. Bounds at
-    every bar are no window: each market is a group of one row a bar."""
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
-
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("date_utc", ignore_index=True)
-        score, out = 0.0, []
-        for on in np.nan_to_num(bars[signal].to_numpy(float)):
-            score = min(most, max(least, score + (up if on else -down)))
-            out.append(score)
-        return bars.assign(**{name: out})
-
-    return df.groupBy("market").applyInPandas(run, schema)
+#: Bars of a block whose steps are composed in one task.
+_STEPS = 256
+
+
+def _stepped(score: Column, on: Column, up: float, down: float, least: float, most: float) -> Column:
+    return F.least(F.lit(most), F.greatest(F.lit(least), score + F.when(on, F.lit(up)).otherwise(F.lit(-down))))
+
+
+def incremental_scores(df: DataFrame, signal: str, up: float, down: float, least: float = 0.0, most: float = 1.0, name: str = "score", block: int = _STEPS) -> DataFrame:
+    """A score that rises by `up` while the signal is on and falls by `down` while it is off, within bounds, from 0 on.
+
+    A step within bounds is a function min(high, max(low, x + shift)), and such functions are closed under composition: low
+    and high are where the steps lead from below and above all bounds, shift is their sum. So a block of a market's bars is one function of
+    the score it starts from. Where low equals high the block forgets its start, which most blocks do: a block starts from
+    what the blocks since the last such one make of its result. Then each block walks its own bars.
+    """
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    rows = df.withColumn("_n", F.row_number().over(series.along()) - 1)
+    on = F.coalesce(F.col(signal).cast("double") != 0, F.lit(False)) & ~F.coalesce(F.isnan(F.col(signal).cast("double")), F.lit(False))
+    blocks = rows.groupBy("market", F.floor(F.col("_n") / block).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("_n", on.alias("_on"), F.struct(*df.columns).alias("_row")))).alias("_bars"))
+    step = lambda x, bar: _stepped(x, bar["_on"], up, down, float(least), float(most))
+    shift = F.aggregate("_bars", F.lit(0.0), lambda x, bar: x + F.when(bar["_on"], F.lit(float(up))).otherwise(F.lit(-float(down))))
+    blocks = blocks.withColumns({"_low": F.aggregate("_bars", low, step), "_high": F.aggregate("_bars", high, step), "_shift": shift})
+    order = Window.partitionBy("market").orderBy("_block")
+    blocks = blocks.withColumn("_same", F.coalesce(F.lag(F.when(F.col("_low") == F.col("_high"), 1).otherwise(0)).over(order), F.lit(0)))
+    blocks = blocks.withColumn("_island", F.sum("_same").over(order)).withColumn("_given", F.when(F.col("_same") == 1, F.lag("_low").over(order)))
+    since = Window.partitionBy("market", "_island").orderBy("_block")
+    functions = F.collect_list(F.struct("_low", "_high", "_shift")).over(since.rowsBetween(Window.unboundedPreceding, -1))
+    given = F.coalesce(F.first("_given").over(since.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    start = F.aggregate("_before", F.col("_given"), lambda x, f: F.least(f["_high"], F.greatest(f["_low"], x + f["_shift"])))
+    blocks = blocks.withColumn("_before", functions).withColumn("_given", given).withColumn("_start", start)
+    # The scores so far, the newest last.
+    scores = F.aggregate("_bars", F.array("_start"), lambda so_far, bar: F.concat(so_far, F.array(step(F.element_at(so_far, -1), bar))))
+    pairs = F.arrays_zip(F.transform("_bars", lambda bar: bar["_row"]).alias("row"), F.slice(scores, 2, F.greatest(F.size("_bars"), F.lit(1))).alias("score"))
+    return blocks.select(F.explode(pairs).alias("_at")).select("_at.row.*", F.col("_at.score").alias(name))
 
 
 def incremental_weights(df: DataFrame, signal: str, up: float, down: float, least: float = 0.0, most: float = 1.0, gross: float = 1.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import series
+from tesserae.operators import timeline
 
 #: Turns of the fixed point for the cost of a trade; each adds as many digits as the fee has zeros.
 _TURNS = 10
@@ -37,15 +38,15 @@ def shared_cash(rows: DataFrame, keys: list[str], price: str, weight: str, fee:
 
     left = F.aggregate(F.sequence(F.lit(1), F.lit(_TURNS)), F.lit(1.0), lambda left, _: 1 - rate * traded(left))
     bars = bars.withColumn("_left", F.when(F.col("_on") & (grown > 0), left).otherwise(F.lit(1.0))).drop("_moves")
-    curve = Window.partitionBy(*keys).orderBy("date_utc").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.exp(F.coalesce(F.sum(F.when(F.col("_on") & (grown > 0), F.ln(grown * F.col("_left")))).over(curve), F.lit(0.0)))
-    return bars.select(*keys, "date_utc", (cash * base * grown * F.col("_left")).alias("equity"))
+    bars = timeline.sum_before(bars, keys, F.when(F.col("_on") & (grown > 0), F.ln(grown * F.col("_left"))), "_base")
+    return bars.select(*keys, "date_utc", (cash * F.exp("_base") * grown * F.col("_left")).alias("equity"))
 
 
 def trimmed(rows: DataFrame, keys: list[str], weight: str = "target_weight") -> DataFrame:
     """The bars from the first one on at which some weight is not 0; none if there is no such bar."""
-    first = F.min(F.when(F.abs(F.coalesce(F.col(weight), F.lit(0.0))) > 0, F.col("date_utc"))).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-    return rows.withColumn("_first", first).where(F.col("date_utc") >= F.col("_first")).drop("_first")
+    first = rows.where(F.abs(F.coalesce(F.col(weight), F.lit(0.0))) > 0).groupBy(*keys).agg(F.min("date_utc").alias("_first"))
+    joined = rows.join(first, keys) if keys else rows.join(F.broadcast(first))  # without keys one row
+    return joined.where(F.col("date_utc") >= F.col("_first")).drop("_first").select(*rows.columns)
 
 
 def bought_and_held(rows: DataFrame, market: str, price: str, cash: float = 1000.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section, series
-from tesserae.operators import portfolio
+from tesserae.operators import portfolio, timeline
 
 
 def started(rows: DataFrame, base: Column, least: int) -> DataFrame:
@@ -44,13 +44,8 @@ def filter_stage(rows: DataFrame, filters: list[dict], candidate: str, mode: str
 
 
 def dense(rows: DataFrame, *columns: str) -> DataFrame:
-    """Every market at every bar of the panel, nulls where it has no row, from its first bar to the last of all.
-
-    The bars from a market's first on are exploded from the sorted list of bars, which has one entry per bar.
-    """
-    bars = rows.select("date_utc").distinct().agg(F.array_sort(F.collect_set("date_utc")).alias("_bars"))
-    lives = rows.groupBy("market").agg(F.min("date_utc").alias("_from")).join(F.broadcast(bars))  # one row of bars
-    every = lives.select("market", F.explode(F.filter("_bars", lambda t: t >= F.col("_from"))).alias("date_utc"))
+    """Every market at every bar of the panel, nulls where it has no row, from its first bar to the last of all."""
+    every = timeline.alive(rows.groupBy("market").agg(F.min("date_utc").alias("_from")), rows)
     return every.join(rows.select("market", "date_utc", *columns), ["market", "date_utc"], "left")
 
 
@@ -185,7 +180,9 @@ def market_wide(rows: DataFrame, feature: str) -> DataFrame:
 
 def exposure(weights: DataFrame, scale: DataFrame, lag: int = 0, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Weights times a series (date_utc, scale) that is lagged by bars of its own and held within bounds; null is 0."""
-    before = F.lag("scale", lag).over(Window.orderBy("date_utc")) if lag else F.col("scale")  # one row per bar
+    if lag:
+        scale = timeline.lagged(scale, "scale", lag, "_before").drop("scale").withColumnRenamed("_before", "scale")
+    before = F.col("scale")
     held = scale.select("date_utc", F.when(before.isNotNull(), F.least(F.greatest(before, F.lit(low)), F.lit(high))).otherwise(0.0).alias("_scale"))
     return weights.join(held, "date_utc", "left").withColumn("target_weight", F.col("target_weight") * F.coalesce("_scale", F.lit(0.0))).drop("_scale")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section as cs
 from tesserae.functions import series as ts
-from tesserae.operators import portfolio, recursive, studies
+from tesserae.operators import portfolio, recursive, studies, timeline
 from tesserae.plans import payloads
 
 #: Steps that are one column: kind -> (column, params) -> column. Windows skip nulls unless null_policy is "strict".
@@ -224,9 +224,7 @@ def with_weights(panel: DataFrame, selected: DataFrame, spec: dict) -> DataFrame
     if spec["weighting"] == "incremental_signal":
         both = spec["incremental_step_size"]
         up, down = (both if spec[f] is None else spec[f] for f in ("incremental_step_up", "incremental_step_down"))
-        bars = selected.select("date_utc").distinct()
-        markets = selected.groupBy("market").agg(F.min("date_utc").alias("_from"))
-        tracked = markets.join(bars, F.col("date_utc") >= F.col("_from")).drop("_from")
+        tracked = timeline.alive(selected.groupBy("market").agg(F.min("date_utc").alias("_from")), selected)
         tracked = tracked.join(selected.select("market", "date_utc", F.lit(1.0).alias("_on")), ["market", "date_utc"], "left")
         out = recursive.incremental_weights(tracked, "_on", up, down, spec["incremental_min_weight"], spec["incremental_max_weight"], spec["gross_exposure"]).drop("_on")
     else:

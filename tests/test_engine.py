@@ -2,13 +2,15 @@
 
 import datetime
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae import engine_queries, engine_sql
 from tesserae.functions import series as ts
-from tesserae.operators import backtest, portfolio, recursive, simulation, studies
+from tesserae.operators import backtest, portfolio, recursive, simulation, studies, timeline
 from tesserae.plans import payloads, specs
 from tesserae.sinks import tables
 
@@ -95,6 +97,50 @@ def test_recurrences_are_loops(spark):
     assert got[:29] == wild[:29] and got[29:] == pytest.approx(wild[29:], rel=1e-12)
 
 
+@pytest.mark.parametrize(("up", "down", "least", "most"), [(0.5, 0.2, 0.0, 0.9), (1.0, 1.0, 0.0, 40.0), (0.25, 0.5, 0.1, 1.0)])
+def test_incremental_scores_are_loops(spark, up, down, least, most):
+    """Over several blocks; with wide bounds blocks remember what they start from."""
+    rng = random.Random(8)
+    flags = {m: [rng.choice([1.0, 1.0, 0.0, None, float("nan")] if m == "A" else [1.0, 0.0]) for _ in range(n)] for m, n in (("A", 150), ("B", 64), ("C", 1))}
+    df = panel(spark, flags["A"], "A", "on").unionByName(panel(spark, flags["B"], "B", "on")).unionByName(panel(spark, flags["C"], "C", "on"))
+    got = recursive.incremental_scores(df, "on", up, down, least, most, block=16)
+    assert got.columns == [*df.columns, "score"]
+    for market, values in flags.items():
+        score, want = 0.0, []
+        for on in values:
+            score = min(most, max(least, score + (up if on and on == on else -down)))
+            want.append(score)
+        assert column(got.where(F.col("market") == market), "score") == pytest.approx(want, abs=1e-12)
+
+
+def test_scans_in_two_levels_are_windows(spark):
+    """Bars over several months, some of them without bars or values."""
+    rng = random.Random(6)
+    days = sorted(rng.sample(range(400), 90))
+    values = [rng.choice([None, float(d)]) for d in days]
+    df = spark.createDataFrame([(k, DAY + datetime.timedelta(days=d), v) for k in ("r", None) for d, v in zip(days, values, strict=True)], "k string, date_utc timestamp_ntz, x double")
+    bars = df.where("k = 'r'").drop("k")
+    assert column(timeline.numbered(bars), "number") == list(range(1, 91))
+    last = None
+    assert column(timeline.last_known(bars, "x", "y"), "y") == [last := v if v is not None else last for v in values]
+    assert column(timeline.lagged(bars, "x", 7, "y"), "y") == [None] * 7 + values[:-7]
+    sums = timeline.sum_before(df, ["k"], F.col("x"), "s")
+    want = [sum(v or 0.0 for v in values[:i]) for i in range(90)]
+    assert column(sums.where("k = 'r'"), "s") == want and column(sums.where("k IS NULL"), "s") == want
+    markets = spark.createDataFrame([("A", DAY + datetime.timedelta(days=days[20], hours=1)), ("B", DAY), ("C", DAY + datetime.timedelta(days=500))], "market string, _from timestamp_ntz")
+    alive = [(r[0], (r[1] - DAY).days) for r in timeline.alive(markets, df).collect()]
+    assert sorted(alive) == sorted([("A", d) for d in days[21:]] + [("B", d) for d in days])
+    none = bars.where("false")
+    assert timeline.numbered(none).collect() == timeline.alive(markets, none).collect() == timeline.last_known(none, "x").collect() == []
+
+
+@pytest.mark.parametrize("name", ["shared_cash", "strategy_weights", "exposed_weights", "allocation", "incremental"])
+def test_no_window_holds_all_bars(spark, name):
+    """A window without keys would begin with its order by date_utc; those over one row a range have the range there."""
+    plan = engine_queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(market" in plan and not re.search(r"windowspecdefinition\(date_utc#\d+ (ASC|DESC)", plan)
+
+
 def test_incremental_weights(spark):
     df = panel(spark, [1.0, 1.0, 0.0, 0.0], "A", "on").unionByName(panel(spark, [1.0, 0.0, 0.0, 0.0], "B", "on"))
     rows = {(r["market"], r["date_utc"].day): (r["score"], r["target_weight"]) for r in recursive.incremental_weights(df, "on", 0.5, 0.5, gross=0.8).collect()}
