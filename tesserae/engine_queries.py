@@ -46,9 +46,10 @@ def null_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turnover_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A market against its own past in three ways, and whether it has been listed for 200 hours."""
-    x = F.col("turnover")
-    df = studies.listed_for(panels.event_hours(spark, sf_dir).withColumn("lx", ts.log(x, "log1p")), "trade_price", 200)
-    return _out(df, percentile=ts.score_mode(x, 12, "percentile"), ratio=ts.score_mode(x, 12, "ratio"), zscore=ts.score_mode(F.col("lx"), 12, "zscore"), listed=F.col("listed").cast("double"))
+    df = studies.listed_for(panels.event_hours(spark, sf_dir).withColumn("lx", ts.log(F.col("turnover"), "log1p")), "trade_price", 200)
+    for column, mode in (("turnover", "percentile"), ("turnover", "ratio"), ("lx", "zscore")):
+        df = studies.against_own_past(df, column, 12, mode, mode)
+    return _out(df, percentile=F.col("percentile"), ratio=F.col("ratio"), zscore=F.col("zscore"), listed=F.col("listed").cast("double"))
 
 
 SCORES = {"rules": [

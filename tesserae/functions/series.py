@@ -87,22 +87,6 @@ def rolling_ratio(x: Column, n: int, nulls: str = "skip") -> Column:
     return full(x, n, F.try_divide(x, F.avg(x).over(trailing(n, counted(x, nulls)))), nulls)
 
 
-def rolling_percentile(x: Column, n: int, nulls: str = "skip") -> Column:
-    """The share of the window at or below x; ties count half."""
-    seen = F.collect_list(x).over(trailing(n, counted(x, nulls)))
-    below, equal = F.size(F.filter(seen, lambda z: z < x)), F.size(F.filter(seen, lambda z: z == x))
-    return full(x, n, (below + (equal + 1) / 2) / n, nulls)
-
-
-def rolling_median(x: Column, n: int, nulls: str = "skip") -> Column:
-    return full(x, n, F.percentile(x, F.lit(0.5)).over(trailing(n, counted(x, nulls))), nulls)
-
-
-def score_mode(x: Column, n: int, mode: str) -> Column:
-    """A market's value against its own n bars: percentile, ratio or (by the sample's deviation) zscore."""
-    return {"percentile": rolling_percentile(x, n), "ratio": rolling_ratio(x, n), "zscore": rolling_zscore(x, n, sample=True)}[mode]
-
-
 def scaled_volume(volume: Column, transform: str = "none") -> Column:
     return volume if transform == "none" else log(volume, transform)
 
@@ -159,12 +143,6 @@ def win_rate(x: Column, returns: Column, n: int, threshold: float = 0.0) -> Colu
     return full(x, n, F.avg(won).over(trailing(n)))
 
 
-def consistency(returns: Column, n: int, least: float = 1e-12) -> Column:
-    """Median return over the size of the mean return."""
-    mean = F.abs(F.avg(returns).over(trailing(n)))
-    return full(returns, n, F.when(mean > least, F.percentile(returns, F.lit(0.5)).over(trailing(n)) / mean))
-
-
 def trend_quality(log_price: Column, number: Column, n: int) -> Column:
     """Slope of the log price along bars times R squared; null where the price stands still."""
     over = trailing(n)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section, series
-from tesserae.operators import portfolio, timeline
+from tesserae.operators import orderstats, portfolio, timeline
 
 
 def started(rows: DataFrame, base: Column, least: int) -> DataFrame:
@@ -129,7 +129,7 @@ def turnover_momentum(rows: DataFrame, *, turnover_bars: int, lookback: int, mom
     """
     price, x = F.col("trade_price"), F.col("turnover")
     rows = rows.withColumn("_sum", series.rolling_sum(x, turnover_bars)).withColumn("_r", series.simple_return(price, 1))
-    rows = rows.withColumn("_score", series.rolling_percentile(F.col("_sum"), lookback))
+    rows = orderstats.rolled(rows, "_sum", lookback, {"_score": "percentile"})
     if weighted:
         rows = rows.withColumn("momentum", series.weighted_return(F.col("_r"), x, momentum_bars))
     else:
@@ -159,6 +159,14 @@ def turnover_momentum(rows: DataFrame, *, turnover_bars: int, lookback: int, mom
     return rows.select("date_utc", "market", F.col("momentum").alias("feature_value"), "selected_rank", (gross / F.count("*").over(cross_section.across())).alias("target_weight"))
 
 
+def against_own_past(rows: DataFrame, column: str, n: int, mode: str, name: str) -> DataFrame:
+    """Adds a market's value against its own n bars: percentile, ratio or (by the sample's deviation) zscore."""
+    if mode == "percentile":
+        return orderstats.rolled(rows, column, n, {name: "percentile"})
+    x = F.col(column)
+    return rows.withColumn(name, {"ratio": series.rolling_ratio(x, n), "zscore": series.rolling_zscore(x, n, sample=True)}[mode])
+
+
 def calendar_rolling(rows: DataFrame, column: str, unit: str, n: int, how: str = "mean", name: str = "calendar_rolling") -> DataFrame:
     """The last value of each day, week or month, its mean or sum over n such periods that have one, on each bar of the period."""
     key = ["market", "_period"]

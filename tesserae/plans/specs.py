@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section as cs
 from tesserae.functions import series as ts
-from tesserae.operators import portfolio, recursive, studies, timeline
+from tesserae.operators import orderstats, portfolio, recursive, studies, timeline
 from tesserae.plans import payloads
 
 #: Steps that are one column: kind -> (column, params) -> column. Windows skip nulls unless null_policy is "strict".
@@ -26,7 +26,6 @@ STEPS: dict[str, Callable[[Column, dict], Column]] = {
     "rolling_sum": lambda x, p: ts.rolling_sum(x, p["window"], _nulls(p)),
     "rolling_std": lambda x, p: ts.rolling_std(x, p["window"], _nulls(p)),
     "rolling_zscore": lambda x, p: ts.rolling_zscore(x, p["window"], _nulls(p), p.get("sample", False)),
-    "rolling_percentile": lambda x, p: ts.rolling_percentile(x, p["window"], _nulls(p)),
     "rolling_ratio": lambda x, p: ts.rolling_ratio(x, p["window"], _nulls(p)),
     "log": lambda x, p: ts.log(x, p.get("mode", "log")),
     "abs": lambda x, p: F.abs(x),
@@ -61,6 +60,8 @@ def _frame_step(df: DataFrame, kind: str, source: str, p: dict, name: str) -> Da
     """Steps that take more than a column; None for others."""
     if kind == "ewma":
         return recursive.ewma(df, source, p["window"], name, _nulls(p))
+    if kind in ("rolling_percentile", "rolling_median"):
+        return orderstats.rolled(df, source, p["window"], {name: kind.split("_")[1]}, _nulls(p))
     if kind == "atr":
         return recursive.atr(df, p["window"], name)
     if kind == "adx":

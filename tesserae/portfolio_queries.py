@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section as cs
 from tesserae.functions import series as ts
-from tesserae.operators import metrics, portfolio, recursive
+from tesserae.operators import metrics, orderstats, portfolio, recursive
 from tesserae.queries import BRANDS, EVENTS, M, _out, _roll
 from tesserae.sources import panels
 
@@ -27,7 +27,9 @@ def research_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("trade_price")
     df = panels.brand_weeks(spark, sf_dir).withColumn("r", ts.simple_return(x, 1)).withColumn("lr", ts.momentum(x, 1)).withColumn("lp", ts.log(x)).withColumn("n", F.row_number().over(ts.along()))
     r = F.col("r")
-    return _out(df, volatility=ts.volatility(F.col("lr"), 8), median_momentum=ts.rolling_median(r, 8), win_rate=ts.win_rate(x, r, 8), consistency=ts.consistency(r, 7), trend_quality=ts.trend_quality(F.col("lp"), F.col("n"), 12), weighted=ts.weighted_return(r, F.col("turnover"), 6), share=ts.rolling_percentile(x, 10))
+    df = orderstats.rolled(orderstats.rolled(df, "r", 8, {"median": "median"}), "trade_price", 10, {"share": "percentile"})
+    df = orderstats.consistency(df, "r", 7, "consistency")
+    return _out(df, volatility=ts.volatility(F.col("lr"), 8), median_momentum=F.col("median"), win_rate=ts.win_rate(x, r, 8), consistency=F.col("consistency"), trend_quality=ts.trend_quality(F.col("lp"), F.col("n"), 12), weighted=ts.weighted_return(r, F.col("turnover"), 6), share=F.col("share"))
 
 
 def benchmark_beta(spark: SparkSession, sf_dir: str) -> DataFrame:

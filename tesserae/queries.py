@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section as cs
 from tesserae.functions import series as ts
-from tesserae.operators import portfolio
+from tesserae.operators import orderstats, portfolio
 from tesserae.sources import panels
 
 EVENTS = """panel AS (SELECT event_type AS market, date_trunc('hour', ts)::TIMESTAMP AS date_utc, arg_min(value, ts) AS opening_price, max(value) AS high_price,
@@ -46,7 +46,8 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("trade_price")
-    return _out(panels.event_hours(spark, sf_dir), mean=ts.rolling_mean(x, 12), total=ts.rolling_sum(F.col("turnover"), 24), std=ts.rolling_std(x, 12), zscore=ts.rolling_zscore(x, 12), median=ts.rolling_median(x, 7))
+    df = orderstats.rolled(panels.event_hours(spark, sf_dir), "trade_price", 7, {"median": "median"})
+    return _out(df, mean=ts.rolling_mean(x, 12), total=ts.rolling_sum(F.col("turnover"), 24), std=ts.rolling_std(x, 12), zscore=ts.rolling_zscore(x, 12), median=F.col("median"))
 
 
 def weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae import engine_queries, engine_sql
 from tesserae.functions import series as ts
-from tesserae.operators import backtest, portfolio, recursive, simulation, studies, timeline
+from tesserae.operators import backtest, orderstats, portfolio, recursive, simulation, studies, timeline
 from tesserae.plans import payloads, specs
 from tesserae.sinks import tables
 
@@ -113,6 +113,32 @@ def test_incremental_scores_are_loops(spark, up, down, least, most):
         assert column(got.where(F.col("market") == market), "score") == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("nulls", ["skip", "strict"])
+def test_order_statistics_are_those_of_lists(spark, nulls):
+    """Over several blocks, with ties, nulls, NaN and a market shorter than the window."""
+    rng = random.Random(7)
+    values = {"A": [rng.choice([None, float("nan")]) if rng.random() < 0.1 else float(rng.randint(0, 9)) for _ in range(90)], "B": [1.0, 2.0], "C": [None, None]}
+    df = panel(spark, values["A"]).unionByName(panel(spark, values["B"], "B")).unionByName(panel(spark, values["C"], "C")).withColumn("other", F.lit("kept"))
+    n = 6
+    got = orderstats.rolled(df, "x", n, {"p": "percentile", "m": "median"}, nulls, block=8)
+    assert got.columns == ["market", "date_utc", "x", "other", "p", "m"] and got.where("other = 'kept'").count() == 94
+    for market, xs in values.items():
+        held, want = [], []
+        for x in xs:
+            x = None if x is None or x != x else x
+            if x is not None or nulls == "strict":
+                held.append(x)
+            window = held[-n:]
+            if x is None or len(window) < n or None in window:
+                want.append((None, None))
+            else:
+                ordered = sorted(window)
+                want.append((pytest.approx((sum(v < x for v in window) + (sum(v == x for v in window) + 1) / 2) / n), (ordered[2] + ordered[3]) / 2))
+        assert [(r["p"], r["m"]) for r in got.where(F.col("market") == market).orderBy("date_utc").collect()] == want
+    with pytest.raises(ValueError):
+        orderstats.rolled(df, "x", n, {"p": "mode"})
+
+
 def test_scans_in_two_levels_are_windows(spark):
     """Bars over several months, some of them without bars or values."""
     rng = random.Random(6)
