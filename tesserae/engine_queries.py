@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section as cs
 from tesserae.functions import series as ts
-from tesserae.operators import backtest, metrics, portfolio, results, simulation, studies
+from tesserae.operators import backtest, metrics, portfolio, results, shared, simulation, studies
 from tesserae.plans import payloads, specs
 from tesserae.portfolio_queries import _levels
 from tesserae.queries import _out
@@ -93,7 +93,7 @@ def full_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _up_universe(spark: SparkSession, sf_dir: str, top: int = 3) -> tuple[DataFrame, DataFrame]:
-    df = _signals(spark, sf_dir).withColumn("share", cs.cross_percentile(F.col("turnover")))
+    df = shared.materialised(_signals(spark, sf_dir).withColumn("share", cs.cross_percentile(F.col("turnover"))))
     return df, specs.with_universe(df, {"feature_column": "share", "lag": 0, "top_n": top, "value_filters": [{"feature_column": "up", "operator": "eq", "value": 1}]})
 
 
@@ -141,11 +141,10 @@ def _account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An account of all markets, at two rates of fees."""
-    rows = simulation.trimmed(_account_rows(spark, sf_dir), [])
-    out = None
-    for run, fee in enumerate((0.0005, 0.01)):
-        part = simulation.shared_cash(rows.withColumn("run_id", F.lit(run)), ["run_id"], "level", "target_weight", fee, 0.0005)
-        out = part if out is None else out.unionByName(part)
+    rows = simulation.trimmed(shared.materialised(_account_rows(spark, sf_dir)), [])
+    fees = (0.0005, 0.01)
+    rows = rows.withColumn("run_id", F.explode(F.array(*map(F.lit, range(len(fees))))))
+    out = simulation.shared_cash(rows.withColumn("fee", F.element_at(F.array(*map(F.lit, fees)), F.col("run_id") + 1)), ["run_id"], "level", "target_weight", "fee", 0.0005)
     return out.select("run_id", "date_utc", F.round("equity", 4).alias("equity"))
 
 
@@ -193,7 +192,7 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders from the last selection, last prices, and balances made of nations."""
     df, chosen = _up_universe(spark, sf_dir)
-    weights = portfolio.latest(specs.with_weights(df, chosen, {"rebalance_frequency": "daily"}))
+    weights = portfolio.latest(shared.materialised(specs.with_weights(df, chosen, {"rebalance_frequency": "daily"})))
     prices = studies.snapshot(df, "trade_price", []).select(F.concat(F.lit("KRW-"), F.upper("market")).alias("market"), F.col("trade_price").alias("price"))
     money = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.coalesce(F.get(F.array(*map(F.lit, ("KRW", "click", "view"))), F.col("n_nationkey")), F.col("n_name")).alias("currency"), (F.col("n_nationkey") * 3 + 50).cast("double").alias("balance"), F.lit(0.5).alias("locked"))
     weights = weights.select(F.concat(F.lit("KRW-"), F.upper("market")).alias("market"), "target_weight")

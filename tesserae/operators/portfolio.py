@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section, series
-from tesserae.operators import timeline
+from tesserae.operators import shared, timeline
 
 
 def holding_state(df: DataFrame, entry: str, leave: str, name: str = "state") -> DataFrame:
@@ -69,6 +69,7 @@ def every(df: DataFrame, k: int) -> DataFrame:
 
 def carried(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     """The rows of the last bar that has some, up to and with each bar of the schedule, dated by the schedule."""
+    rows = shared.materialised(rows)
     bars = rows.select("date_utc").distinct().withColumn("_has", F.col("date_utc")).unionByName(schedule.select("date_utc", F.lit(None).cast("timestamp_ntz").alias("_has")))
     bars = bars.groupBy("date_utc").agg(F.max("_has").alias("_has"))
     bars = timeline.last_known(bars, "_has")
@@ -140,6 +141,7 @@ def order_plan(weights: DataFrame, prices: DataFrame, balances: DataFrame, least
     held = own.where((F.col("currency") != cash) & (F.col("quantity") > 0)).select(F.concat(F.lit(f"{cash}-"), "currency").alias("market"), "quantity", F.lit(True).alias("_held"))
     rows = weights.select("market", "target_weight").join(prices.select("market", "price"), "market", "full").withColumn("_managed", F.lit(True)).join(held, "market", "full")
     rows = rows.withColumn("value", F.coalesce("quantity", F.lit(0.0)) * F.col("price")).withColumn("target_weight", F.coalesce("target_weight", F.lit(0.0)))
+    rows = shared.materialised(rows)  # one row a market
     equity = rows.where("_managed").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("_sum"))  # one row
     rows = rows.join(F.broadcast(money)).join(F.broadcast(equity)).withColumn("target_value", (F.col("_cash") + F.col("_sum")) * F.col("target_weight"))
     rows = rows.withColumn("delta", F.when(F.col("_managed"), F.col("target_value") - F.coalesce("value", F.lit(0.0))))
@@ -190,6 +192,7 @@ def allocate(sleeves: list[tuple[DataFrame, float]], normalise: bool = False) ->
             own = own.withColumn("w", F.coalesce(F.try_divide(F.col("w") * max(capital, 0.0), F.sum("w").over(cross_section.across())), F.lit(0.0)))
         own = own.withColumn("sleeve", F.lit(number))
         rows = own if rows is None else rows.unionByName(own)
+    rows = shared.materialised(rows)
     days = rows.select("date_utc", "sleeve").distinct()
     # Every bar for every sleeve, marked where the sleeve names it; its last named bar is then an equality key.
     bars = days.groupBy("date_utc").agg(F.collect_set("sleeve").alias("named"))

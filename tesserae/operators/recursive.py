@@ -1,7 +1,6 @@
 """Recursions along the bars of a market: smoothings, the directional index, one market's account, incremental scores.
 
-Linear recurrences need no group that holds a market's history: they are added up within blocks of bars, and what a block
-starts from comes from the few blocks before it. A score that is held within bounds is composed block by block likewise.
+Linear recurrences are added up within blocks of bars, and what a block starts from comes from the few blocks before it. A score that is held within bounds is composed block by block likewise.
 """
 
 from __future__ import annotations
@@ -19,15 +18,18 @@ _FADE, _BLOCKS = 1000.0, 7
 
 
 def recurrence(rows: DataFrame, number: str, keep: float, step: Column, name: str) -> DataFrame:
-    """Adds name: keep times its value at the market's row before, plus step; 0 before row 1. Rows without a number have none."""
+    """Adds name: keep times its value at the market's row before, plus step; 0 before row 1. Rows without a number have none.
+
+    Numbers go up by one, so at the first row of a block the ends of the blocks before are whole blocks back. All windows
+    are within a market: rows dealt by market once serve any number of recurrences, in one pass over them.
+    """
     size = max(1, int(math.log(_FADE) / -math.log(keep))) if 0 < keep < 1 else 1
     rows = rows.withColumn("_step", step).withColumn("_block", F.floor((F.col(number) - 1) / size)).withColumn("_place", (F.col(number) - 1) % size)
     inside = Window.partitionBy("market", "_block").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_local", F.pow(F.lit(keep), "_place") * F.sum(F.col("_step") * F.pow(F.lit(keep), -F.col("_place"))).over(inside))
-    ends = rows.where(F.col(number).isNotNull()).groupBy("market", "_block").agg(F.max_by("_local", "_place").alias("_end"))
-    blocks = Window.partitionBy("market").orderBy("_block")
-    carry = sum((F.coalesce(F.lag("_end", back).over(blocks), F.lit(0.0)) * keep ** (size * (back - 1)) for back in range(1, _BLOCKS + 1)), F.lit(0.0))
-    rows = rows.join(ends.select("market", "_block", carry.alias("_carry")), ["market", "_block"], "left")
+    known = Window.partitionBy("market", F.col(number).isNull()).orderBy(number)
+    ends = (F.coalesce(F.lag("_local", 1 + size * back).over(known), F.lit(0.0)) * keep ** (size * back) for back in range(_BLOCKS))
+    rows = rows.withColumn("_carry", F.when(F.col("_place") == 0, sum(ends, F.lit(0.0)))).withColumn("_carry", F.first("_carry").over(inside))
     level = F.col("_local") + F.pow(F.lit(keep), F.col("_place") + 1) * F.col("_carry")
     return rows.withColumn(name, F.when(F.col(number).isNotNull(), level)).drop("_step", "_block", "_place", "_local", "_carry")
 

@@ -12,26 +12,28 @@ from tesserae.operators import timeline
 _TURNS = 10
 
 
-def shared_cash(rows: DataFrame, keys: list[str], price: str, weight: str, fee: float = 0.0005, slippage: float = 0.0, cash: float = 1000.0) -> DataFrame:
+def shared_cash(rows: DataFrame, keys: list[str], price: str, weight: str, fee: float | str = 0.0005, slippage: float = 0.0, cash: float = 1000.0) -> DataFrame:
     """keys, date_utc, equity of accounts that trade to target shares of their equity at the bars that have weights.
 
     rows: one per key, bar and market. A bar at which any market has a weight is on the schedule; there a market
-    without one goes to 0. Between such bars units are held. Fees and slippage are a share of what is traded, paid such
-    that the shares are met after costs; a market without a price keeps its last one.
+    without one goes to 0. Between such bars units are held. Fees (a number, or a column that is one for each key) and
+    slippage are a share of what is traded, paid such that the shares are met after costs; a market without a price keeps
+    its last one.
 
     Shares after a trade are known, so what an account grows by until the next trade, and what share of it the next trade costs,
     depend on prices and weights only: equity is a running product over bars, and no bar waits for the one before.
     """
     along = Window.partitionBy(*keys, "market").orderBy("date_utc")
     so_far, before = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(*keys, "market", "date_utc", F.last(price, True).over(so_far).alias("_p"), F.col(weight).cast("double").alias("_w"))
+    rate = (F.col(fee) if isinstance(fee, str) else F.lit(fee)) + slippage
+    rows = rows.select(*keys, "market", "date_utc", rate.alias("_rate"), F.last(price, True).over(so_far).alias("_p"), F.col(weight).cast("double").alias("_w"))
     rows = rows.withColumn("_on", F.max(F.col("_w").isNotNull()).over(Window.partitionBy(*keys, "date_utc")))
     rows = rows.withColumn("_w", F.when(F.col("_on"), F.when(F.col("_p").isNotNull(), F.coalesce("_w", F.lit(0.0))).otherwise(0.0)))
     rows = rows.withColumn("_last_w", F.coalesce(F.last("_w", True).over(before), F.lit(0.0))).withColumn("_last_p", F.last(F.when(F.col("_on"), F.col("_p")), True).over(before))
     rows = rows.withColumn("_held", F.when(F.col("_last_w") != 0, F.col("_last_w") * F.col("_p") / F.col("_last_p")).otherwise(0.0))
     moves = F.collect_list(F.when(F.col("_on") & ((F.col("_w") != 0) | (F.col("_held") != 0)), F.struct(F.col("_w").alias("w"), F.col("_held").alias("h"))))
-    bars = rows.groupBy(*keys, "date_utc").agg(F.max("_on").alias("_on"), (1 - F.sum("_last_w") + F.sum("_held")).alias("_grown"), moves.alias("_moves"))
-    rate, grown = fee + slippage, F.col("_grown")
+    bars = rows.groupBy(*keys, "date_utc").agg(F.max("_on").alias("_on"), (1 - F.sum("_last_w") + F.sum("_held")).alias("_grown"), moves.alias("_moves"), F.first("_rate").alias("_rate"))
+    rate, grown = F.col("_rate"), F.col("_grown")
 
     def traded(left):
         return F.aggregate("_moves", F.lit(0.0), lambda total, m: total + F.abs(m["w"] * left - m["h"] / grown))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import cross_section, series
-from tesserae.operators import orderstats, portfolio, timeline
+from tesserae.operators import orderstats, portfolio, shared, timeline
 
 
 def started(rows: DataFrame, base: Column, least: int) -> DataFrame:
@@ -45,6 +45,7 @@ def filter_stage(rows: DataFrame, filters: list[dict], candidate: str, mode: str
 
 def dense(rows: DataFrame, *columns: str) -> DataFrame:
     """Every market at every bar of the panel, nulls where it has no row, from its first bar to the last of all."""
+    rows = shared.materialised(rows.select("market", "date_utc", *columns))
     every = timeline.alive(rows.groupBy("market").agg(F.min("date_utc").alias("_from")), rows)
     return every.join(rows.select("market", "date_utc", *columns), ["market", "date_utc"], "left")
 
@@ -150,10 +151,12 @@ def turnover_momentum(rows: DataFrame, *, turnover_bars: int, lookback: int, mom
     if high < 1:
         chosen = chosen & (F.col("_rank") <= high)
     rows = rows.withColumn("_ready", ready).withColumn("_chosen", F.coalesce(chosen, F.lit(False)) & (F.col("_ready") >= least_markets))
+    rows = shared.materialised(rows.select("market", "date_utc", "momentum", "_chosen"))
+    schedule = portfolio.every(rows, every_bars)
     rows = dense(rows, "momentum", "_chosen")
     if lag:
         rows = rows.withColumn("momentum", series.lag(F.col("momentum"), lag)).withColumn("_chosen", series.lag(F.col("_chosen"), lag))
-    rows = rows.join(portfolio.every(rows, every_bars), "date_utc", "left_semi").where("_chosen")
+    rows = rows.join(schedule, "date_utc", "left_semi").where("_chosen")
     rows = rows.withColumn("selected_rank", F.row_number().over(cross_section.across().orderBy(F.col("momentum").desc_nulls_last(), "market")))
     rows = rows.where(F.col("selected_rank") <= most) if most else rows
     return rows.select("date_utc", "market", F.col("momentum").alias("feature_value"), "selected_rank", (gross / F.count("*").over(cross_section.across())).alias("target_weight"))

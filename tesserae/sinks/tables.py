@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tesserae.operators import studies
+from tesserae.operators import shared, studies
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -56,31 +56,42 @@ def read_wide_cache(spark: SparkSession, folder: str, values: list[str], markets
 
 def merge_into(new: DataFrame, folder: str, replace_from_first: bool = False) -> DataFrame:
     """Bars merged into a stored panel that is partitioned by month: of a bar that both have the new one, or nothing stored
-    from the first new bar on. Only months that change are written."""
+    from the first new bar on. Only months that change are written, from a checkpoint of the merged rows, so that an
+    executor lost meanwhile does not need what is being overwritten; months that no longer have rows go."""
     spark = new.sparkSession
     month = F.date_format("date_utc", "yyyy-MM").alias("month")
     new = new.select("*", month)
-    try:
-        old = spark.read.parquet(folder).select(*new.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not _exists(spark, folder):
         new.write.partitionBy("month").parquet(folder)
         return spark.read.parquet(folder)
+    old = spark.read.parquet(folder).select(*new.columns)
     first = new.agg(F.min("month")).first()[0]
     if first is None:
         return old
     old = old.where(F.col("month") >= first)
     merged = studies.recalculated(old, new) if replace_from_first else studies.upserted(old, new)
-    merged = merged.select(*new.columns).checkpoint() if spark.sparkContext.getCheckpointDir() else merged.select(*new.columns).persist()
-    merged.count()  # the months read are about to be overwritten
+    merged = shared.materialised(merged.select(*new.columns))
+    gone = old.select("month").distinct().join(merged.select("month").distinct(), "month", "left_anti").collect()  # months
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(folder)
+    for r in gone:
+        _path(spark, f"{folder}/month={r['month']}", lambda files, path: files.delete(path, True))
     return spark.read.parquet(folder)
 
 
+def _path(spark: SparkSession, name: str, act):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return act(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    return _path(spark, folder, lambda files, path: files.exists(path))
+
+
 def markdown(df: DataFrame, columns: list[str], group: str | None = None, most: int = 1000) -> str:
-    """A table, or one under a heading for each group, of at most `most` rows; bars in values are escaped."""
-    rows = [r.asDict() for r in df.limit(most).collect()]
+    """A table, or one under a heading for each group; bars in values are escaped. More than `most` rows are no report."""
+    rows = [r.asDict() for r in df.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
 
     def table(rows: list[dict]) -> str:
         cells = [[("" if r[c] is None else str(r[c])).replace("|", "\\|") for c in columns] for r in rows]

@@ -8,9 +8,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae import engine_queries, engine_sql
+from tesserae import engine_queries, engine_sql, portfolio_queries
 from tesserae.functions import series as ts
-from tesserae.operators import backtest, orderstats, portfolio, recursive, simulation, studies, timeline
+from tesserae.operators import backtest, orderstats, portfolio, recursive, shared, simulation, studies, timeline
 from tesserae.plans import payloads, specs
 from tesserae.sinks import tables
 
@@ -167,6 +167,24 @@ def test_no_window_holds_all_bars(spark, name):
     assert "windowspecdefinition(market" in plan and not re.search(r"windowspecdefinition\(date_utc#\d+ (ASC|DESC)", plan)
 
 
+@pytest.mark.parametrize(("module", "name", "most"), [(engine_queries, "order_plan", 4), (engine_queries, "allocation", 4), (engine_queries, "shared_cash", 4), (portfolio_queries, "directional_index", 1), (portfolio_queries, "smoothings", 1)])
+def test_tables_are_scanned_once(spark, module, name, most):
+    """What several branches read is computed once: table scans of the plan and of what it was made from."""
+    made = []
+    keep = shared.materialised
+
+    def counted(df):
+        made.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+        return keep(df)
+
+    shared.materialised = counted
+    try:
+        plan = module.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        shared.materialised = keep
+    assert plan.count("FileScan") + sum(made) <= most
+
+
 def test_incremental_weights(spark):
     df = panel(spark, [1.0, 1.0, 0.0, 0.0], "A", "on").unionByName(panel(spark, [1.0, 0.0, 0.0, 0.0], "B", "on"))
     rows = {(r["market"], r["date_utc"].day): (r["score"], r["target_weight"]) for r in recursive.incremental_weights(df, "on", 0.5, 0.5, gross=0.8).collect()}
@@ -220,6 +238,12 @@ def test_sinks(spark, tmp_path):
     newer = panel(spark, [7.0, 8.0], "A")
     assert sorted((r["market"], r["x"] or 0) for r in tables.merge_into(newer, store).collect()) == [("A", 0), ("A", 7.0), ("A", 8.0), ("B", 5.0)]
     assert sorted(r["x"] for r in tables.merge_into(newer, store, replace_from_first=True).collect()) == [7.0, 8.0]
+    late = newer.withColumn("date_utc", F.col("date_utc") + F.expr("interval 3 months"))
+    assert tables.merge_into(late, store).count() == 4
+    assert tables.merge_into(late.where("false"), store).count() == 4
+    assert sorted(r["x"] for r in tables.merge_into(newer.where("x = 8"), store, replace_from_first=True).collect()) == [7.0, 8.0]
+    with pytest.raises(ValueError):
+        tables.markdown(newer, ["x"], most=1)
     text = tables.markdown(spark.createDataFrame([("g", "a|b"), ("", "c")], "g string, v string"), ["v"], "g")
     assert text == "## g\n\n| v |\n| --- |\n| a\\|b |"
 
