@@ -136,7 +136,7 @@ def _account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _levels(spark, sf_dir).withColumn("on", ts.compare(x, "gt", ts.rolling_mean(x, 5)))
     weights = df.where("on = 1").withColumn("target_weight", 0.9 / F.count("*").over(cs.across()))
     rows = studies.dense(df, "level")
-    return portfolio.on_schedule(rows, weights, portfolio.rebalance_bars(df, "day"))
+    return portfolio.on_schedule(rows, weights, portfolio.rebalance_bars(df, "day"), explicit=False)
 
 
 def shared_cash(spark: SparkSession, sf_dir: str) -> DataFrame:

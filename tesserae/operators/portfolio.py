@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,14 +79,26 @@ def carried(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     return rows.join(named, "date_utc").drop("date_utc").withColumnRenamed("_at", "date_utc").select(*rows.columns)
 
 
-def on_schedule(panel: DataFrame, weights: DataFrame, schedule: DataFrame) -> DataFrame:
-    """target_weight at every row of the panel: at bars of the schedule the weight or 0, null (hold) at others. Weights of
-    bars off the schedule are left out."""
-    on = schedule.select("date_utc").distinct().withColumn("_on", F.lit(True))
+def on_schedule(panel: DataFrame, weights: DataFrame, schedule: DataFrame, explicit: bool = True) -> DataFrame:
+    """target_weight at every row of the panel: at bars of the schedule the weight or 0, null (hold) at others. Bars that
+    the weights name are on the schedule too; with explicit=False weights of bars off it are left out."""
+    on = schedule.select("date_utc")
+    if explicit:
+        on = on.unionByName(weights.select("date_utc"))
+    on = on.distinct().withColumn("_on", F.lit(True))
     rows = panel.join(on, "date_utc", "left").join(weights.select("date_utc", "market", F.col("target_weight").alias("_w")), ["date_utc", "market"], "left")
     return rows.withColumn("target_weight", F.when(F.col("_on"), F.coalesce("_w", F.lit(0.0)))).drop("_on", "_w")
 
 
+def by_precedence(parts: list[DataFrame]) -> DataFrame:
+    """date_utc, market, target_weight of several sources, each with a calendar of its own: at a bar the rows of the first
+    source that names it hold, so that explicit dates placed before a schedule's weights replace them."""
+    rows = [p.select("date_utc", "market", "target_weight", F.lit(i).alias("_source")) for i, p in enumerate(parts)]
+    rows = shared.materialised(functools.reduce(DataFrame.unionByName, rows))
+    first = rows.groupBy("date_utc").agg(F.min("_source").alias("_source"))
+    return rows.join(first, ["date_utc", "_source"]).drop("_source")
+
+
 def scheduled(df: DataFrame, selected: str, unit: str, gross: float = 1.0) -> DataFrame:
     """target_weight at all bars: equal shares and 0 on the schedule, null (hold) between."""
     on = F.coalesce(F.col(selected), F.lit(0)) != 0

@@ -61,7 +61,7 @@ def merge_into(new: DataFrame, folder: str, replace_from_first: bool = False) ->
     spark = new.sparkSession
     month = F.date_format("date_utc", "yyyy-MM").alias("month")
     new = new.select("*", month)
-    if not _exists(spark, folder):
+    if not exists(spark, folder):
         new.write.partitionBy("month").parquet(folder)
         return spark.read.parquet(folder)
     old = spark.read.parquet(folder).select(*new.columns)
@@ -74,7 +74,7 @@ def merge_into(new: DataFrame, folder: str, replace_from_first: bool = False) ->
     gone = old.select("month").distinct().join(merged.select("month").distinct(), "month", "left_anti").collect()  # months
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(folder)
     for r in gone:
-        _path(spark, f"{folder}/month={r['month']}", lambda files, path: files.delete(path, True))
+        delete(spark, f"{folder}/month={r['month']}")
     return spark.read.parquet(folder)
 
 
@@ -83,7 +83,12 @@ def _path(spark: SparkSession, name: str, act):
     return act(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path)
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
+def delete(spark: SparkSession, folder: str) -> None:
+    _path(spark, folder, lambda files, path: files.delete(path, True))
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether there is a file or folder, in whatever store."""
     return _path(spark, folder, lambda files, path: files.exists(path))
 
 

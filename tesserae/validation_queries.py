@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import backtest, segments
-from tesserae.queries import BRANDS
+from tesserae.engine_queries import _up_universe
+from tesserae.engine_sql import _carried, _chosen
+from tesserae.operators import backtest, portfolio, segments, shared
+from tesserae.plans import payloads, runner, specs
+from tesserae.portfolio_queries import _LEVEL, YEAR, _levels
+from tesserae.queries import BRANDS, EVENTS, _out
 from tesserae.research_queries import _RUNS, FEE, _growth, _runs
+from tesserae.sinks import tables
 from tesserae.sources import panels
 
 WEEKS = 52
@@ -46,7 +52,49 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 10) for c, kind in df.dtypes if kind == "double"})
 
 
-_QUERIES = (fold_metrics, fold_winners, candidate_figures, fold_winner_figures)
+TEMPLATES = {
+    "features": [
+        {"source": "trade_price", "steps": [{"kind": "rolling_mean", "params": {"window": 5}}], "column_name": "mean"},
+        {"compare": {"left_feature": "trade_price", "operator": "gt", "right_feature": "mean"}, "column_name": "up"},
+        {"source": "turnover", "steps": [{"kind": "cross_percentile"}], "column_name": "share"},
+    ],
+    "universe": {"feature_column": "{column}", "lag": 0, "top_n": "{top}", "value_filters": [{"feature_column": "up", "operator": "eq", "value": "{value}"}]},
+    "weights": {"gross_exposure": 0.9, "rebalance_frequency": "daily"},
+}
+#: Half of the runs name a column that is not there; a flag is never 2.
+PARAMETERS = {"column": ["share", "nowhere"], "top": [1, 3], "value": [1, 2]}
+
+
+def grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid with runs that fail and runs that hold nothing; how many the first and the second call computed."""
+    runs = payloads.runs(PARAMETERS, TEMPLATES, "{column}_{top}_{value}")
+    folder = f"{shared.checkpoint_folder(spark)}/grid-{uuid.uuid4().hex}"
+    grid = runner.Grid(_levels(spark, sf_dir), folder, YEAR, price="level", fee=FEE)
+    first = grid.run(runs[:5])
+    second, third = grid.run(runs), grid.run(runs)
+    out = shared.materialised(grid.results(runs))
+    tables.delete(spark, folder)
+    figures = [F.round(c, 6).alias(c) for c in ("total_return", "max_drawdown", "sharpe", "mean_selected")]
+    return out.select("run_name", "status", F.col("error").isNotNull().cast("int").alias("failed"), "bars", *figures, "rebalances", *[F.lit(n).alias(c) for c, n in (("first", first), ("second", second), ("third", third))])
+
+
+def spec_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account of one spec, from features to equity."""
+    run = payloads.runs({"column": ["share"], "top": [3], "value": [1]}, TEMPLATES, "one")[0]
+    out = runner.backtest(_levels(spark, sf_dir), run["features"], run["universe"], run["weights"], price="level", fee=FEE)
+    return out.select("date_utc", F.round("equity", 4).alias("equity"))
+
+
+def explicit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly weights that noon hours of some days replace by all of one market, held between."""
+    df, chosen = _up_universe(spark, sf_dir)
+    weekly = specs.with_weights(df, chosen, {"rebalance_frequency": "weekly"})
+    noons = df.where((F.hour("date_utc") == 12) & (F.dayofmonth("date_utc") % 4 == 1)).groupBy("date_utc").agg(F.min("market").alias("market")).withColumn("target_weight", F.lit(0.5))
+    rows = portfolio.on_schedule(df, portfolio.by_precedence([noons, weekly]), portfolio.rebalance_bars(df, "week"))
+    return _out(rows.where("target_weight IS NOT NULL"), target_weight=F.col("target_weight"))
+
+
+_QUERIES = (fold_metrics, fold_winners, candidate_figures, fold_winner_figures, grid_results, spec_account, explicit_weights)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,9 +127,37 @@ _SQL_FIGURES = """count(*) AS folds, round(median(oos_air), 10) AS median_air, r
  round(max(oos_max_drawdown), 10) AS worst_drawdown, round(median(oos_longest), 10) AS median_longest, round(avg(oos_longest), 10) AS mean_longest"""
 
 
+#: Accounts of the two runs that hold something, bar by bar.
+_ACCOUNTS = f"""{EVENTS}, {_LEVEL}, {_chosen(3)}, tops AS (SELECT * FROM (VALUES (1), (3)) t(top)), days AS (SELECT min(date_utc) AS date_utc FROM panel GROUP BY date_trunc('day', panel.date_utc)),
+ latest AS (SELECT d.date_utc AS due, max(c.date_utc) AS at_bar FROM days d JOIN chosen c ON c.date_utc <= d.date_utc GROUP BY 1),
+ daily AS (SELECT top, due AS date_utc, market, 0.9::DOUBLE / count(*) OVER (PARTITION BY top, due) AS w FROM tops, latest JOIN chosen ON chosen.date_utc = at_bar WHERE place <= top),
+ cells AS (SELECT tops.top, m.market, b.date_utc, last_value(level IGNORE NULLS) OVER (PARTITION BY tops.top, m.market ORDER BY b.date_utc ROWS UNBOUNDED PRECEDING) AS p, coalesce(w, 0) AS w, days.date_utc IS NOT NULL AS due
+  FROM tops CROSS JOIN (SELECT DISTINCT market FROM panel) m CROSS JOIN (SELECT DISTINCT date_utc FROM panel) b LEFT JOIN levels l ON l.market = m.market AND l.date_utc = b.date_utc
+  LEFT JOIN daily ON daily.top = tops.top AND daily.market = m.market AND daily.date_utc = b.date_utc LEFT JOIN days ON days.date_utc = b.date_utc),
+ starts AS (SELECT top, min(date_utc) AS begins FROM cells WHERE due AND w > 0 GROUP BY 1),
+ bars AS (SELECT top, date_utc, bool_or(due) AS due, list(coalesce(p, 0)::DOUBLE ORDER BY market) AS ps, list(w::DOUBLE ORDER BY market) AS ws, row_number() OVER (PARTITION BY top ORDER BY date_utc) AS n FROM cells JOIN starts USING (top) WHERE date_utc >= begins GROUP BY 1, 2),
+ acc AS (SELECT top, 0::BIGINT AS n, 1000.0::DOUBLE AS cash, list_transform(range(5), lambda i: 0.0::DOUBLE) AS us FROM tops
+  UNION ALL SELECT top, n, CASE WHEN due THEN total * share * (1 - list_sum(ws)) ELSE cash END, CASE WHEN due THEN list_transform(range(1, 6), lambda j: CASE WHEN ps[j] > 0 THEN ws[j] * total * share / ps[j] ELSE 0.0::DOUBLE END) ELSE us END
+  FROM (SELECT *, list_reduce([1.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: 1 - {FEE} * list_sum(list_transform(range(1, 6), lambda j: abs(ws[j] * c - us[j] * ps[j] / total)))) AS share
+   FROM (SELECT acc.top, b.n, b.due, b.ps, b.ws, acc.cash, acc.us, acc.cash + list_sum(list_transform(range(1, 6), lambda j: acc.us[j] * b.ps[j])) AS total FROM acc JOIN bars b ON b.top = acc.top AND b.n = acc.n + 1))),
+ equity AS (SELECT top, date_utc, cash + list_sum(list_transform(range(1, 6), lambda j: us[j] * ps[j])) AS value FROM acc JOIN bars USING (top, n))"""
+
+
 def oracle_sql() -> dict[str, str]:
     start = f"WITH {BRANDS}, {_RUNS}, {_FOLDED}"
     return {
+        "grid_results": f"""WITH RECURSIVE {_ACCOUNTS}, r AS (SELECT *, coalesce(value / lag(value) OVER k - 1, 0) AS r, value / max(value) OVER k - 1 AS down FROM equity WINDOW k AS (PARTITION BY top ORDER BY date_utc)),
+ f AS (SELECT top, count(*) AS bars, arg_max(value, date_utc) / arg_min(value, date_utc) - 1 AS total_return, 100 * min(down) AS max_drawdown, avg(r) / stddev_pop(r) * sqrt({YEAR}) AS sharpe FROM r GROUP BY 1),
+ s AS (SELECT top, count(*) AS rebalances, avg(k) AS mean_selected FROM (SELECT top, date_utc, count(CASE WHEN w > 0 THEN 1 END) AS k FROM cells WHERE due GROUP BY 1, 2) GROUP BY 1),
+ g AS (SELECT c.name AS name, tops.top, v.value FROM (VALUES ('share'), ('nowhere')) c(name), tops, (VALUES (1), (2)) v(value))
+ SELECT name || '_' || g.top || '_' || g.value AS run_name, CASE WHEN name = 'nowhere' THEN 'error' WHEN value = 2 THEN 'empty_weights' ELSE 'ok' END AS status, (name = 'nowhere')::INT AS failed, bars, round(total_return, 6) AS total_return,
+ round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, round(mean_selected, 6) AS mean_selected, rebalances, 5 AS first, 3 AS second, 0 AS third
+ FROM g LEFT JOIN (f JOIN s USING (top)) ON f.top = g.top AND g.value = 1 AND g.name = 'share'""",
+        "spec_account": f"WITH RECURSIVE {_ACCOUNTS} SELECT date_utc, round(value, 4) AS equity FROM equity WHERE top = 3",
+        "explicit_weights": f"""WITH {EVENTS}, {_chosen(3)}, {_carried('weekly', 'week', '1.0::DOUBLE / count(*) OVER (PARTITION BY due)')}, noons AS (SELECT date_utc, min(market) AS market, 0.5::DOUBLE AS w FROM panel WHERE hour(date_utc) = 12 AND day(date_utc) % 4 = 1 GROUP BY 1),
+ w AS (SELECT date_utc, market, w FROM noons UNION ALL SELECT date_utc, market, w FROM weekly WHERE date_utc NOT IN (SELECT date_utc FROM noons)),
+ due AS (SELECT min(date_utc) AS date_utc FROM panel GROUP BY date_trunc('week', panel.date_utc) UNION SELECT date_utc FROM w)
+ SELECT market, date_utc, round(coalesce(w, 0), 6)::DOUBLE AS target_weight FROM panel JOIN due USING (date_utc) LEFT JOIN w USING (date_utc, market)""",
         "fold_metrics": f"{start} SELECT * FROM both_",
         "fold_winners": f"{start} SELECT market, fold, run_id, is_air, oos_air, oos_cagr, oos_max_drawdown, oos_longest FROM won",
         "candidate_figures": f"""{start}, f AS (SELECT market, run_id, {_SQL_FIGURES}, round(median(is_air), 10) AS median_is_air, round(avg(is_air), 10) AS mean_is_air FROM both_ GROUP BY 1, 2),
