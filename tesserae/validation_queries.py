@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -9,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.engine_queries import _up_universe
-from tesserae.engine_sql import _carried, _chosen
-from tesserae.operators import backtest, portfolio, segments, shared
+from tesserae.engine_sql import SIGNALS, _carried, _chosen
+from tesserae.operators import backtest, portfolio, segments, shared, signals
 from tesserae.plans import payloads, runner, specs
 from tesserae.portfolio_queries import _LEVEL, YEAR, _levels
-from tesserae.queries import BRANDS, EVENTS, _out
+from tesserae.queries import BRANDS, EVENTS, M, _out
 from tesserae.research_queries import _RUNS, FEE, _growth, _runs
-from tesserae.sinks import tables
-from tesserae.sources import panels
+from tesserae.sinks import runs, tables
+from tesserae.sources import intervals, panels
 
 WEEKS = 52
 _DIGITS = {"bars": 0, "longest": 0, "second": 0}
@@ -67,12 +68,12 @@ PARAMETERS = {"column": ["share", "nowhere"], "top": [1, 3], "value": [1, 2]}
 
 def grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid with runs that fail and runs that hold nothing; how many the first and the second call computed."""
-    runs = payloads.runs(PARAMETERS, TEMPLATES, "{column}_{top}_{value}")
+    wanted = payloads.runs(PARAMETERS, TEMPLATES, "{column}_{top}_{value}")
     folder = f"{shared.checkpoint_folder(spark)}/grid-{uuid.uuid4().hex}"
     grid = runner.Grid(_levels(spark, sf_dir), folder, YEAR, price="level", fee=FEE)
-    first = grid.run(runs[:5])
-    second, third = grid.run(runs), grid.run(runs)
-    out = shared.materialised(grid.results(runs))
+    first = grid.run(wanted[:5])
+    second, third = grid.run(wanted), grid.run(wanted)
+    out = shared.materialised(grid.results(wanted))
     tables.delete(spark, folder)
     figures = [F.round(c, 6).alias(c) for c in ("total_return", "max_drawdown", "sharpe", "mean_selected")]
     return out.select("run_name", "status", F.col("error").isNotNull().cast("int").alias("failed"), "bars", *figures, "rebalances", *[F.lit(n).alias(c) for c, n in (("first", first), ("second", second), ("third", third))])
@@ -94,7 +95,57 @@ def explicit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(rows.where("target_weight IS NOT NULL"), target_weight=F.col("target_weight"))
 
 
-_QUERIES = (fold_metrics, fold_winners, candidate_figures, fold_winner_figures, grid_results, spec_account, explicit_weights)
+def sorted_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of markets merged into files in order, and a week of them read back, from less than all files."""
+    df = panels.event_hours(spark, sf_dir)
+    markets = [df.where(F.col("market") == m) for m in ("click", "purchase")] + [df.where(~F.col("market").isin("click", "purchase"))]
+    folder = f"{shared.checkpoint_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    runs.merge_sorted(markets, folder, 8)
+    begins, ends = datetime.datetime(2024, 1, 8), datetime.datetime(2024, 1, 15)
+    read, every = len(runs.files_of(spark, folder, begins, ends)), len(runs.files_of(spark, folder))
+    out = shared.materialised(runs.read_slice(spark, folder, begins, ends))
+    runs.drop(spark, folder)
+    return _out(out, trade_price=F.col("trade_price")).withColumn("pruned", F.lit(int(read < every)))
+
+
+def feature_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of features in order, and what its manifest tells of them."""
+    df = specs.with_features(panels.event_hours(spark, sf_dir), payloads.feature_specs(TEMPLATES["features"]))
+    folder = f"{shared.checkpoint_folder(spark)}/features-{uuid.uuid4().hex}"
+    out = shared.materialised(runs.write_features(df, folder, ["mean", "up", "share"]))
+    runs.drop(spark, folder)
+    return out
+
+
+def warned_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two markets of the highest turnover at each bar that are not warned of: warnings are told by day, of markets with
+    few bars the day before."""
+    df = shared.materialised(panels.event_hours(spark, sf_dir))
+    told = df.groupBy("market", F.date_trunc("day", "date_utc").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
+    told = told.select("market", (F.col("day") + F.expr("interval 1 day")).alias("date_utc"), F.when(F.col("n") < 23, "CAUTION").otherwise("NONE").alias("market_warning"))
+    df = intervals.with_value_at(df, intervals.intervals(told, "market_warning"), "market_warning")
+    out = specs.with_universe(df, {"feature_column": "turnover", "lag": 0, "top_n": 2, "exclude_warnings": True})
+    return out.select("market", "date_utc", F.round("turnover", 6).alias("turnover"), "selected_rank")
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of runs made of parts: every family, some of an unknown one, some malformed."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    asset = F.element_at(F.array(*map(F.lit, ("click", "view", "purchase", "nothing"))), (k % 4 + 1).cast("int"))
+    short, long = (F.lit(2) + size % 3).cast("string"), (F.lit(6) + size % 4).cast("string")
+    family = F.element_at(F.array(*map(F.lit, ("ma_cross", "ma_cross_persist", "ma_cross_exit_persist", "ma_stack", "adx"))), (F.floor(k / 4) % 5 + 1).cast("int"))
+    tail = F.when(family == "ma_cross_persist", F.concat(F.lit("_persist"), k % 3 + 1, F.lit("_every_bar"))).when(family == "ma_cross_exit_persist", F.concat(F.lit("_exit_persist"), k % 3 + 1, F.lit("_stateful")))
+    tail = tail.when(family == "ma_stack", F.concat(F.lit("_12_every_bar"))).otherwise(F.when(k % 11 == 0, "_each_bar").otherwise("_every_bar"))
+    name = F.concat(asset, F.lit("_ma_"), F.when(family == "ma_stack", "stack_").otherwise(""), F.lit("60m_"), short, F.lit("_"), long, tail, F.lit("_fee5bp"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(asset.alias("asset"), family.alias("strategy_family"), name.alias("run_name")).distinct()
+
+
+def current_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = signals.current(panels.event_hours(spark, sf_dir), shared.materialised(_named(spark, sf_dir)))
+    return out.withColumns({"latest_price": F.round("latest_price", 6), "supported": F.col("supported").cast("int"), "signal_on": F.col("signal_on").cast("int")})
+
+
+_QUERIES = (fold_metrics, fold_winners, candidate_figures, fold_winner_figures, grid_results, spec_account, explicit_weights, sorted_slice, feature_manifest, warned_universe, current_signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -158,6 +209,26 @@ def oracle_sql() -> dict[str, str]:
  w AS (SELECT date_utc, market, w FROM noons UNION ALL SELECT date_utc, market, w FROM weekly WHERE date_utc NOT IN (SELECT date_utc FROM noons)),
  due AS (SELECT min(date_utc) AS date_utc FROM panel GROUP BY date_trunc('week', panel.date_utc) UNION SELECT date_utc FROM w)
  SELECT market, date_utc, round(coalesce(w, 0), 6)::DOUBLE AS target_weight FROM panel JOIN due USING (date_utc) LEFT JOIN w USING (date_utc, market)""",
+        "sorted_slice": f"WITH {EVENTS} SELECT market, date_utc, round(trade_price, 6) AS trade_price, 1 AS pruned FROM panel WHERE date_utc >= '2024-01-08' AND date_utc < '2024-01-15'",
+        "feature_manifest": f"""WITH {EVENTS}, {SIGNALS}, f AS (SELECT market, date_utc, CASE WHEN up IS NOT NULL THEN 1 END AS mean, up, turnover AS share FROM sig)
+ SELECT 'mean' AS feature, count(mean) AS rows, min(date_utc) FILTER (mean IS NOT NULL) AS first, max(date_utc) FILTER (mean IS NOT NULL) AS last FROM f
+ UNION ALL SELECT 'up', count(up), min(date_utc) FILTER (up IS NOT NULL), max(date_utc) FILTER (up IS NOT NULL) FROM f UNION ALL SELECT 'share', count(share), min(date_utc), max(date_utc) FROM f""",
+        "warned_universe": f"""WITH {EVENTS}, t AS (SELECT market, date_trunc('day', date_utc) + INTERVAL 1 DAY AS at, count(*) < 23 AS warned FROM panel GROUP BY 1, 2),
+ p AS (SELECT panel.*, coalesce(t.warned, false) AS warned FROM panel ASOF LEFT JOIN t ON panel.market = t.market AND panel.date_utc >= t.at),
+ k AS (SELECT *, row_number() OVER (PARTITION BY date_utc ORDER BY turnover DESC, market) AS selected_rank FROM p WHERE NOT warned)
+ SELECT market, date_utc, round(turnover, 6) AS turnover, selected_rank FROM k WHERE selected_rank <= 2""",
+        "current_signals": f"""WITH {EVENTS}, a AS (SELECT ['click', 'view', 'purchase', 'nothing'][p_partkey % 4 + 1] AS asset, ['ma_cross', 'ma_cross_persist', 'ma_cross_exit_persist', 'ma_stack', 'adx'][p_partkey // 4 % 5 + 1] AS strategy_family,
+  2 + p_size % 3 AS s, 6 + p_size % 4 AS l, p_partkey % 3 + 1 AS k, p_partkey % 11 = 0 AS odd FROM part),
+ names AS (SELECT DISTINCT asset, strategy_family, s, l, CASE WHEN strategy_family IN ('ma_cross_persist', 'ma_cross_exit_persist') THEN k END AS k, strategy_family NOT IN ('ma_cross', 'adx') OR NOT odd AS fits,
+  asset || '_ma_' || CASE WHEN strategy_family = 'ma_stack' THEN 'stack_' ELSE '' END || '60m_' || s || '_' || l || CASE strategy_family WHEN 'ma_cross_persist' THEN '_persist' || k || '_every_bar' WHEN 'ma_cross_exit_persist' THEN '_exit_persist' || k || '_stateful' WHEN 'ma_stack' THEN '_12_every_bar' ELSE CASE WHEN odd THEN '_each_bar' ELSE '_every_bar' END END || '_fee5bp' AS run_name FROM a),
+ p AS (SELECT market, date_utc, trade_price, row_number() OVER (PARTITION BY market ORDER BY date_utc) AS n, count(*) OVER (PARTITION BY market) AS all_, {', '.join(f"CASE WHEN count(*) OVER {M.format(w - 1)} = {w} THEN avg(trade_price) OVER {M.format(w - 1)} END AS m{w}" for w in (2, 3, 4, 6, 7, 8, 9, 12))} FROM panel),
+ x AS (SELECT names.*, p.*, CASE s WHEN 2 THEN m2 WHEN 3 THEN m3 ELSE m4 END AS a1, CASE l WHEN 6 THEN m6 WHEN 7 THEN m7 WHEN 8 THEN m8 ELSE m9 END AS a2 FROM names JOIN p ON p.market = asset WHERE fits AND strategy_family <> 'adx'),
+ y AS (SELECT *, coalesce(a1 > a2, false) AS up, count(CASE WHEN a1 <= a2 THEN 1 END) OVER (PARTITION BY run_name ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS d3, count(CASE WHEN a1 <= a2 THEN 1 END) OVER (PARTITION BY run_name ORDER BY n ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS d2, (a1 <= a2)::INT AS d1 FROM x),
+ z AS (SELECT run_name AS name, any_value(strategy_family) AS family, max(date_utc) AS latest_at, arg_max(trade_price, n) AS latest_price,
+  CASE any_value(strategy_family) WHEN 'ma_cross' THEN arg_max(up, n) WHEN 'ma_stack' THEN arg_max(up AND coalesce(a2 > m12, false), n) WHEN 'ma_cross_persist' THEN count(CASE WHEN up AND n > all_ - k THEN 1 END) >= any_value(k)
+   ELSE coalesce(max(n) FILTER (up), 0) > coalesce(max(n) FILTER (CASE k WHEN 1 THEN d1 = 1 WHEN 2 THEN d2 = 2 ELSE d3 = 3 END), 0) END AS is_on FROM y GROUP BY 1),
+ e AS (SELECT names.*, z.*, CASE WHEN strategy_family = 'adx' THEN 'unsupported_strategy_family:adx' WHEN NOT fits THEN 'unsupported_' || strategy_family || '_run_name' WHEN z.latest_at IS NULL THEN 'no_prices' END AS error FROM names LEFT JOIN z ON z.name = names.run_name AND z.family = names.strategy_family)
+ SELECT asset, strategy_family, run_name, (error IS NULL)::INT AS supported, error, latest_at, round(latest_price, 6) AS latest_price, is_on::INT AS signal_on, is_on::INT::DOUBLE AS target_weight FROM e""",
         "fold_metrics": f"{start} SELECT * FROM both_",
         "fold_winners": f"{start} SELECT market, fold, run_id, is_air, oos_air, oos_cagr, oos_max_drawdown, oos_longest FROM won",
         "candidate_figures": f"""{start}, f AS (SELECT market, run_id, {_SQL_FIGURES}, round(median(is_air), 10) AS median_is_air, round(avg(is_air), 10) AS mean_is_air FROM both_ GROUP BY 1, 2),
