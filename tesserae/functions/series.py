@@ -164,6 +164,11 @@ def persistent(flag: Column, n: int) -> Column:
     return full(flag, n, (F.sum(flag).over(trailing(n)) >= n).cast("double"))
 
 
+def local_time(at: Column, hours: int = 9) -> Column:
+    """A time in UTC as the clock of a zone without summer time shows it; by default that of Seoul."""
+    return at + F.make_dt_interval(hours=F.lit(hours))
+
+
 def period_start(unit: str) -> Column:
     """day, week (from Monday) or month of the bar."""
     return F.date_trunc(unit, F.col("date_utc")).cast("timestamp_ntz")

@@ -25,7 +25,10 @@ FAMILIES = (
 FIGURES = {
     "total_return_pct": "Total Return [%]", "cagr_pct": "CAGR [%]", "annualized_information_ratio": "Annualized Information Ratio", "recent_1y_air": "Recent 1Y AIR",
     "benchmark_cagr_pct": "Benchmark CAGR [%]", "max_drawdown_pct": "Max Drawdown [%]", "sharpe_ratio": "Sharpe Ratio", "sortino_ratio": "Sortino Ratio", "calmar_ratio": "Calmar Ratio",
-    "win_rate_pct": "Win Rate [%]", "total_trades": "Total Trades", "start_value": "Start Value", "end_value": "End Value",
+    "win_rate_pct": "Win Rate [%]", "total_trades": "Total Trades",
+    "rolling_ir_126d_median": "Rolling IR 126d Median", "rolling_ir_126d_q25": "Rolling IR 126d Q25", "rolling_ir_126d_positive_ratio": "Rolling IR 126d Positive Ratio",
+    "rolling_ir_252d_median": "Rolling IR 252d Median", "rolling_ir_252d_q25": "Rolling IR 252d Q25", "rolling_ir_252d_positive_ratio": "Rolling IR 252d Positive Ratio",
+    "start_value": "Start Value", "end_value": "End Value",
 }
 WORDS = {"asset_scope": "Asset Scope", "strategy_family": "Strategy Family", "strategy_label": "Strategy Label", "timeframe": "Timeframe", "benchmark_market": "Benchmark Market", "status": "status", "start": "Start", "end": "End"}
 
@@ -68,7 +71,7 @@ def normalised(rows: DataFrame, kind: str, source: str = "source_dir", run_name:
         words["status"] = F.lit("ok")
     figures = [F.expr(f"try_cast({f'`{c}`' if c in rows.columns else f'`{other}`' if other in rows.columns else 'NULL'} AS DOUBLE)").alias(c) for c, other in FIGURES.items()]
     parameters = [F.col(f"`{c}`").cast("string").alias(c) for c in sorted(rows.columns) if c.startswith("parameter_")]
-    return rows.select(F.lit(kind).alias("record_type"), value(source).alias("source_dir"), F.coalesce(value(run_name), name).alias("run_name"), *[c.alias(n) for n, c in words.items()], *figures, *parameters)
+    return rows.select(F.lit(kind).alias("record_type"), value(source).alias("source_dir"), value("summary_path").alias("summary_path"), F.coalesce(value(run_name), name).alias("run_name"), *[c.alias(n) for n, c in words.items()], *figures, *parameters)
 
 
 def results_table(*parts: DataFrame) -> DataFrame:

@@ -23,9 +23,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(StringType()).alias(c) for c in df.columns])
 
 
-def widened(rows: DataFrame, value: str, markets: list[str]) -> DataFrame:
-    """One row a bar and one column a market. Markets are given: a column list is a driver's matter, and so is its size."""
-    return rows.groupBy("date_utc").pivot("market", markets).agg(F.first(value))
+def widened(rows: DataFrame, value: str, markets: list[str], how: str = "first") -> DataFrame:
+    """One row a bar and one column a market, of cells that repeat the first or the sum. Markets are given: a column list is a
+    driver's matter, and so is its size."""
+    if how not in ("first", "sum"):
+        raise ValueError(f"cells are first or sum, not {how}")
+    return rows.groupBy("date_utc").pivot("market", markets).agg({"first": F.first, "sum": F.sum}[how](value))
 
 
 def narrowed(wide: DataFrame, value: str, markets: list[str] | None = None) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tesserae.engine_queries import _up_universe
 from tesserae.engine_sql import SIGNALS, _carried, _chosen
-from tesserae.operators import backtest, portfolio, segments, shared, signals
+from tesserae.operators import backtest, portfolio, results, segments, shared, signals
 from tesserae.plans import payloads, runner, specs
 from tesserae.portfolio_queries import _LEVEL, YEAR, _levels
 from tesserae.queries import BRANDS, EVENTS, M, _out
 from tesserae.research_queries import _RUNS, FEE, _growth, _runs
 from tesserae.sinks import runs, tables
-from tesserae.sources import intervals, panels
+from tesserae.sources import intervals, panels, summaries
 
 WEEKS = 52
 _DIGITS = {"bars": 0, "longest": 0, "second": 0}
@@ -145,7 +145,27 @@ def current_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"latest_price": F.round("latest_price", 6), "supported": F.col("supported").cast("int"), "signal_on": F.col("signal_on").cast("int")})
 
 
-_QUERIES = (fold_metrics, fold_winners, candidate_figures, fold_winner_figures, grid_results, spec_account, explicit_weights, sorted_slice, feature_manifest, warned_universe, current_signals)
+def folder_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of results from folders of summaries with unlike columns, of grids and of single runs."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    price, name = F.col("p_retailprice"), F.concat(F.lit("btc_ma_cross_"), "p_partkey").alias("run_name")
+    folder = f"{shared.checkpoint_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    first = part.where("p_partkey % 4 = 0").select(name, (price / 100).alias("CAGR [%]"), (price / 7).alias("Rolling IR 126d Median"))
+    second = part.where("p_partkey % 4 = 1").select(F.concat(F.lit("a, \"b\" "), "p_partkey").alias("run_name"), F.lit("error").alias("status"), (price / 9).alias("Sharpe Ratio"), F.col("p_size").alias("parameter_size"))
+    alone = part.where("p_partkey % 4 = 2").groupBy("p_size").agg(F.max("p_retailprice").alias("CAGR [%]"), F.min("p_retailprice").alias("Sharpe Ratio"))
+    alone = alone.select(F.concat(F.lit("eth_mom_"), "p_size").alias("run"), F.explode(F.create_map(*[x for c in ("CAGR [%]", "Sharpe Ratio") for x in (F.lit(c), F.col(c))])).alias("index", "value"))
+    for rows, at in ((first, "grids/one"), (second, "grids/two"), (alone, "runs")):
+        writer = rows.coalesce(1).write.option("header", True).option("escape", '"')
+        (writer.partitionBy("run") if "run" in rows.columns else writer).csv(f"{folder}/{at}")
+    grids = summaries.widened(shared.materialised(summaries.grid_summaries(spark, f"{folder}/grids", "part-*.csv")))
+    runs_ = summaries.widened(shared.materialised(summaries.backtest_summaries(spark, f"{folder}/runs", "part-*.csv")))
+    out = shared.materialised(results.results_table(results.normalised(grids, "grid"), results.normalised(runs_, "backtest")))
+    tables.delete(spark, folder)
+    figures = [F.round(c, 6).alias(c) for c in ("cagr_pct", "sharpe_ratio", "rolling_ir_126d_median")]
+    return out.select("record_type", "source_dir", "run_name", "asset_scope", "status", *figures, "parameter_size", F.col("summary_path").endswith(".csv").cast("int").alias("has_path"))
+
+
+_QUERIES = (fold_metrics, fold_winners, candidate_figures, fold_winner_figures, grid_results, spec_account, explicit_weights, sorted_slice, feature_manifest, warned_universe, current_signals, folder_results)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -229,6 +249,9 @@ def oracle_sql() -> dict[str, str]:
    ELSE coalesce(max(n) FILTER (up), 0) > coalesce(max(n) FILTER (CASE k WHEN 1 THEN d1 = 1 WHEN 2 THEN d2 = 2 ELSE d3 = 3 END), 0) END AS is_on FROM y GROUP BY 1),
  e AS (SELECT names.*, z.*, CASE WHEN strategy_family = 'adx' THEN 'unsupported_strategy_family:adx' WHEN NOT fits THEN 'unsupported_' || strategy_family || '_run_name' WHEN z.latest_at IS NULL THEN 'no_prices' END AS error FROM names LEFT JOIN z ON z.name = names.run_name AND z.family = names.strategy_family)
  SELECT asset, strategy_family, run_name, (error IS NULL)::INT AS supported, error, latest_at, round(latest_price, 6) AS latest_price, is_on::INT AS signal_on, is_on::INT::DOUBLE AS target_weight FROM e""",
+        "folder_results": """SELECT 'grid' AS record_type, 'one' AS source_dir, 'btc_ma_cross_' || p_partkey AS run_name, '' AS asset_scope, NULL AS status, round(p_retailprice / 100, 6) AS cagr_pct, NULL::DOUBLE AS sharpe_ratio, round(p_retailprice / 7, 6) AS rolling_ir_126d_median, NULL AS parameter_size, 1 AS has_path FROM part WHERE p_partkey % 4 = 0
+ UNION ALL SELECT 'grid', 'two', 'a, "b" ' || p_partkey, '', 'error', NULL, round(p_retailprice / 9, 6), NULL, p_size::VARCHAR, 1 FROM part WHERE p_partkey % 4 = 1
+ UNION ALL SELECT 'backtest', 'run=eth_mom_' || p_size, 'run=eth_mom_' || p_size, '', 'ok', round(max(p_retailprice), 6), round(min(p_retailprice), 6), NULL, NULL, 1 FROM part WHERE p_partkey % 4 = 2 GROUP BY p_size""",
         "fold_metrics": f"{start} SELECT * FROM both_",
         "fold_winners": f"{start} SELECT market, fold, run_id, is_air, oos_air, oos_cagr, oos_max_drawdown, oos_longest FROM won",
         "candidate_figures": f"""{start}, f AS (SELECT market, run_id, {_SQL_FIGURES}, round(median(is_air), 10) AS median_is_air, round(avg(is_air), 10) AS mean_is_air FROM both_ GROUP BY 1, 2),
