@@ -160,29 +160,33 @@ def test_scans_in_two_levels_are_windows(spark):
     assert timeline.numbered(none).collect() == timeline.alive(markets, none).collect() == timeline.last_known(none, "x").collect() == []
 
 
+def plans_of(spark, query):
+    """The plan of a query and those of what it was made from."""
+    made, keep = [], shared.materialised
+
+    def told(df):
+        made.append(df)
+        return keep(df)
+
+    shared.materialised = told
+    try:
+        made.append(query(spark, "/root/testdata/sf0.001"))
+    finally:
+        shared.materialised = keep
+    return [df._jdf.queryExecution() for df in made]
+
+
 @pytest.mark.parametrize("name", ["shared_cash", "strategy_weights", "exposed_weights", "allocation", "incremental"])
 def test_no_window_holds_all_bars(spark, name):
     """A window without keys would begin with its order by date_utc; those over one row a range have the range there."""
-    plan = engine_queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = "".join(p.optimizedPlan().toString() for p in plans_of(spark, engine_queries.queries()[name]))
     assert "windowspecdefinition(market" in plan and not re.search(r"windowspecdefinition\(date_utc#\d+ (ASC|DESC)", plan)
 
 
 @pytest.mark.parametrize(("module", "name", "most"), [(engine_queries, "order_plan", 4), (engine_queries, "allocation", 4), (engine_queries, "shared_cash", 4), (portfolio_queries, "directional_index", 1), (portfolio_queries, "smoothings", 1)])
 def test_tables_are_scanned_once(spark, module, name, most):
     """What several branches read is computed once: table scans of the plan and of what it was made from."""
-    made = []
-    keep = shared.materialised
-
-    def counted(df):
-        made.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan"))
-        return keep(df)
-
-    shared.materialised = counted
-    try:
-        plan = module.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        shared.materialised = keep
-    assert plan.count("FileScan") + sum(made) <= most
+    assert sum(p.executedPlan().toString().count("FileScan") for p in plans_of(spark, module.queries()[name])) <= most
 
 
 def test_incremental_weights(spark):
