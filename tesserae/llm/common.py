@@ -8,6 +8,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tesserae-{name}-{uuid.uuid4().hex}"
 
 
-#: Folders that stored() made and drop_stored() has not deleted.
-_kept: list[str] = []
+#: Folders that stored() made in the run this context is in (see Stored) and that are not deleted; none outside of runs.
+_made: ContextVar[list[str] | None] = ContextVar("tesserae_made", default=None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -55,7 +56,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._tesserae_folder = folder
-    _kept.append(folder)
+    made = _made.get()
+    if made is not None:
+        made.append(folder)
     return out
 
 
@@ -71,19 +74,23 @@ def _delete(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    if folder in _kept:
-        _kept.remove(folder)
+    made = _made.get()
+    if made is not None and folder in made:
+        made.remove(folder)
 
 
 class Stored:
-    """Tables that follow on one another: when one is stored, all that was stored since the one before goes."""
+    """A run of tables that follow on one another: when one is stored, all that this run stored since the one before goes.
+
+    The run is the context's (its thread's, unless copied) from here on until another begins in it. Tables of other runs,
+    and tables stored outside of runs, are not its own and stay."""
 
     def __init__(self):
-        self.others = set(_kept)
+        self.made: list[str] = []
+        _made.set(self.made)
 
     def next(self, df: DataFrame, name: str) -> DataFrame:
-        old = [folder for folder in _kept if folder not in self.others]
-        out = stored(df, name)
+        old, out = list(self.made), stored(df, name)
         for folder in old:
             _delete(df.sparkSession, folder)
         release(df.sparkSession)

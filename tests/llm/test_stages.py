@@ -108,6 +108,37 @@ def test_stored_tables_go(spark):
     follow = common.Stored()
     first = follow.next(spark.range(3), "one")
     common.stored(spark.range(2), "between")
-    kept = len(common._kept)
+    kept = len(follow.made)
     second = follow.next(first.where("id > 0"), "two")
-    assert second.count() == 2 and len(common._kept) == kept - 1
+    assert second.count() == 2 and len(follow.made) == kept - 1
+
+
+def test_runs_leave_each_others_tables_alone(spark):
+    """Two runs in two threads, and a table stored outside of both."""
+    import threading
+
+    from tesserae.llm import common
+
+    held = common.stored(spark.range(3).toDF("n"), "held")
+    left, right = threading.Event(), threading.Event()
+    seen = {}
+
+    def run(name, mine, other):
+        follow = common.Stored()
+        part = common.stored(spark.range(5).toDF("n"), name)
+        mine.set()
+        other.wait(60)
+        first = follow.next(part.where("n > 0"), f"{name}-first")
+        second = follow.next(first.where("n > 1"), f"{name}-second")
+        seen[name] = (second.count(), part._tesserae_folder)
+
+    threads = [threading.Thread(target=run, args=(n, a, b)) for n, a, b in (("left", left, right), ("right", right, left))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert held.count() == 3 and {n: c for n, (c, _) in seen.items()} == {"left": 3, "right": 3}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for _, folder in seen.values():
+        gone = path(folder)
+        assert not gone.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(gone)
