@@ -9,8 +9,9 @@ that come later than the latest register cannot matter, so most shingles stop af
 Bands of registers put documents into buckets. In a bucket, pairs are never emitted as such: members are verified against
 one leader, the linked are joined into components, and only members still apart are taken further - to other leaders, and
 in the end to every member of another component they share a bucket with, so no link is left out because of a leader. In
-that last step a task holds one or two blocks of a bucket with their texts, verifies the pairs whose registers agree often
-enough, and returns links that join components. A link
+that last step a task holds one block of a bucket, and another block goes by it a member at a time; pairs whose registers
+agree often enough are verified, and links that join components are returned. The largest component of a bucket goes by the
+others' blocks and is not compared with itself, so a bucket that is one large class and a few others costs a pass. A link
 is a Jaccard similarity of shingle sets of 0.8 or more, counted on the texts: a change of one word takes five shingles, so copies with many
 scattered changes are below it and stay apart. Exact copies count as one text throughout.
 Leaders with many members are salted.
@@ -39,9 +40,9 @@ BANDS, ROWS = 20, 6
 #: Bands whose buckets get leaders, one turn after the other, before members still apart are compared with all of their
 #: bucket. Early turns take few bands: most copies then join a component at the cost of one comparison.
 TURNS = ((0, 1), tuple(range(2, BANDS)))
-#: Members of a bucket in one block and bytes of their texts, as a mean, and registers of 120 that must agree for two members still apart to be verified: a
+#: Members of a bucket in one block and bytes of their texts, as a mean (a task holds one block), and registers of 120 that must agree for two members still apart to be verified: a
 #: pair at similarity 0.8 has fewer with probability 2e-5.
-BLOCK, BLOCK_BYTES, AGREE = 4096, 32 << 20, 78
+BLOCK, BLOCK_BYTES, AGREE = 4096, 8 << 20, 78
 #: Members that one task compares with a leader.
 SALT = 512
 
@@ -100,64 +101,103 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, lists, sketches], ["doc_id", "key", "size", "bands", "sketch"])
 
 
-def _block_links(first: int, second: int, nodes: list, components: list, blocks: list, sketches: list, bands_of: list, texts: list, band: int) -> Iterator[tuple[int, int]]:
-    """Links between members of different components, of pairs that share no earlier band."""
-    block = np.array(blocks)
-    registers = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(nodes), -1)
-    earlier = np.array(bands_of, dtype=np.int64)[:, :band]
-    left, right = (np.arange(len(nodes)),) * 2 if first == second else (np.flatnonzero(block == first), np.flatnonzero(block == second))
-    sets = [shingles(t)[0] for t in texts]
-    sizes = np.array([len(x) for x in sets])
-    _, every = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    ids = [every[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    _, part = np.unique(np.array(components, dtype=np.int64), return_inverse=True)
-    root = np.arange(part.max() + 1)
-    mark = np.zeros(int(every.max()) + 1, dtype=bool)
-    others = registers[right].T.copy()
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        agree = np.zeros((len(rows), len(right)), dtype=np.uint8)
-        for mine, theirs in zip(registers[rows].T, others, strict=True):
-            agree += mine[:, None] == theirs[None, :]
-        for x, row in zip(rows.tolist(), agree, strict=True):
-            near = right[row >= AGREE]
-            near = near[(root[part[near]] != root[part[x]]) & ((near > x) if first == second else True)]
-            near = near[5 * np.minimum(sizes[near], sizes[x]) >= 4 * np.maximum(sizes[near], sizes[x])]
-            near = near[~(earlier[near] == earlier[x]).any(axis=1)]
-            if not len(near):
+class Held:
+    """Members of a block of a bucket, with the texts or, once they are needed, their shingles. Others are compared with them one by
+    one, so of those there is one text at a time."""
+
+    def __init__(self, band: int):
+        self.band, self.nodes, self.kept = band, [], []
+        self.part = np.zeros(64, dtype=np.int64)  # components as far as they are known here
+        self.registers, self.earlier = np.zeros((64, BANDS * ROWS), dtype=np.uint8), np.zeros((64, band), dtype=np.int64)
+        self.merged: dict[int, int] = {}
+
+    def part_of(self, component: int) -> int:
+        while component in self.merged:
+            component = self.merged[component]
+        return component
+
+    def shingles_of(self, place: int) -> np.ndarray:
+        if isinstance(self.kept[place], bytes):
+            self.kept[place] = shingles(self.kept[place])[0]
+        return self.kept[place]
+
+    def add(self, node: int, component: int, sketch: bytes, own: list, text: bytes) -> None:
+        n = len(self.nodes)
+        if n == len(self.part):
+            self.part, self.registers, self.earlier = (np.concatenate([x, np.zeros_like(x)]) for x in (self.part, self.registers, self.earlier))
+        self.part[n], self.registers[n], self.earlier[n] = self.part_of(component), np.frombuffer(sketch, dtype=np.uint8), own[: self.band]
+        self.nodes.append(node)
+        self.kept.append(text)
+
+    def links(self, node: int, component: int, sketch: bytes, own: list, text: bytes) -> Iterator[tuple[int, int]]:
+        """Links that join the member's component to others, of pairs that share no earlier band."""
+        n, part = len(self.nodes), self.part_of(component)
+        agree = np.count_nonzero(self.registers[:n] == np.frombuffer(sketch, dtype=np.uint8), axis=1)
+        near = np.flatnonzero((agree >= AGREE) & (self.part[:n] != part))
+        near = near[~(self.earlier[near] == np.array(own[: self.band], dtype=np.int64)).any(axis=1)]
+        if not len(near):
+            return
+        mine = shingles(text)[0]
+        for at in range(0, len(near), 64):
+            some = near[at : at + 64]
+            some = some[self.part[some] != part]
+            sizes = np.array([len(self.shingles_of(y)) for y in some.tolist()], dtype=np.int64)
+            fits = 5 * np.minimum(sizes, len(mine)) >= 4 * np.maximum(sizes, len(mine))
+            some, sizes = some[fits], sizes[fits]
+            if not len(some):
                 continue
-            mark[ids[x]] = True
-            starts = np.concatenate(([0], np.cumsum(sizes[near])[:-1]))
-            both = np.add.reduceat(mark[np.concatenate([ids[y] for y in near.tolist()])].astype(np.int64), starts)
-            mark[ids[x]] = False
-            for y in near[both >= SIMILARITY * (sizes[x] + sizes[near] - both)].tolist():
-                a, b = root[part[x]], root[part[y]]
-                if a != b:
-                    root[root == max(a, b)] = min(a, b)
-                    yield nodes[x], nodes[y]
+            theirs = np.concatenate([self.shingles_of(y) for y in some.tolist()])
+            found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+            for y in some[both >= SIMILARITY * (len(mine) + sizes - both)].tolist():
+                other = int(self.part[y])
+                if other != part:
+                    low, high = min(part, other), max(part, other)
+                    self.merged[high] = low
+                    self.part[:n][self.part[:n] == high] = low
+                    part = low
+                    yield self.nodes[y], node
 
 
 def _apart_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of buckets, one after the other, to links that join components."""
-    group: list | None = None
-    held: tuple[list, ...] = ([], [], [], [], [], [])
-
-    def links() -> pa.RecordBatch:
-        found = list(_block_links(group[2], group[3], *held, group[0]))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
+    """Rows sorted by (band, value, first, second, place) to links that join components. Members of the first block are held, those of
+    the second go by; where both are one block, each member goes by those before it and is held."""
+    group, held = None, Held(0)
     for batch in batches:
-        texts = list(common.text_bytes(batch))
-        for text, *key, node, component, block, sketch, own in zip(texts, *(c.to_pylist() for c in batch.columns[:-1]), strict=True):
+        out: tuple[list, list] = ([], [])
+        *keys, places, nodes, components, sketches, bands_of = (c.to_pylist() for c in batch.columns[:-1])
+        for *key, place, node, component, sketch, own, text in zip(*keys, places, nodes, components, sketches, bands_of, common.text_bytes(batch), strict=True):
             if key != group:
-                if group is not None:
-                    yield links()
-                group, held = key, ([], [], [], [], [], [])
-            for column, value in zip(held, (node, component, block, sketch, own, text), strict=True):
-                column.append(value)
-    if group is not None:
-        yield links()
+                group, held = key, Held(key[0])
+            member = node, component, sketch, own, text
+            if place or key[2] == key[3]:
+                for a, b in held.links(*member):
+                    out[0].append(a)
+                    out[1].append(b)
+            if not place:
+                held.add(*member)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+
+def in_blocks(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """band, value, first, second, place, node, component: members of buckets with several components, once for each pair of
+    blocks they are in. The component of a bucket with most bytes has blocks of its own that meet the other blocks only.
+    Also the stored table of buckets, to be dropped."""
+    parts = labelled.groupBy("band", "value", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    top = F.max(F.struct("bytes", "component", "n"))
+    buckets = parts.groupBy("band", "value").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), top.alias("top")).where("parts > 1")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+
+    top_n, top_bytes = F.col("top.n"), F.col("top.bytes")
+    buckets = common.stored(buckets.select("band", "value", F.col("top.component").alias("top"), blocks(top_n, top_bytes).alias("large"), blocks(F.col("n") - top_n, F.col("bytes") - top_bytes).alias("small")), "blocks")
+    here = labelled.join(buckets, ["band", "value"])
+    large, place = F.col("component") == F.col("top"), F.xxhash64("node", "band")
+    here = here.withColumn("block", F.when(large, F.col("small") + F.pmod(place, F.col("large"))).otherwise(F.pmod(place, F.col("small"))).cast("int"))
+    here = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("small") - 1 + F.when(large, 0).otherwise(F.col("large")))))
+    first = F.least("block", "other")
+    return here.select("band", "value", first.alias("first"), F.greatest("block", "other").alias("second"), (F.col("block") > first).cast("int").alias("place"), "node", "component"), buckets
 
 
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +263,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             pairs = labelled.join(leader.select("band", "value", F.col("l.node").alias("a"), F.col("l.component").alias("ca")), ["band", "value"])
             pairs = pairs.where("component <> ca").select("a", F.col("node").alias("b"))
         else:
-            sizes = labelled.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-            blocks = common.stored(sizes.select("band", "value", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
+            placed, blocks = in_blocks(labelled)
             made.append(blocks)
-            here = labelled.join(blocks, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
-            sketched = here.join(nodes, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            sketched = sketched.select("band", "value", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "component", "block", "sketch", "bands", "text")
-            sketched = sketched.repartition("band", "value", "first", "second").sortWithinPartitions("band", "value", "first", "second")
+            order = ["band", "value", "first", "second"]
+            sketched = placed.join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node").select(*order, "place", "node", "component", "sketch", "bands", "text")
+            sketched = sketched.repartition(*order).sortWithinPartitions(*order, "place")
             found = common.stored(sketched.mapInArrow(_apart_rows, "a bigint, b bigint"), "links")
             made.append(found)
             links = found if links is None else links.unionByName(found)
