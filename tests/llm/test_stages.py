@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tesserae.llm import common, embeddings, minhash, mixing, toxicity
 
 
@@ -40,8 +42,12 @@ def test_clashes_in_toxicity(spark):
     assert all(r[0] == r[3] == r[5] for r in rows) and {r[0] for r in rows} == {k for k in range(60) if k % 4}
 
 
-def test_classes_are_an_exact_join(spark):
-    """Copies with 0 to 12 scattered changes of 200 words: similarities from 0.55 to 1, many near the threshold."""
+@pytest.mark.parametrize(("block", "turns"), [(minhash.BLOCK, minhash.TURNS), (2, ())])
+def test_classes_are_an_exact_join(spark, monkeypatch, block, turns):
+    """Copies with 0 to 12 scattered changes of 200 words: similarities from 0.55 to 1, many near the threshold. Leaders are not
+    needed for it: blocks of two members, each pair of blocks in a task, find the same links."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "TURNS", turns)
     texts = []
     for family in range(40):
         base = passage(family, 200).split()
@@ -86,6 +92,23 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert {r["class_id"] for r in minhash.near_duplicates(df).collect()} == {0}
 
 
+def test_held_members_link_in_order():
+    """Members that go by join components once, and not those that an earlier band has brought together."""
+    one, other = " ".join(f"a{k}" for k in range(300)).encode(), " ".join(f"b{k}" for k in range(300)).encode()
+    near = one + b" tail"
+    (bands_one, sketch), (bands_near, sketch_near), (bands_other, sketch_other) = minhash.bands(one), minhash.bands(near), minhash.bands(other)
+    held = minhash.Held(0)
+    held.add(1, 1, sketch, common.signed(bands_one).tolist(), one)
+    held.add(2, 2, sketch_other, common.signed(bands_other).tolist(), other)
+    held.add(3, 3, sketch, common.signed(bands_one).tolist(), one)
+    assert list(held.links(4, 4, sketch_near, common.signed(bands_near).tolist(), near)) == [(1, 4), (3, 4)]
+    assert list(held.links(5, 4, sketch_near, common.signed(bands_near).tolist(), near)) == []  # all in one component by now
+    later = minhash.Held(minhash.BANDS)
+    shared = common.signed(bands_one).tolist()
+    later.add(1, 1, sketch, shared, one)
+    assert list(later.links(4, 4, sketch, shared, one)) == []
+
+
 def test_embedding_counts_decide(spark, monkeypatch):
     """Only pairs with enough collisions are verified, and they are few among pairs far apart."""
     import numpy as np
