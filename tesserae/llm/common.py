@@ -33,14 +33,22 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where none is set. On a
+    cluster a warehouse on the driver's own disk is not shared, so there ValueError asks for spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tesserae-shared"
+        if folder.startswith(("file:", "/")) and not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tesserae-{name}-{uuid.uuid4().hex}"
 
@@ -236,19 +244,22 @@ class Recent:
 # --------------------------------------------------------------------------- connected components
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 40) -> DataFrame:
+def summary(edges: DataFrame) -> tuple:
+    """The number of edges, and a sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of `edges`; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges no longer change. A step is a group minimum and an
+    Alternates large-star and small-star steps until the edges no longer change, as after some steps they do: the number of
+    steps grows with the square of the logarithm of the nodes at most, and none is set here. A step is a group minimum and an
     equi-join, so a node with very many neighbours is split like any skewed join key. Edges stay in the shared folder.
     """
     spark = edges.sparkSession
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    for _ in range(most):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
+    state, seen = summary(now), None
+    while state != seen:
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -257,9 +268,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = stored(small, "edges")
         drop_stored(now)
-        now = after
-    else:
-        raise RuntimeError("the components did not settle")
+        now, state = after, summary(after)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     release(spark)

@@ -165,3 +165,35 @@ def test_runs_leave_each_others_tables_alone(spark):
     for _, folder in seen.values():
         gone = path(folder)
         assert not gone.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(gone)
+
+
+def test_components_of_a_long_path(spark):
+    """A path takes most steps; a star beside it is another component."""
+    path = [(k, k + 1) for k in range(100, 300)]
+    edges = spark.createDataFrame([*path, *((7, k) for k in range(10, 60)), (8, 8)], "a long, b long")
+    got = dict(common.connected_components(edges).collect())
+    assert got == {k: 100 for k in range(100, 301)} | {7: 7} | {k: 7 for k in range(10, 60)}
+
+
+class Unset:
+    """A session with no checkpoint folder whose warehouse is on the driver's disk."""
+
+    def __init__(self, master):
+        self.master = master
+        self.sparkContext = self.conf = self
+
+    def get(self, key, default=None):
+        return "file:/warehouse" if key == "spark.sql.warehouse.dir" else default
+
+    def getCheckpointDir(self):
+        return None
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    assert common.shared_folder(Unset("local[4]")) == "file:/warehouse/tesserae-shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_folder(Unset(master))
