@@ -155,8 +155,9 @@ def folder_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     alone = part.where("p_partkey % 4 = 2").groupBy("p_size").agg(F.max("p_retailprice").alias("CAGR [%]"), F.min("p_retailprice").alias("Sharpe Ratio"))
     alone = alone.select(F.concat(F.lit("eth_mom_"), "p_size").alias("run"), F.explode(F.create_map(*[x for c in ("CAGR [%]", "Sharpe Ratio") for x in (F.lit(c), F.col(c))])).alias("index", "value"))
     for rows, at in ((first, "grids/one"), (second, "grids/two"), (alone, "runs")):
-        writer = rows.coalesce(1).write.option("header", True).option("escape", '"')
-        (writer.partitionBy("run") if "run" in rows.columns else writer).csv(f"{folder}/{at}")
+        single = "run" in rows.columns  # a run is one file
+        writer = (rows.repartition("run") if single else rows).write.option("header", True).option("escape", '"')
+        (writer.partitionBy("run") if single else writer).csv(f"{folder}/{at}")
     grids = summaries.widened(shared.materialised(summaries.grid_summaries(spark, f"{folder}/grids", "part-*.csv")))
     runs_ = summaries.widened(shared.materialised(summaries.backtest_summaries(spark, f"{folder}/runs", "part-*.csv")))
     out = shared.materialised(results.results_table(results.normalised(grids, "grid"), results.normalised(runs_, "backtest")))

@@ -65,6 +65,24 @@ def test_summaries_of_folders(spark, tmp_path):
     assert all(r["summary_path"].endswith(".csv") for r in table.collect()) and "rolling_ir_252d_q25" in table.columns
 
 
+def test_large_summaries_are_read_in_pieces(spark, tmp_path):
+    (tmp_path / "g/a").mkdir(parents=True)
+    rows = "".join(f"run-{i},{'x' * 40},{i}\r\n" for i in range(4000))
+    (tmp_path / "g/a/summary_results.csv").write_text("\ufeff\r\n \r\nrun_name,k,v\r\n" + rows, encoding="utf-8")
+    (tmp_path / "b/one").mkdir(parents=True)
+    (tmp_path / "b/one/summary.csv").write_text("index,value\n" + "".join(f"f{i % 500},{i}\n" for i in range(5000)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines = summaries._lines(spark, f"{tmp_path}/g", "summary_results.csv")[1]
+        assert lines.select("place.block").distinct().count() > 10
+        grid, alone = summaries.grid_summaries(spark, f"{tmp_path}/g"), summaries.backtest_summaries(spark, f"{tmp_path}/b")
+        assert sorted((r["figures"]["run_name"], int(r["figures"]["v"])) for r in grid.collect()) == sorted((f"run-{i}", i) for i in range(4000))
+        assert alone.collect()[0]["figures"] == {f"f{i}": str(4500 + i) for i in range(500)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def signal_loop(prices, family, numbers):
     mean = lambda i, n: sum(prices[i - n + 1 : i + 1]) / n if i >= n - 1 else None
     above = [mean(i, numbers[0]) is not None and mean(i, numbers[1]) is not None and mean(i, numbers[0]) > mean(i, numbers[1]) for i in range(len(prices))]
