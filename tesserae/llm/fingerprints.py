@@ -47,13 +47,15 @@ def _halves(term_hash: Column) -> list[Column]:
     return [term_hash, F.xxhash64(term_hash)]
 
 
-def fingerprints(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, high, low: the fingerprints of texts as two longs each, one for every key, whatever the words in its rows."""
+def fingerprints(texts: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
+    """key, high, low: the fingerprints of texts as two longs each, one for every key (a column or several), whatever the words
+    in its rows. Texts that are dealt by a column of the key are summed up where they are."""
+    key = [key] if isinstance(key, str) else key
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(common.WORD_PATTERN), F.lit(0))
     zipped = F.transform(F.array(words), lambda w: F.arrays_zip(w.alias("word"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("after")))[0]
-    pairs = texts.select(key, F.inline_outer(zipped).alias("word", "after"))
+    pairs = texts.select(*key, F.inline_outer(zipped).alias("word", "after"))
     hashed = pairs.select(
-        key,
+        *key,
         *[h.alias(f"w{i}") for i, h in enumerate(_halves(F.xxhash64("word")))],
         *[h.alias(f"p{i}") for i, h in enumerate(_halves(F.xxhash64("word", "after")))],
         F.when(F.col("word").isNotNull(), WORD_WEIGHT).otherwise(0).cast("bigint").alias("word_weight"),
@@ -64,7 +66,7 @@ def fingerprints(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
         one = lambda h: F.shiftright(h, bit).bitwiseAND(F.lit(_LANES))
         return F.sum(one(F.col(f"w{half}")) * F.col("word_weight") + one(F.col(f"p{half}")) * F.col("pair_weight")).alias(f"v{half}_{bit}")
 
-    counted = hashed.groupBy(key).agg(F.sum(F.col("word_weight") + F.col("pair_weight")).alias("all"), *[votes(half, bit) for half in range(2) for bit in range(32)])
+    counted = hashed.groupBy(*key).agg(F.sum(F.col("word_weight") + F.col("pair_weight")).alias("all"), *[votes(half, bit) for half in range(2) for bit in range(32)])
 
     def bits(half: int) -> Column:
         out = F.lit(0).cast("bigint")
@@ -74,7 +76,7 @@ def fingerprints(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
                 out = out.bitwiseOR(F.when(2 * count > F.col("all"), F.lit(1 << place if place < 63 else -1 << 63)).otherwise(F.lit(0)).cast("bigint"))
         return out
 
-    return counted.select(key, bits(0).alias("high"), bits(1).alias("low"))
+    return counted.select(*key, bits(0).alias("high"), bits(1).alias("low"))
 
 
 def as_text(high: str, low: str) -> Column:
@@ -157,7 +159,7 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS, every: int = QU
     order = next_documents(docs)
     edited = edited_documents(docs, order)
     both = edited.select("key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t"))
-    prints = fingerprints(both.select(F.struct("key", "t.kind").alias("name"), "t.text"), "name").select("name.key", "name.kind", "high", "low")
+    prints = fingerprints(both.select("key", "t.kind", "t.text"), ["key", "kind"])  # no shuffle: the texts lie by key
     pick = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))
     wide = prints.groupBy("key").agg(*[pick(kind, column).alias(("", "edited_")[kind] + column) for kind in range(2) for column in ("high", "low")])
     told = common.stored(edited.select("key", F.sha2("edited", 256).alias("edited_sha256")).join(wide, "key"), "prints")

@@ -12,7 +12,7 @@ import duckdb
 import pytest
 import xxhash
 
-from tesserae.llm import filter_audit, fingerprints, registry, source_divergence
+from tesserae.llm import common, filter_audit, fingerprints, registry, source_divergence
 from tesserae.llm.term_trie import TermTrie, packed, unpacked
 
 SMALL = "/root/testdata/sf0.001"
@@ -160,6 +160,17 @@ def test_fingerprints_against_brute_force(spark):
     assert any(r.n_near for r in got)
 
 
+def test_fingerprints_are_summed_up_where_texts_lie(spark, monkeypatch):
+    dealt = table(spark, [(i, f"a b {i} c d", None, None) for i in range(40)]).selectExpr("doc_id % 9 AS key", "doc_id % 2 AS kind", "text").repartition(4, "key")
+    plan = fingerprints.fingerprints(dealt, ["key", "kind"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    plans, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stored(df, name))
+    fingerprints.document_fingerprints(table(spark, [(i, f"a b {i} c d", None, None) for i in range(40)])).collect()
+    dealt_by = set(re.findall(r"hashpartitioning\(([^)]*)\)", next(plan for name, plan in plans if name == "prints")))
+    assert dealt_by and all(re.fullmatch(r"key#\d+, \d+", by) for by in dealt_by)
+
+
 def test_fingerprints_of_small_tables(spark):
     assert fingerprints.document_fingerprints(table(spark, [])).collect() == []
     lone = fingerprints.document_fingerprints(table(spark, [(3, "a b c d", None, None)])).first()
