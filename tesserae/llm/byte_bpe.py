@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ from tesserae.llm import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries in a worker's cache of encoded pieces, about 0.2 KB each; it stays from task to task.
-CACHE = 150_000
+CACHE = 60_000
+#: Characters of the texts whose pieces are encoded together, but for one longer text.
+TOGETHER = 2_000_000
 #: The vocabulary's pattern within Latin-1, with the alternatives that begin alike first.
 _L, _N = common.LATIN_LETTERS, common.LATIN_NUMBERS
 _LATIN = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
@@ -80,8 +83,9 @@ class ByteBPE:
         self.spelled: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.spelled[rank] = token
-        #: Lengths of the tokens that end in some two bytes or three, longest first.
-        self.lengths: dict[bytes, tuple[int, ...]] = {}
+        self._spelled = pa.array(self.spelled, pa.binary())
+        #: By the last four bytes, or what a shorter prefix has: (size, token) of what may end there, longest first; token is -1 where the size is over four.
+        self.endings: dict[bytes, tuple[tuple[int, int], ...]] = {}
         self._follows: dict[int, bool] = {}
         self._pieces = common.Recent(cache)
         self._parents()
@@ -104,18 +108,19 @@ class ByteBPE:
             else:
                 self.parents[rank] = None
         self.steps: dict[bytes, int] = {}
-        ending: dict[bytes, set[int]] = {}
+        longer: dict[bytes, set[int]] = {}
         for rank, pair in self.parents.items():
             token = self.spelled[rank]
             if pair is not None or len(token) == 1:  # a token that merges do not reach is never the last of a prefix
                 self.steps[token] = rank
-                ending.setdefault(token[-3:], set()).add(len(token))
-        for tail, sizes in list(ending.items()):
-            if len(tail) == 3:
-                sizes |= ending.get(tail[1:], set())
-            if len(tail) > 1:
-                sizes |= ending.get(tail[-1:], set())
-        self.lengths = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in ending.items()}
+                sizes = longer.setdefault(token[-4:], set())
+                if len(token) > 4:
+                    sizes.add(len(token))
+        short = {token: (len(token), rank) for token, rank in self.steps.items() if len(token) <= 4}
+        unknown = [(size, -1) for size in range(max(map(len, self.steps), default=0) + 1)]
+        for tail, sizes in longer.items():
+            ends = (tail[i:] for i in range(len(tail)))
+            self.endings[tail] = (*(unknown[n] for n in sorted(sizes, reverse=True)), *(short[end] for end in ends if end in short))
         self.longest = max(map(len, self.steps), default=1)
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -151,24 +156,27 @@ class ByteBPE:
 
     def extend(self, data: bytes | bytearray, last: list[int], first: int) -> None:
         """Append to `last` the last tokens of the prefixes of lengths first..len(data)."""
-        ranks, lengths, follows, may_follow, longest = self.steps.get, self.lengths.get, self._follows.get, self.may_follow, self.longest
-        for end in range(first, len(data) + 1):
-            near = bytes(data[end - longest if end > longest else 0 : end])
-            sizes = lengths(near[-3:]) or lengths(near[-2:]) or (1,)
-            for size in sizes:
+        ranks, endings, follows, may_follow = self.steps.get, self.endings.get, self._follows.get, self.may_follow
+        base = max(0, first - 1 - self.longest)  # no token that ends from here on starts before it
+        near = bytes(data[base:]) if base or not isinstance(data, bytes) else data
+        for end in range(first - base, len(near) + 1):
+            at = end - 4 if end > 4 else 0
+            while (ends := endings(near[at:end])) is None and at < end:
+                at += 1
+            for size, token in ends or ():
                 start = end - size
-                if start < 0 or (token := ranks(near[-size:])) is None:
+                if token < 0 and (start < 0 or (token := ranks(near[start:end])) is None):
                     continue
-                if start == 0:
+                if start + base == 0:
                     last.append(token)
                     break
-                before = last[start]
+                before = last[start + base]
                 known = follows(before << 32 | token)
                 if may_follow(before, token) if known is None else known:
                     last.append(token)
                     break
             else:
-                raise ValueError(f"the vocabulary has no token for byte {data[end - 1]}")
+                raise ValueError(f"the vocabulary has no token for byte {near[end - 1]}")
 
     def walk_back(self, last: list[int]) -> list[int]:
         out, at = [], len(last) - 1
@@ -177,28 +185,49 @@ class ByteBPE:
             at -= len(self.spelled[last[at]])
         return out[::-1]
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Matches of the pattern in any order, best sorted: the entries for a prefix that a match shares with the one before it
+        stay. A match that is itself a token is that token."""
+        out, last, before = [], [-1], b""
+        for data in pieces:
+            whole = self.ranks.get(data)
+            if whole is not None:
+                out.append([whole])
+                continue
+            shared = 0
+            for x, y in zip(before, data, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            self.extend(data, last, shared + 1)
+            out.append(self.walk_back(last))
+            before = data
+        return out
+
     def encode_piece(self, data: bytes) -> list[int]:
-        """One match of the pattern; a match that is itself a token is that token."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        last = [-1]
-        self.extend(data, last, 1)
-        return self.walk_back(last)
+        return self.encode_pieces([data])[0]
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        pieces = (_LATIN if common.is_latin(text) else _pattern()).findall(text)
-        found = self._pieces.all(pieces)
-        if None in found:
-            missed = dict.fromkeys(p for p, ids in zip(pieces, found, strict=True) if ids is None)
-            new = {p: np.array(self.encode_piece(p.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes() for p in missed}
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Matches that the memo lacks are encoded once for all texts, in order of their bytes."""
+        cut = [(_LATIN if common.is_latin(text) else _pattern()).findall(text) for text in texts]
+        found = [self._pieces.all(pieces) for pieces in cut]
+        missed = {p for pieces, known in zip(cut, found, strict=True) if None in known for p, ids in zip(pieces, known, strict=True) if ids is None}
+        if missed:
+            by_bytes = sorted((p.encode("utf-8", "surrogatepass"), p) for p in missed)
+            new = {p: array("I", ids).tobytes() for (_, p), ids in zip(by_bytes, self.encode_pieces([b for b, _ in by_bytes]), strict=True)}
             self._pieces.add(new)
-            found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        return b"".join(found)
+            found = [[new[p] if ids is None else ids for p, ids in zip(pieces, known, strict=True)] for pieces, known in zip(cut, found, strict=True)]
+        return [b"".join(x) for x in found]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        taken = self._spelled.take(pa.array(np.frombuffer(ids, dtype="<u4")))
+        size = int(np.frombuffer(taken.buffers()[1], dtype="<i4", count=len(taken) + 1)[-1]) if len(taken) else 0
+        return taken.buffers()[2].slice(0, size).to_pybytes() if size else b""
 
 
 _compiled = None
@@ -230,6 +259,20 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _together(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column (null: empty) in lists of about TOGETHER characters."""
+    texts, size = [], 0
+    for value in column:
+        text = value.as_py() or ""
+        texts.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit; if asked for), n_tokens, ids_sha256, decoded_sha256."""
 
@@ -237,12 +280,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
         bpe = load(path or vocabulary_path())
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                rows[0].append(ids if with_ids else None)
-                rows[1].append(len(ids) // 4)
-                rows[2].append(hashlib.sha256(ids).hexdigest())
-                rows[3].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            for texts in _together(batch.column(1)):
+                for ids in bpe.encode_all(texts):
+                    rows[0].append(ids if with_ids else None)
+                    rows[1].append(len(ids) // 4)
+                    rows[2].append(hashlib.sha256(ids).hexdigest())
+                    rows[3].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             columns = [batch.column(0), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())]
             out = pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
             yield out if with_ids else out.drop_columns(["ids"])

@@ -52,6 +52,18 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_byte_bpe_encodes_missed_pieces_once_and_keeps_shared_prefixes(monkeypatch):
+    bpe, done = byte_bpe.ByteBPE(byte_bpe.read_ranks(byte_bpe.vocabulary_path())), []
+    extend = bpe.extend
+    monkeypatch.setattr(bpe, "extend", lambda data, last, first: (done.append(len(data) - first + 1), extend(data, last, first))[1])
+    texts = [" qzxqzxqzx" + "abcdefgh"[i % 8] + " qzxqzxqzxz" * (i % 3) for i in range(200)] + ["", "\u00e9" * 70 + "x"]
+    got = bpe.encode_all(texts)
+    assert sum(done) < 10 + 2 * 9 + 141 and bpe.encode_all(texts[::-1]) == got[::-1]
+    assert [bpe.decode(ids) for ids in got] == [text.encode() for text in texts]
+    fresh = byte_bpe.ByteBPE(bpe.ranks)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[:8]] == [[t for piece in byte_bpe._LATIN.findall(text) for t in fresh.encode_piece(piece.encode())] for text in texts[:8]]
+
+
 def test_byte_bpe_is_the_library(docs, texts):
     import public_tokenizers
     import tiktoken
