@@ -243,14 +243,12 @@ def _pattern():
     return _compiled
 
 
-_loaded: dict[tuple[str, int], ByteBPE] = {}
-
-
 def load(path: str, cache: int = CACHE) -> ByteBPE:
-    """The vocabulary, read once in each worker."""
-    if (path, cache) not in _loaded:
-        _loaded[path, cache] = ByteBPE(read_ranks(path), cache)
-    return _loaded[path, cache]
+    """The vocabulary, read once in each worker, and again after tasks of other operators."""
+    loaded = common.held("byte_bpe")
+    if (path, cache) not in loaded:
+        loaded[path, cache] = ByteBPE(read_ranks(path), cache)
+    return loaded[path, cache]
 
 
 def vocabulary_path() -> str:
@@ -279,19 +277,22 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or vocabulary_path())
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
+            done = 0
             for texts in _together(batch.column(1)):
-                for ids in bpe.encode_all(texts):
-                    rows[0].append(ids if with_ids else None)
-                    rows[1].append(len(ids) // 4)
-                    rows[2].append(hashlib.sha256(ids).hexdigest())
-                    rows[3].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            columns = [batch.column(0), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())]
-            out = pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out if with_ids else out.drop_columns(["ids"])
+                coded = bpe.encode_all(texts)
+                columns = [
+                    batch.column(0).slice(done, len(texts)),
+                    pa.array(coded if with_ids else [None] * len(texts), pa.binary()),
+                    pa.array([len(ids) // 4 for ids in coded], pa.int64()),
+                    pa.array([hashlib.sha256(ids).hexdigest() for ids in coded], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in coded], pa.string()),
+                ]
+                done += len(texts)
+                out = pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield out if with_ids else out.drop_columns(["ids"])
 
     ids = "ids binary, " if with_ids else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run, "byte_bpe"), f"doc_id bigint, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -303,7 +304,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [bpe.decode(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(common.lean(run, "byte_bpe"), "doc_id bigint, text string")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ Words are maximal runs of characters other than space and U+0009 to U+000D, unch
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 import numpy as np
@@ -115,6 +116,44 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# --------------------------------------------------------------------------- memory of Python workers
+
+#: By operator, what its tasks keep in a worker.
+_held: dict[str, dict] = {}
+
+
+def held(name: str) -> dict:
+    """What tasks of an operator keep from one to the next in this worker."""
+    return _held.setdefault(name, {})
+
+
+def _only(name: str | None) -> None:
+    for other in [x for x in _held if x != name]:
+        del _held[other]
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task for mapInArrow whose worker, idle beside later stages, does not hold on to what the task has freed, nor to what
+    tasks of operators other than `keeps` kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _only(keeps)
+        try:
+            yield from task(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 # --------------------------------------------------------------------------- hashing of words
 
 

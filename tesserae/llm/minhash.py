@@ -225,7 +225,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"), F.lit(0).alias("place"))
     rows = members.unionByName(leaders).join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text", "place")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "place").drop("place")
-    return rows.mapInArrow(_verify_rows, "a bigint, b bigint")
+    return rows.mapInArrow(common.lean(_verify_rows), "a bigint, b bigint")
 
 
 def text_key(text: str = "text") -> Column:
@@ -237,7 +237,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, component) of all texts that are linked to others, and (doc_id, key, node) of all rows; a node numbers a text
     with words, a component is the smallest node in it."""
     spark = docs.sparkSession
-    rows = common.stored(docs.select("doc_id", text_key().alias("key"), F.octet_length("text").cast("bigint").alias("size"), "text").mapInArrow(_band_rows, "doc_id bigint, key binary, size bigint, bands array<bigint>, sketch binary"), "bands")
+    rows = common.stored(docs.select("doc_id", text_key().alias("key"), F.octet_length("text").cast("bigint").alias("size"), "text").mapInArrow(common.lean(_band_rows), "doc_id bigint, key binary, size bigint, bands array<bigint>, sketch binary"), "bands")
     nodes = rows.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.min("doc_id").alias("doc_id"))
     nodes = common.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers that stay, as they are written
     buckets = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
@@ -268,7 +268,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             order = ["band", "value", "first", "second"]
             sketched = placed.join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node").select(*order, "place", "node", "component", "sketch", "bands", "text")
             sketched = sketched.repartition(*order).sortWithinPartitions(*order, "place")
-            found = common.stored(sketched.mapInArrow(_apart_rows, "a bigint, b bigint"), "links")
+            found = common.stored(sketched.mapInArrow(common.lean(_apart_rows), "a bigint, b bigint"), "links")
             made.append(found)
             links = found if links is None else links.unionByName(found)
             component = common.connected_components(links)

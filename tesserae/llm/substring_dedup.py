@@ -272,7 +272,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key, spans: for each document that repeats others, the merged runs of words [from, to) to remove."""
     spark = docs.sparkSession
     keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
-    rows = common.stored(keyed.mapInArrow(_segment_rows, SEGMENT_ROWS), "segments")
+    rows = common.stored(keyed.mapInArrow(common.lean(_segment_rows), SEGMENT_ROWS), "segments")
 
     # Anchors of two documents or more, and whether their segments differ. Stored, so that a hot anchor of the join is split.
     anchors = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("segment").alias("c"), F.max("segment").alias("d"))
@@ -287,12 +287,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     # Different segments of one anchor: the windows of the first document's occurrence of each.
     chosen = shared.join(first.where("differ").select("anchor", "segment", F.col("first").alias("doc_id")), ["anchor", "segment", "doc_id"])
-    windows = common.stored(_with_texts(keyed, chosen, "anchor", "start", "count").mapInArrow(_window_rows, "anchor bigint, doc_id bigint, key bigint, start int, hash bigint"), "windows")
+    windows = common.stored(_with_texts(keyed, chosen, "anchor", "start", "count").mapInArrow(common.lean(_window_rows), "anchor bigint, doc_id bigint, key bigint, start int, hash bigint"), "windows")
     earliest = common.stored(windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "earliest")
     same = windows.join(earliest, ["anchor", "hash"]).select("doc_id", "key", "first", "start", F.lit(1).alias("count"))
 
     named = _with_texts(keyed, equal.unionByName(same), "first", "start", "count")
-    runs = common.stored(named.mapInArrow(_run_rows, RUN_ROWS), "runs")
+    runs = common.stored(named.mapInArrow(common.lean(_run_rows), RUN_ROWS), "runs")
     common.drop_stored(shared, first, windows, earliest)
     common.release(spark)
 
@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("salt", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0))).when(F.col("other"), F.array(F.pmod(F.hash("doc_id", "key"), F.size("salts")))).otherwise(F.col("salts"))))
     dealt = dealt.withColumn("piece", F.explode(F.when(~F.col("other"), F.array("piece")).when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(F.col("pieces"))))
     dealt = dealt.select("reference", "piece", "salt", "other", "doc_id", "key", "start", "words").repartition("reference", "piece", "salt").sortWithinPartitions("reference", "piece", "salt", "other")
-    matched = dealt.mapInArrow(_match_rows, "doc_id bigint, key bigint, start int, count int")
+    matched = dealt.mapInArrow(common.lean(_match_rows), "doc_id bigint, key bigint, start int, count int")
     spans = matched.groupBy("doc_id", "key").agg(F.collect_list(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("count") + (WINDOW - 1)).alias("to"))).alias("spans"))
     out = common.stored(spans, "spans")
     common.drop_stored(runs, shards)
@@ -347,7 +347,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 out[2].append(hashlib.sha256(_joined(data) if left is None else left).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(docs).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _with_spans(docs).mapInArrow(common.lean(run), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def _joined(data: bytes) -> bytes:
@@ -374,7 +374,7 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["doc_id", "text", "row", "left"])
 
     schema = StructType([docs.schema["doc_id"], docs.schema["text"], StructField("row", docs.select(row.alias("row")).schema["row"].dataType), StructField("left", StringType())])
-    cut = _with_spans(docs, row.alias("row")).mapInArrow(run, schema)
+    cut = _with_spans(docs, row.alias("row")).mapInArrow(common.lean(run), schema)
     own = {"doc_id": F.col("doc_id"), "text": F.coalesce("left", "text"), "n_chars": F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length("left")) if "n_chars" in rest else None}
     return cut.select(*[own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns])
 
@@ -415,7 +415,7 @@ def remove_references(docs: DataFrame, references: DataFrame, window: int = WIND
                 out[2].append((_joined(data) if left is None else left).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[list
     sample = common.stored(sample, "sample")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most SAMPLE pairs of numbers
     chosen = common.stored(chosen.groupBy("doc_id").agg(F.first("label").cast("int").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text")), "examples")
-    terms: list[str] = chosen.select("text").mapInArrow(_term_rows, "term string").distinct().toArrow().sort_by("term").column("term").to_pylist()
+    terms: list[str] = chosen.select("text").mapInArrow(common.lean(_term_rows), "term string").distinct().toArrow().sort_by("term").column("term").to_pylist()
     shared = spark.sparkContext.broadcast(terms)
 
     def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +237,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[list
 
     every, frequency = 0, np.zeros(len(terms))
     if terms:
-        counts = docs.select("text").mapInArrow(frequency_rows, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most one row a term
+        counts = docs.select("text").mapInArrow(common.lean(frequency_rows), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most one row a term
         number, n = (counts.column(c).to_numpy() for c in ("term", "n"))
         every = n[number < 0].sum()
         frequency[number[number >= 0]] = n[number >= 0]
-    vectors = chosen.mapInArrow(vector_rows, "doc_id bigint, label int, term array<int>, n array<int>")
+    vectors = chosen.mapInArrow(common.lean(vector_rows), "doc_id bigint, label int, term array<int>, n array<int>")
     vectors = vectors.groupBy("term", "n").agg(F.sum("label").alias("good"), F.count("*").alias("total"), F.min("doc_id").alias("doc_id")).toArrow().sort_by("doc_id")  # at most SAMPLE texts
     empty = pc.equal(pc.list_value_length(vectors.column("term")), 0)
     rest = [(r["good"], r["total"]) for r in vectors.filter(empty).select(["good", "total"]).to_pylist()]
@@ -288,7 +288,7 @@ def score(docs: DataFrame, labels: DataFrame, *keep: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence", *batch.schema.names[2:]])
 
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[2:])
-    return taken.mapInArrow(run, f"doc_id bigint, score double, evidence array<bigint>{kept}")
+    return taken.mapInArrow(common.lean(run), f"doc_id bigint, score double, evidence array<bigint>{kept}")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
