@@ -5,10 +5,13 @@ least LEAST_DOCS of its documents hold. With p the smoothed share of a kept term
 source or of the whole language, in units of 1e-9), f = floor((p - q)**2 / (p + q)) tells how much the two differ there.
 
 1. Each partition of documents counts its terms in one byte trie per language (term_trie), whose leaves count documents and
-   occurrences by source. A trie that grows over HELD leaves is handed on and another begun, so memory is bounded.
+   occurrences by source. Texts are cut into terms and counted by numpy and Arrow, CHUNK bytes at once, so that a distinct
+   term goes down the trie once for many documents. A trie that grows over HELD leaves is handed on and another begun, so
+   memory is bounded.
 2. Tries are cut into blocks by prefix. Prefixes with more than MOST leaves are cut one byte deeper, until none is.
 3. Blocks are dealt by ranges of prefixes; the blocks of one prefix merge into one trie, and its walk in byte order gives
    the kept terms with their counts. A term's counts meet in one task as one leaf for each trie, however frequent it is.
+   Counts are columns by the numbers of the leaves throughout, summed up by numpy.
 4. Totals follow by partial sums. A second walk in byte order, range by range, adds up f for every pair of sources and keeps
    each source's best terms; equal values stand in byte order. Sources are taken in tiles of at most TILE, so that a
    language with very many sources needs no large table in a task.
@@ -22,28 +25,29 @@ without kept terms has pairs of value 0 and no terms; an empty table gives an em
 from __future__ import annotations
 
 import gc
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
-from tesserae.llm.term_trie import TermTrie, packed, unpacked
+from tesserae.llm.term_trie import Counted, blocks, opened, summed
 
 LEAST_DOCS, BEST = 10, 10
 #: Leaves a task holds before it hands its tries on; leaves of a prefix that is not cut deeper; bytes of the first cut.
 HELD, MOST, DEPTH = 500_000, 200_000, 3
+#: Bytes of texts that are counted at once.
+CHUNK = 4_000_000
 #: Sources compared in one task; terms taken at once.
 TILE, TERMS_AT_ONCE = 256, 2048
 SCALE = 1_000_000_000
 
-#: On lower-cased UTF-8: all bytes of non-ASCII characters are above 0x7F.
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: UTF-8 with A to Z in lower case and spaces between terms: all bytes of non-ASCII characters are above 0x7F.
+_SPACED = bytes(c if c > 0x7F or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 0x20 for c in range(256))
 
 _BLOCK = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("leaves", pa.int64()), ("sources", pa.list_(pa.string())), ("block", pa.binary())])
 _BLOCK_DDL = "lang string, prefix binary, leaves bigint, sources array<string>, block binary"
@@ -61,68 +65,95 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 # --------------------------------------------------------------------------- counting
 
 
-def terms(text: bytes) -> list[bytes]:
-    return _TERM.findall(text.lower())  # bytes.lower() knows ASCII only
-
-
-def _blocks(lang: str, leaves: Iterator[tuple], depth: int) -> Iterator[tuple]:
+def terms(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The terms of texts, one after another, and each one's text."""
+    data = b" ".join(texts).translate(_SPACED)
+    starts, ends = common.word_edges(data)
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data.translate(None, b" "))])
+    after = np.cumsum([len(text) + 1 for text in texts])
+    return found.dictionary_encode(), np.searchsorted(after, starts, side="right")
+
+
+def neighbours_share(terms: pa.LargeBinaryArray) -> np.ndarray:
+    """The bytes, at most 64, that each of some sorted terms has in common with the one before."""
+    offsets, data = (np.frombuffer(b, dtype) for b, dtype in zip(terms.buffers()[1:], (np.int64, np.uint8), strict=True))
+    offsets = offsets[terms.offset : terms.offset + len(terms) + 1]
+    starts, lengths = offsets[:-1], np.diff(offsets)
+    shared = np.zeros(len(terms), dtype=np.int64)
+    alike = np.arange(1, len(terms))
+    for k in range(64):
+        alike = alike[(lengths[alike] > k) & (lengths[alike - 1] > k)]
+        alike = alike[data[starts[alike] + k] == data[starts[alike - 1] + k]]
+        shared[alike] = k + 1
+    return shared
+
+
+def _blocks(lang: str, leaves: tuple, names: list[str], depth: int) -> Iterator[tuple]:
     """Leaves in byte order as rows of _BLOCK, one for each prefix of `depth` bytes; shorter terms are their own prefix."""
-    prefix, held = None, []
-    for leaf in leaves:
-        if leaf[0][:depth] != prefix:
-            if held:
-                yield (lang, prefix, len(held), *packed(held))
-            prefix, held = leaf[0][:depth], []
-        held.append(leaf)
-    if held:
-        yield (lang, prefix, len(held), *packed(held))
-
-
-def _walked(trie: TermTrie) -> Iterator[tuple]:
-    for term, shared, node in trie.walk():
-        yield term, shared, node.docs, node.counts, node.counts.values()
+    terms, shared, *_ = leaves
+    starts = [i for i, k in enumerate(shared) if k < depth or i == 0]
+    for start, end, block in zip(starts, [*starts[1:], len(terms)], blocks(*leaves, names, starts), strict=True):
+        yield (lang, terms[start][:depth], end - start, *block)
 
 
 class Partition:
-    """The tries of a partition of documents. Documents are counted by source first, so that a distinct term goes down the
-    trie once for many documents."""
+    """The tries of a partition of documents."""
 
     def __init__(self):
-        self.tries: dict[str, TermTrie] = {}
-        self.docs: dict[str, Counter] = {}
-        self.counts: dict[tuple[str, str], Counter] = {}
-
-    def document(self, lang: str, source: str, text: bytes) -> None:
-        found = terms(text)
-        if found:
-            self.counts.setdefault((lang, source), Counter()).update(found)
-            self.docs.setdefault(lang, Counter()).update(set(found))
-
-    def pending(self) -> int:
-        return sum(map(len, self.counts.values()))
+        self.tries: dict[str, Counted] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.waiting: list[tuple] = []
+        self.pending = 0
+
+    def documents(self, langs: list[str], sources: list[str], texts: list[bytes]) -> None:
+        """Count the terms of some texts: distinct terms, and the group, term, occurrences and documents of each pair."""
+        found, text = terms(texts)
+        n = len(found.dictionary)
+        if n:
+            word = found.indices.to_numpy().astype(np.int64)
+            group = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources, strict=True)], dtype=np.int64)
+            pairs, counts = np.unique(group[text] * n + word, return_counts=True)
+            once = np.unique(text * n + word, return_counts=True)[0]  # with counts numpy sorts, else it hashes, which takes longer
+            docs = np.unique(group[once // n] * n + once % n, return_counts=True)[1]  # of the same pairs
+            self.waiting.append((found.dictionary, pairs // n, pairs % n, counts, docs))
+            self.pending += len(pairs)
 
     def settle(self) -> int:
-        """Take the pending counts into the tries; the number of leaves then."""
-        leaves = {}
-        for lang, docs in self.docs.items():
-            trie, nodes = self.tries.setdefault(lang, TermTrie()), {}
-            for term in sorted(docs):
-                nodes[term] = node = trie.leaf(term)
-                node.docs += docs[term]
-            leaves[lang] = nodes
-        for (lang, source), counts in self.counts.items():
-            nodes = leaves[lang]
-            for term, n in counts.items():
-                held = nodes[term].counts
-                held[source] = held.get(source, 0) + n
-        self.docs, self.counts = {}, {}
-        return sum(t.leaves for t in self.tries.values())
+        """Take the waiting counts into the tries; the number of leaves then."""
+        if self.waiting:
+            words, group, word, counts, docs = zip(*self.waiting, strict=True)
+            self.waiting, self.pending = [], 0
+            before = np.cumsum([0, *map(len, words)])
+            words = pa.concat_arrays(words).dictionary_encode()
+            order = pc.array_sort_indices(words.dictionary)
+            ranks = np.empty(len(order), dtype=np.int64)
+            ranks[order.to_numpy()] = np.arange(len(order))
+            rank = ranks[words.indices.to_numpy()[np.concatenate([w + n for w, n in zip(word, before, strict=False)])]]
+            in_order, group, counts, docs = words.dictionary.take(order), *map(np.concatenate, (group, counts, docs))
+            langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in self.groups))}
+            lang = np.array([langs[lang] for lang, _ in self.groups])[group]
+            by_lang = np.argsort(lang, kind="stable")
+            ends = np.cumsum(np.bincount(lang, minlength=len(langs)))
+            for name, of in zip(langs, np.split(by_lang, ends[:-1]), strict=True):
+                if len(of):
+                    self._enter(name, in_order, rank[of], group[of], counts[of], docs[of])
+        return sum(t.trie.leaves for t in self.tries.values())
+
+    def _enter(self, lang: str, words: pa.LargeBinaryArray, rank: np.ndarray, group: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> None:
+        counted = self.tries.setdefault(lang, Counted())
+        held, docs = summed(rank, docs)
+        words = words.take(pa.array(held))
+        leaves = counted.trie.enter(zip(words.to_pylist(), neighbours_share(words).tolist(), strict=True))
+        counted.take(leaves, docs, leaves[np.searchsorted(held, rank)], group, counts)
 
     def blocks(self, depth: int) -> Iterator[tuple]:
         self.settle()
-        for lang, trie in self.tries.items():
-            yield from _blocks(lang, _walked(trie), depth)
-        self.tries = {}
+        names = [source for _, source in self.groups]
+        for lang, counted in self.tries.items():
+            yield from _blocks(lang, counted.columns(), names, depth)
+        self.tries, self.groups = {}, {}
 
 
 def _sent(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -141,11 +172,15 @@ def _count(held: int, depth: int):
         gc.disable()  # tries have no cycles, and are large to go through
         part = Partition()
         for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, text in enumerate(common.text_bytes(batch)):
-                part.document(langs[i], sources[i], text)
-                if i % 64 == 63 and part.pending() > held and part.settle() > held:
-                    yield from _sent(part.blocks(depth), _BLOCK)
+            langs, sources, texts, size = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], 0
+            for i, text in enumerate(common.text_bytes(batch), 1):
+                texts.append(text)
+                size += len(text)
+                if size >= CHUNK or i == len(batch):
+                    part.documents(langs[i - len(texts) : i], sources[i - len(texts) : i], texts)
+                    texts, size = [], 0
+                    if part.pending > held and part.settle() > held:
+                        yield from _sent(part.blocks(depth), _BLOCK)
         yield from _sent(part.blocks(depth), _BLOCK)
         gc.enable()
 
@@ -156,52 +191,69 @@ def _cut_deeper(depth: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _sent(_blocks(row["lang"], unpacked(row["sources"], row["block"]), depth), _BLOCK)
+                yield from _sent(_blocks(row["lang"], opened(row["block"]), row["sources"], depth), _BLOCK)
 
     return cut
 
 
-def counted(docs: DataFrame, held: int = HELD, most: int = MOST, depth: int = DEPTH) -> list[DataFrame]:
-    """The blocks of all partitions' tries in stored tables, cut so that no prefix has more than `most` leaves. A prefix of
-    one table goes deeper or stays whole, so no two tables share one."""
+def counted(docs: DataFrame, held: int = HELD, most: int = MOST, depth: int = DEPTH) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The blocks of all partitions' tries, cut so that no prefix has more than `most` leaves, and the stored tables that
+    they are read from. A prefix of one table goes deeper or stays whole, so no two of the tables of blocks share one."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    blocks, done = common.stored(texts.mapInArrow(_count(held, depth), _BLOCK_DDL), "term-blocks"), []
+    blocks, done, tables = common.stored(texts.mapInArrow(_count(held, depth), _BLOCK_DDL), "term-blocks"), [], []
     while True:
+        tables.append(blocks)
         full = blocks.where(F.octet_length("prefix") == depth).groupBy("lang", "prefix").agg(F.sum("leaves").alias("all")).where(F.col("all") > most)
         heavy = common.stored(full.select("lang", "prefix"), "heavy-prefixes")
+        tables.append(heavy)
         if heavy.isEmpty():
-            common.drop_stored(heavy)
-            return [*done, blocks]
+            return [*done, blocks], tables
         depth += 1
         deeper = blocks.join(heavy, ["lang", "prefix"], "left_semi").select(*_BLOCK.names).mapInArrow(_cut_deeper(depth), _BLOCK_DDL)
-        done.append(common.stored(blocks.join(heavy, ["lang", "prefix"], "left_anti").select(*_BLOCK.names), "term-blocks"))
-        deeper = common.stored(deeper, "term-blocks")
-        common.drop_stored(blocks, heavy)
-        blocks = deeper
+        done.append(blocks.join(heavy, ["lang", "prefix"], "left_anti").select(*_BLOCK.names))
+        blocks = common.stored(deeper, "term-blocks")
 
 
 # --------------------------------------------------------------------------- merging
 
 
-def _merge(least: int):
-    def kept(lang: str, trie: TermTrie) -> Iterator[tuple]:
-        for term, _, node in trie.walk():
-            if node.docs >= least:
-                yield (lang, term.decode(), list(node.counts), list(node.counts.values()))
+class Prefix:
+    """The blocks of a prefix, merged into one trie."""
+
+    def __init__(self):
+        self.counted, self.names, self.parts = Counted(), {}, []
+
+    def block(self, sources: list[str], block: bytes) -> None:
+        terms, shared, docs, widths, ids, counts = opened(block)
+        leaves = self.counted.trie.enter(zip(terms, shared, strict=True))
+        names = np.array([self.names.setdefault(s, len(self.names)) for s in sources], dtype=np.int64)
+        self.parts.append((leaves, docs, np.repeat(leaves, widths), names[ids], counts))
+
+    def kept(self, least: int) -> Iterator[tuple[str, list[str], list[int]]]:
+        """The terms that enough documents hold, with sources and counts."""
+        if self.parts:
+            self.counted.take(*map(np.concatenate, zip(*self.parts, strict=True)))
+        terms, _, _, widths, ids, counts = self.counted.columns(least)
+        names, pair = list(self.names), 0
+        sources, counts = [names[i] for i in ids.tolist()], counts.tolist()
+        for term, width in zip(terms, widths.tolist(), strict=True):
+            yield term.decode(), sources[pair : pair + width], counts[pair : pair + width]
+            pair += width
 
+
+def _merge(least: int):
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         gc.disable()
-        key, trie = None, TermTrie()
+        key, prefix = ("", b""), Prefix()
         for batch in batches:
             for row in batch.to_pylist():
                 if (row["lang"], row["prefix"]) != key:
-                    if key:
-                        yield from kept(key[0], trie)
-                    key, trie = (row["lang"], row["prefix"]), TermTrie()
-                for term, _, docs, sources, counts in unpacked(row["sources"], row["block"]):
-                    trie.add(term, docs, sources, counts)
-        if key:
-            yield from kept(key[0], trie)
+                    for kept in prefix.kept(least):
+                        yield (key[0], *kept)
+                    key, prefix = (row["lang"], row["prefix"]), Prefix()
+                prefix.block(row["sources"], row["block"])
+        for kept in prefix.kept(least):
+            yield (key[0], *kept)
         gc.enable()
 
     return lambda batches: _sent(merged(batches), _KEPT)
@@ -319,9 +371,9 @@ def _compare(best: int):
 def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, best: int = BEST, tile: int = TILE, held: int = HELD, most: int = MOST) -> DataFrame:
     """lang, source, part, item, value, rank: every other source of the language (part pair) and the best terms (part term)."""
     groups = common.stored(docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct(), "groups")
-    blocks = counted(docs, held, most)
+    blocks, tables = counted(docs, held, most)
     kept = common.stored(kept_terms(reduce(DataFrame.unionByName, blocks), least), "kept-terms")
-    common.drop_stored(*blocks)
+    common.drop_stored(*tables)
 
     # Totals of groups and languages, and the sources of a language in tiles.
     sums = kept.select("lang", F.explode(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n"))).alias("c")).groupBy("lang", "c.source").agg(F.sum("c.n").alias("total"))

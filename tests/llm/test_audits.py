@@ -5,10 +5,12 @@ import itertools
 import os
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -114,6 +116,64 @@ def test_tries_merge():
     assert [k for _, k, _ in whole.walk()] == [0] + [len(os.path.commonprefix(pair)) for pair in itertools.pairwise(ordered)]
 
 
+def calls_of(work):
+    """The result, and the number of function calls, of Python and of C, that it took."""
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        out = work()
+    finally:
+        sys.setprofile(None)
+    return out, calls["call"] + calls["c_call"]
+
+
+def term_rows(batches):
+    return {(r["lang"], t, d, tuple(sorted(zip(s, n, strict=True)))) for b in batches for r in b.to_pylist() for t, _, d, s, n in unpacked(r["sources"], r["block"])}
+
+
+def term_batch(rows):
+    return pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "source": [r[1] for r in rows], "text": [r[2] for r in rows]})
+
+
+def test_counts_of_sources_take_no_calls_each():
+    """Counting and merging take fewer calls than there are pairs of term and source."""
+    words = [a + "xx" + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    batch, pairs = term_batch([("en", f"s{i}", " ".join(words)) for i in range(30)]), 30 * len(words)
+    count = lambda: list(source_divergence._count(10**6, 3)(iter([batch])))
+    count()  # imports
+    blocks, calls = calls_of(count)
+    assert term_rows(blocks) == {("en", w.encode(), 30, tuple(sorted((f"s{i}", 1) for i in range(30)))) for w in words} and calls < pairs
+    rows = sorted((tuple(r.values()) for b in blocks for r in b.to_pylist()), key=lambda r: r[1])
+    again = source_divergence._rows([r for r in rows for _ in range(8)], source_divergence._BLOCK)
+    kept, calls = calls_of(lambda: list(source_divergence._merge(240)(iter([again]))))
+    assert {(r["term"], *sorted(zip(r["sources"], r["counts"], strict=True))) for b in kept for r in b.to_pylist()} == {(w, *sorted((f"s{i}", 8) for i in range(30))) for w in words} and calls < 8 * pairs
+    assert not any(len(b) for b in source_divergence._merge(241)(iter([again])))
+
+
+@pytest.mark.parametrize(("held", "chunk"), [(10**6, 10**6), (10**6, 300), (40, 300), (1, 1)])
+def test_tries_of_chunks_add_up(monkeypatch, held, chunk):
+    """Terms and their counts are the same however many chunks and tries they come in; long terms and no terms as well."""
+    monkeypatch.setattr(source_divergence, "CHUNK", chunk)
+    rows = [(lang or "", source or "", text) for _, text, lang, source in some_rows()[:-1]]
+    rows += [(f"l{i % 7}", f"s{i % 3}", "x" * (60 + i) + " " + "X" * 64 + "\x7fé\x00e\xa0[Z`z{@") for i in range(20)] + [("none", "s", "123 \n"), ("none", "s", None)]
+    batches = list(source_divergence._count(held, 3)(term_batch(rows[i : i + 50]) for i in range(0, len(rows), 50)))
+    want, docs = defaultdict(Counter), Counter()
+    for lang, source, text in rows:
+        found = re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())
+        docs.update((lang, t) for t in set(found))
+        for t in found:
+            want[lang, t][source] += 1
+    counts, n_docs = defaultdict(Counter), Counter()
+    for b in batches:
+        for r in b.to_pylist():
+            leaves = list(unpacked(r["sources"], r["block"]))
+            assert len(leaves) == r["leaves"] and {t[:3] for t, *_ in leaves} == {r["prefix"]} and [t for t, *_ in leaves] == sorted({t for t, *_ in leaves})
+            for t, _, d, s, n in leaves:
+                n_docs[r["lang"], t] += d
+                counts[r["lang"], t].update(dict(zip(s, n, strict=True)))
+    assert counts == want and n_docs == docs
+
+
 def test_shares_of_large_counts():
     import numpy as np
 
