@@ -12,9 +12,10 @@ source or of the whole language, in units of 1e-9), f = floor((p - q)**2 / (p +
 3. Blocks are dealt by ranges of prefixes; the blocks of one prefix merge into one trie, and its walk in byte order gives
    the kept terms with their counts. A term's counts meet in one task as one leaf for each trie, however frequent it is.
    Counts are columns by the numbers of the leaves throughout, summed up by numpy.
-4. Totals follow by partial sums. A second walk in byte order, range by range, adds up f for every pair of sources and keeps
-   each source's best terms; equal values stand in byte order. Sources are taken in tiles of at most TILE, so that a
-   language with very many sources needs no large table in a task.
+4. Totals follow by partial sums. The kept terms of a language are dealt by hash to spans of about SPAN terms, so that a
+   prefix with very many of them is not one task's. A second walk in byte order, span by span, adds up f for every pair of
+   sources and keeps each source's best terms; equal values stand in byte order. Sources are taken in tiles of at most TILE,
+   so that a language with very many sources needs no large table in a task.
 
 Counts and shares are whole numbers throughout; shares are divided in three steps of 1000, exact for totals up to 9e15.
 
@@ -42,8 +43,8 @@ LEAST_DOCS, BEST = 10, 10
 HELD, MOST, DEPTH = 500_000, 200_000, 3
 #: Bytes of texts that are counted at once.
 CHUNK = 4_000_000
-#: Sources compared in one task; terms taken at once.
-TILE, TERMS_AT_ONCE = 256, 2048
+#: Sources compared in one task; terms taken at once; terms of a span, as a mean at most.
+TILE, TERMS_AT_ONCE, SPAN = 256, 2048, 2048
 SCALE = 1_000_000_000
 
 #: UTF-8 with A to Z in lower case and spaces between terms: all bytes of non-ASCII characters are above 0x7F.
@@ -260,9 +261,16 @@ def _merge(least: int):
 
 
 def kept_terms(blocks: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """lang, term, sources, counts and the range of prefixes (`span`) of the terms that enough documents hold."""
+    """lang, term, sources, counts of the terms that enough documents hold."""
     dealt = blocks.repartitionByRange(common.partitions_for(blocks.sparkSession), "lang", "prefix").sortWithinPartitions("lang", "prefix")
-    return dealt.mapInArrow(_merge(least), _KEPT_DDL).withColumn("span", F.spark_partition_id())
+    return dealt.mapInArrow(_merge(least), _KEPT_DDL)
+
+
+def in_spans(kept: DataFrame, langs: DataFrame, most: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """The kept terms, each with a span of its language, and all spans. `langs`: lang, kept (its number of kept terms)."""
+    sized = langs.select("lang", F.ceil(F.col("kept") / most).alias("spans"))
+    terms = kept.join(sized, "lang").withColumn("span", F.pmod(F.xxhash64("term"), "spans")).drop("spans")
+    return terms, sized.select("lang", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("spans") - 1)).alias("span"))
 
 
 # --------------------------------------------------------------------------- shares and differences
@@ -383,15 +391,16 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, best: int = BEST
     tiles = tiled.groupBy("lang", "tile", "kept", "lang_total").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("total", F.lit(0)).alias("total")))).alias("held"))
     tiles = common.stored(tiles.select("lang", "tile", "kept", "lang_total", F.col("held.source").alias("sources"), F.col("held.total").alias("counts")), "tiles")
 
-    # Each (language, two tiles, range of prefixes) gets the tiles' totals, then its terms in byte order.
+    # Each (language, two tiles, span) gets the tiles' totals, then its terms in byte order.
     pairs = tiles.select("lang", F.col("tile").alias("a")).join(tiles.select("lang", F.col("tile").alias("b")), "lang").where("a <= b")
-    places = kept.select("lang", "span").distinct().join(pairs, "lang")
+    spread, spans = in_spans(kept, tiles.where("tile = 0"))
+    places = spans.join(pairs, "lang")
     none = F.lit(None).cast("string").alias("term")
     heads = [
         places.join(tiles, (places["lang"] == tiles["lang"]) & (places[side] == tiles["tile"])).where("a < b" if kind else "true").select(places["lang"], "a", "b", "span", F.lit(kind).alias("kind"), none, "sources", "counts", "kept", "lang_total")
         for kind, side in enumerate("ab")
     ]
-    rows = kept.join(pairs, "lang").select("lang", "a", "b", "span", F.lit(2).alias("kind"), "term", "sources", "counts", F.lit(0).cast("bigint").alias("kept"), F.lit(0).cast("bigint").alias("lang_total"))
+    rows = spread.join(pairs, "lang").select("lang", "a", "b", "span", F.lit(2).alias("kind"), "term", "sources", "counts", F.lit(0).cast("bigint").alias("kept"), F.lit(0).cast("bigint").alias("lang_total"))
     everything = heads[0].unionByName(heads[1]).unionByName(rows)
     key = ["lang", "a", "b", "span"]
     dealt = everything.repartition(common.partitions_for(docs.sparkSession), *key).sortWithinPartitions(*key, "kind", "term")

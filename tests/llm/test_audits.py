@@ -89,6 +89,12 @@ def test_divergence_against_brute_force(spark, limits):
     assert {tuple(r) for r in got} == divergence(rows, 4, 3)
 
 
+def test_divergence_in_several_spans(spark, monkeypatch):
+    monkeypatch.setattr(source_divergence.in_spans, "__defaults__", (3,))
+    rows = some_rows()
+    assert Counter(map(tuple, source_divergence.source_divergence(table(spark, rows).repartition(5), least=4, best=3, tile=2).collect())) == Counter(divergence(rows, 4, 3))
+
+
 def test_divergence_without_kept_terms(spark):
     rows = [(1, "one", "en", "b"), (2, None, "en", "a"), (3, "", "en", "c")]
     got = {tuple(r) for r in source_divergence.source_divergence(table(spark, rows)).collect()}
@@ -174,6 +180,14 @@ def test_tries_of_chunks_add_up(monkeypatch, held, chunk):
     assert counts == want and n_docs == docs
 
 
+def test_terms_of_one_prefix_are_dealt_to_many_spans(spark):
+    kept = spark.createDataFrame([("en", f"abc{i}é", ["s"], [i]) for i in range(3000)] + [("fr", "abc", ["s"], [1])], source_divergence._KEPT_DDL)
+    terms, spans = source_divergence.in_spans(kept, spark.createDataFrame([("en", 3000), ("fr", 1)], "lang string, kept bigint"), most=500)
+    n = Counter((r.lang, r.span) for r in terms.collect())
+    assert sum(n.values()) == 3001 and len(n) == 7 and max(n.values()) < 2 * 500
+    assert sorted(map(tuple, spans.collect())) == sorted(n)
+
+
 def test_shares_of_large_counts():
     import numpy as np
 
