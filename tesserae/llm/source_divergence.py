@@ -152,9 +152,11 @@ class Partition:
     def blocks(self, depth: int) -> Iterator[tuple]:
         self.settle()
         names = [source for _, source in self.groups]
-        for lang, counted in self.tries.items():
-            yield from _blocks(lang, counted.columns(), names, depth)
-        self.tries, self.groups = {}, {}
+        while self.tries:
+            lang = next(iter(self.tries))
+            leaves = self.tries.pop(lang).columns()  # the trie goes before its leaves are packed
+            yield from _blocks(lang, leaves, names, depth)
+        self.groups = {}
 
 
 def _sent(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -139,8 +139,12 @@ class Counted:
         """Terms that `least` documents hold, in byte order: (terms, lengths shared with the term before in the trie, docs,
         numbers of sources, sources, counts)."""
         docs = self.docs.tolist()
-        found = [(term, shared, node.number) for term, shared, node in self.trie.walk() if docs[node.number] >= least]
-        terms, shared, numbers = map(list, zip(*found, strict=True)) if found else ([], [], [])
+        terms, shared, numbers = [], [], []
+        for term, common, node in self.trie.walk():
+            if docs[node.number] >= least:
+                terms.append(term)
+                shared.append(common)
+                numbers.append(node.number)
         ranks = np.full(len(docs), -1, dtype=np.int64)
         ranks[numbers] = np.arange(len(numbers))
         leaf, source = np.divmod(self.pairs, self.SOURCES)
